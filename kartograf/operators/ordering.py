@@ -22,17 +22,12 @@ MAX_CHUNKS = 4096
 
 
 def _cuts(df: DataFrame, order: str, rows_per_chunk: int) -> list[float]:
-    """Cut points of the order column: one narrow aggregation, at most MAX_CHUNKS numbers."""
-    points = [i / MAX_CHUNKS for i in range(1, MAX_CHUNKS)]
-    row = df.agg(
-        F.count(order).alias("n"),
-        F.percentile_approx(F.col(order).cast("double"), points, 10_000).alias("q"),
-    ).first()
-    chunks = -(-row["n"] // rows_per_chunk) if row["n"] else 1
+    """Cut points of the order column: narrow aggregations, at most MAX_CHUNKS numbers."""
+    chunks = min(MAX_CHUNKS, -(-df.count() // rows_per_chunk))
     if chunks <= 1:
         return []
-    chunks = min(MAX_CHUNKS, chunks)
-    picked = [row["q"][max(i * MAX_CHUNKS // chunks - 1, 0)] for i in range(1, chunks)]
+    points = [i / chunks for i in range(1, chunks)]
+    picked = df.agg(F.percentile_approx(F.col(order).cast("double"), points, 10_000)).first()[0] or []
     return sorted(set(picked))
 
 
