@@ -96,8 +96,8 @@ def event_rows(spark, d) -> DataFrame:
     return table(spark, d, "events").select(
         F.col("event_id").alias("id"), (seconds() / 3600.0).alias("ts"), F.col("user_id").alias("antenna"),
         (F.col("event_type") != "error").alias("valid"),
-        F.array(F.col("value") - 20.0, (F.col("event_id") % 7 - 3).cast("double")).alias("re"),
-        F.array((F.col("event_id") % 11 - 5).cast("double"), F.col("value") / 10.0).alias("im"),
+        F.array(F.col("value") - 20.1237, F.col("event_id") % 7 - 3.1).alias("re"),
+        F.array(F.col("event_id") % 11 - 5.25, F.col("value") / 10.0 + 0.01).alias("im"),
         F.when(F.col("event_type") != "error", F.col("value")).alias("toa"))
 
 
@@ -144,7 +144,7 @@ POS_SQL = """pos AS (SELECT vec_id AS id, CAST(embedding[2] AS DOUBLE)*100 AS gx
   abs(CAST(embedding[6] AS DOUBLE))*5 + abs(CAST(embedding[7] AS DOUBLE))*5 < 1 AS valid FROM embeddings)"""
 
 EVENT_SQL = """ev AS (SELECT event_id AS id, epoch_us(ts)/1e6/3600.0 AS ts, user_id AS antenna, event_type <> 'error' AS valid,
-  value - 20.0 AS re0, CAST(event_id % 7 - 3 AS DOUBLE) AS re1, CAST(event_id % 11 - 5 AS DOUBLE) AS im0, value/10.0 AS im1,
+  value - 20.1237 AS re0, CAST(event_id % 7 AS DOUBLE) - 3.1 AS re1, CAST(event_id % 11 AS DOUBLE) - 5.25 AS im0, value/10.0 + 0.01 AS im1,
   CASE WHEN event_type <> 'error' THEN value END AS toa FROM events)"""
 
 MAG_SQL = """mag AS (SELECT vec_id AS id, list_transform(range(0,4), lambda a: list_transform(range(0,8), lambda t:

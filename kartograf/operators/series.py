@@ -64,12 +64,12 @@ def _weighted(df: DataFrame, w, columns: list[str], taps: int, weights: list[flo
         return F.when(row["valid"], F.get(table, (row["pos"] - F.col("pos") + before).cast("int"))).otherwise(0.0)
 
     df = df.withColumn("_weight", F.aggregate("_rows", F.lit(0.0), lambda acc, r: acc + weight(r)))
+
+    def weighted(c, t):
+        return F.aggregate("_rows", F.lit(0.0), lambda acc, r: acc + weight(r) * F.get(r[c], F.lit(t))) / F.col("_weight")
+
     for c in columns:
-        summed = [
-            F.aggregate("_rows", F.lit(0.0), lambda acc, r, t=t: acc + weight(r) * F.get(r[c], F.lit(t)))
-            / F.col("_weight")
-            for t in range(taps)
-        ]
+        summed = [weighted(c, t) for t in range(taps)]
         df = df.withColumn(f"{c}{tag}", F.when(F.col("_weight") > 0, F.array(*summed)))
     return df.drop("_rows", "_weight")
 

@@ -33,7 +33,11 @@ def snapshots_wide(df: DataFrame, values=("re", "im")) -> DataFrame:
     shared = [c for c in ("take", "ts", "reference", "interp_diff") if c in df.columns]
     ordered = F.sort_array(F.collect_list(F.struct("antenna", "valid", "toa", *values)))
     grouped = df.groupBy("id").agg(*[F.first(c).alias(c) for c in shared], ordered.alias("_a"))
-    channels = [F.transform("_a", lambda a, v=v: a[v]) for v in values]
+
+    def channel(name):
+        return F.transform("_a", lambda a: a[name])
+
+    channels = [channel(v) for v in values]
     return grouped.select(
         "id", *shared, F.array(*channels).alias("cir"),
         F.transform("_a", lambda a: a["valid"]).alias("valid_mask"), F.transform("_a", lambda a: a["toa"]).alias("toa"))
