@@ -84,46 +84,46 @@ def square_distances(spark, d):
     return sampling.square(keyed.withColumn("d", (F.col("i") + F.col("j")).cast("double")))
 
 
-@query("cira_neighbors", f"WITH {GRAPH_SQL.split(',' + chr(10) + 'edge')[0]} SELECT i AS src, j AS dst, ROUND(d, 6) + 0.0 AS d, CAST(rank AS INT) AS rank FROM knn")
+@query("cira_neighbors", f"WITH {GRAPH_SQL.split(',' + chr(10) + 'edge')[0]} SELECT i AS src, j AS dst, ROUND(d, 9) + 0.0 AS d, CAST(rank AS INT) AS rank FROM knn")
 def cira_neighbors(spark, d):
     """Flagship: tap magnitudes, mean city-block distance over antennas, 20 exact neighbours."""
     near = nearest_neighbors(points(spark, d), 20, CIRA)
-    return near.select("src", "dst", r("d").alias("d"), F.col("rank").cast("int").alias("rank"))
+    return near.select("src", "dst", r("d", 9).alias("d"), F.col("rank").cast("int").alias("rank"))
 
 
 @query("masked_neighbors", f"""WITH {MAG_SQL},
 p AS (SELECT a.id AS i, b.id AS j, list_filter(list_transform(range(1,5), lambda k: CASE WHEN a.ok[k] AND b.ok[k] THEN
   list_sum(list_transform(range(1,9), lambda t: abs(a.vec[k][t]-b.vec[k][t]))) END), lambda v: v IS NOT NULL) AS l FROM mag a JOIN mag b ON a.id <> b.id),
 q AS (SELECT i, j, round(coalesce(list_median(l), 1e10), 9) AS d FROM p)
-SELECT i AS src, j AS dst, ROUND(d, 6) + 0.0 AS d, CAST(row_number() OVER (PARTITION BY i ORDER BY d, j) AS INT) AS rank FROM q
+SELECT i AS src, j AS dst, ROUND(d, 9) + 0.0 AS d, CAST(row_number() OVER (PARTITION BY i ORDER BY d, j) AS INT) AS rank FROM q
 QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) <= 10""")
 def masked_neighbors(spark, d):
     near = nearest_neighbors(points(spark, d, masked=True), 10, Dissimilarity("cityblock", ANTENNAS, "median"))
-    return near.select("src", "dst", r("d").alias("d"), F.col("rank").cast("int").alias("rank"))
+    return near.select("src", "dst", r("d", 9).alias("d"), F.col("rank").cast("int").alias("rank"))
 
 
 @query("cosine_neighbors", f"""WITH {MAG_SQL}, p AS (SELECT a.id AS i, b.id AS j, round(list_sum(list_transform(range(1,5), lambda k:
   1 - list_dot_product(a.vec[k], b.vec[k])/sqrt(list_dot_product(a.vec[k], a.vec[k])*list_dot_product(b.vec[k], b.vec[k])))), 9) AS d
-FROM mag a JOIN mag b ON a.id <> b.id) SELECT i AS src, j AS dst, ROUND(d, 6) + 0.0 AS d, CAST(row_number() OVER (PARTITION BY i ORDER BY d, j) AS INT) AS rank
+FROM mag a JOIN mag b ON a.id <> b.id) SELECT i AS src, j AS dst, ROUND(d, 9) + 0.0 AS d, CAST(row_number() OVER (PARTITION BY i ORDER BY d, j) AS INT) AS rank
 FROM p QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) <= 10""")
 def cosine_neighbors(spark, d):
     near = nearest_neighbors(points(spark, d), 10, Dissimilarity("cosine", ANTENNAS, "sum"))
-    return near.select("src", "dst", r("d").alias("d"), F.col("rank").cast("int").alias("rank"))
+    return near.select("src", "dst", r("d", 9).alias("d"), F.col("rank").cast("int").alias("rank"))
 
 
 @query("signature_neighbors", f"""WITH {SIGNATURE_SQL}, p AS (SELECT a.id AS i, b.id AS j, round(avg(abs(a.s - b.s)), 9) AS d FROM sig a JOIN sig b
   ON a.antenna = b.antenna AND a.id <> b.id GROUP BY a.id, b.id)
-SELECT i AS src, j AS dst, ROUND(d, 6) + 0.0 AS d, CAST(row_number() OVER (PARTITION BY i ORDER BY d, j) AS INT) AS rank
+SELECT i AS src, j AS dst, ROUND(d, 9) + 0.0 AS d, CAST(row_number() OVER (PARTITION BY i ORDER BY d, j) AS INT) AS rank
 FROM p QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) <= 10""")
 def signature_neighbors(spark, d):
     f = metric_features(antenna_rows(spark, d), "signature", ANTENNAS, TAPS)
     near = nearest_neighbors(f, 10, Dissimilarity("cityblock", ANTENNAS, "mean"))
-    return near.select("src", "dst", r("d").alias("d"), F.col("rank").cast("int").alias("rank"))
+    return near.select("src", "dst", r("d", 9).alias("d"), F.col("rank").cast("int").alias("rank"))
 
 
-@query("neighbor_graph", f"WITH {GRAPH_SQL} SELECT i AS src, j AS dst, ROUND(w, 6) + 0.0 AS w FROM edge")
+@query("neighbor_graph", f"WITH {GRAPH_SQL} SELECT i AS src, j AS dst, ROUND(w, 9) + 0.0 AS w FROM edge")
 def neighbor_graph_query(spark, d):
-    return neighbor_graph(spark, d).select("src", "dst", r("w").alias("w"))
+    return neighbor_graph(spark, d).select("src", "dst", r("w", 9).alias("w"))
 
 
 @query("components", """WITH RECURSIVE e AS (SELECT DISTINCT c_custkey AS i, o_orderkey + 1000000000 AS j FROM customer JOIN orders ON o_custkey = c_custkey

@@ -181,7 +181,7 @@ def tdoa_positions(spark, d):
     "0.0 AS", "CAST(0 AS DOUBLE) AS"))
 def tdoa_errors(spark, d):
     out = jobs.positions_job(arrivals(spark, d))
-    m = out["metrics"].crossJoin(out["success"])
+    m = out["metrics"].withColumn("success_rate", out["success"].scalar())
     return m.select(*[r(c, 4 if c != "success_rate" else 8).alias(c) for c in m.columns])
 
 

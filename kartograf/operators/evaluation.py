@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kartograf.operators.pairs import (Dissimilarity, ROWS_PER_BLOCK, _matrix, fold_pairs, nearest_neighbors,
                                        ranks_among_all, tiles)
 from kartograf.operators.quantiles import ecdf, exact_quantiles
+from kartograf.session import scalars
 
 __all__ = ["ecdf", "exact_quantiles"]
 
@@ -50,7 +51,7 @@ def error_summary(df: DataFrame, error: str = "error", valid: str | None = "vali
     used = df.filter(F.col(valid)) if valid else df
     q = exact_quantiles(used, error, ERROR_LEVELS).groupBy().agg(
         *[F.max(F.when(F.abs(F.col("p") - p) < 1e-9, F.col("q"))).alias(f"CE{round(p * 100)}") for p in ERROR_LEVELS])
-    return q.crossJoin(used.agg(F.avg(error).alias("MAE")))
+    return q.withColumn("MAE", used.agg(F.avg(error)).scalar())
 
 
 def _points(df: DataFrame, columns, id: str) -> DataFrame:
@@ -109,25 +110,31 @@ def dissimilarity_bands(pairs: DataFrame, d: str = "d", distance: str = "e", edg
     ``edges`` points from 0 to the largest distance bound 199 half-open bins; the largest distance
     itself falls outside.  Empty bins hold ``empty``.
     """
-    top = pairs.agg(F.max(distance).alias("_top"))
     step = F.col("_top") / (edges - 1)
-    binned = pairs.crossJoin(F.broadcast(top)).withColumn(
+    binned = pairs.withColumn("_top", pairs.agg(F.max(distance)).scalar()).withColumn(
         "bin", F.floor(F.try_divide(F.col(distance), step)).cast("int") + 1)
     binned = binned.filter((F.col("bin") < edges) & (F.col(distance) < F.col("_top"))).select("bin", d)
     q = exact_quantiles(binned, d, (0.25, 0.5, 0.75), ["bin"]).groupBy("bin").agg(
         *[F.max(F.when(F.col("p") == p, F.col("q"))).alias(name) for p, name in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))])
-    every = top.select(F.explode(F.sequence(F.lit(1), F.lit(edges - 1))).alias("bin"), "_top")
+    every = pairs.agg(F.max(distance).alias("_top")).select(F.explode(F.sequence(F.lit(1), F.lit(edges - 1))).alias("bin"), "_top")
     filled = [F.coalesce(c, F.lit(empty).cast("double")).alias(c) for c in ("p25", "p50", "p75")]
     return every.join(q, "bin", "left").select("bin", ((F.col("bin") - 1) * F.col("_top") / (edges - 1)).alias("left"), *filled)
 
 
+def _box(df: DataFrame, x: str, y: str):
+    """Extremes of two columns as a struct (x0, x1, y0, y1)."""
+    return scalars(df, x0=F.min(x), x1=F.max(x), y0=F.min(y), y1=F.max(y))
+
+
 def histogram_2d(df: DataFrame, x: str, y: str, bins: int = 100) -> DataFrame:
     """Counts in a bins x bins grid between the extremes, the last bins closed: (``bx``, ``by``, ``n``)."""
-    ends = df.agg(F.min(x).alias("_x0"), F.max(x).alias("_x1"), F.min(y).alias("_y0"), F.max(y).alias("_y1"))
-    place = lambda c, lo, hi: F.least(F.floor((F.col(c) - F.col(lo)) / ((F.col(hi) - F.col(lo)) / bins)),
-                                      F.lit(bins - 1)).cast("int")
-    return df.crossJoin(F.broadcast(ends)).groupBy(
-        place(x, "_x0", "_x1").alias("bx"), place(y, "_y0", "_y1").alias("by")).agg(F.count(F.lit(1)).alias("n"))
+    df = df.withColumn("_ends", _box(df, x, y))
+
+    def place(c, axis):
+        lo, hi = F.col(f"_ends.{axis}0"), F.col(f"_ends.{axis}1")
+        return F.least(F.floor((F.col(c) - lo) / ((hi - lo) / bins)), F.lit(bins - 1)).cast("int")
+
+    return df.groupBy(place(x, "x").alias("bx"), place(y, "y").alias("by")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def pair_histogram_2d(df: DataFrame, metric: Dissimilarity, bins: int = 100,
@@ -173,12 +180,11 @@ def hexbin_mean(df: DataFrame, x: str, y: str, value: str, gridsize: int = 100)
     centre, y counted three times because the cells are flatter than wide.
     """
     nx, ny = gridsize, int(gridsize / 3 ** 0.5)
-    ends = df.agg(F.min(x).alias("_x0"), F.max(x).alias("_x1"), F.min(y).alias("_y0"), F.max(y).alias("_y1"))
-    pad = 1e-9 * (F.col("_x1") - F.col("_x0"))
-    ends = ends.select((F.col("_x0") - pad).alias("_x0"), "_y0",
-                       ((F.col("_x1") - F.col("_x0") + 2 * pad) / nx).alias("_sx"),
-                       ((F.col("_y1") - F.col("_y0")) / ny).alias("_sy"))
-    df = df.crossJoin(F.broadcast(ends))
+    df = df.withColumn("_e", _box(df, x, y))
+    pad = 1e-9 * (F.col("_e.x1") - F.col("_e.x0"))
+    df = df.withColumn("_x0", F.col("_e.x0") - pad).withColumn("_y0", F.col("_e.y0")) \
+        .withColumn("_sx", (F.col("_e.x1") - F.col("_e.x0") + 2 * pad) / nx) \
+        .withColumn("_sy", (F.col("_e.y1") - F.col("_e.y0")) / ny)
     u, v = (F.col(x) - F.col("_x0")) / F.col("_sx"), (F.col(y) - F.col("_y0")) / F.col("_sy")
     df = df.withColumn("_u", u).withColumn("_v", v)
     u, v = F.col("_u"), F.col("_v")
@@ -198,15 +204,13 @@ def hexbin_mean(df: DataFrame, x: str, y: str, value: str, gridsize: int = 100)
 def chart_colors(df: DataFrame, x: str = "gx", y: str = "gy") -> DataFrame:
     """Colour of each point by its true position: red falls with x, blue grows with y, green with
     the squared distance from the middle of the bounding box."""
-    box = df.agg(F.min(x).alias("_x0"), F.max(x).alias("_x1"), F.min(y).alias("_y0"), F.max(y).alias("_y1"))
-    df = df.crossJoin(F.broadcast(box))
-    cx, cy = (F.col("_x0") + F.col("_x1")) * 0.5, (F.col("_y0") + F.col("_y1")) * 0.5
+    df = df.withColumn("_b", _box(df, x, y))
+    cx, cy = (F.col("_b.x0") + F.col("_b.x1")) * 0.5, (F.col("_b.y0") + F.col("_b.y1")) * 0.5
     df = df.withColumn("_s", (F.col(x) - cx) ** 2 + (F.col(y) - cy) ** 2)
-    span = df.agg(F.min("_s").alias("_s0"), F.max("_s").alias("_s1"))
+    df = df.withColumn("_t", scalars(df, low=F.min("_s"), high=F.max("_s")))
     unit = lambda c, lo, hi: F.try_divide(F.col(c) - F.col(lo), F.col(hi) - F.col(lo))
-    return df.crossJoin(F.broadcast(span)).withColumn("r", 1 - 0.9 * unit(x, "_x0", "_x1")) \
-        .withColumn("g", 0.8 * unit("_s", "_s0", "_s1")).withColumn("b", 0.9 * unit(y, "_y0", "_y1")) \
-        .drop("_x0", "_x1", "_y0", "_y1", "_s", "_s0", "_s1")
+    return df.withColumn("r", 1 - 0.9 * unit(x, "_b.x0", "_b.x1")).withColumn("g", 0.8 * unit("_s", "_t.low", "_t.high")) \
+        .withColumn("b", 0.9 * unit(y, "_b.y0", "_b.y1")).drop("_b", "_s", "_t")
 
 
 def probability_map(df: DataFrame, row: str = "row", col: str = "col", height: int = 64, width: int = 64,

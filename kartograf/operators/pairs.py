@@ -345,8 +345,14 @@ def nearest_neighbors(df: DataFrame, k: int, metric: Dissimilarity, prune: bool
     order = W.partitionBy("vid").orderBy("d", "dst")
     spread = spread.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k + 1)
     lists = spread.groupBy("vid").agg(F.sort_array(F.collect_list(F.struct("d", "dst"))).alias("near"))
-    lists = lists.join(groups.select("vid", "_h", "f"), "vid").drop("vid")
-    own = df.join(lists, ["_h", "f"]).select(F.col("id").alias("src"), F.posexplode(
+    lists = cut(lists.join(groups.select("vid", "_h", "f"), "vid").drop("vid"))
+    # vectors with more than a thousandth of all rows are at most 1000: their lists are broadcast,
+    # so that a large group of copies is not gathered by the join
+    often = df.groupBy("_h").agg(F.count("*").alias("n")).filter(F.col("n") > max(copies // 1000, 1000))
+    hot = F.col("_h").isin([row["_h"] for row in often.collect()])
+    own = df.filter(hot).join(F.broadcast(lists.filter(hot)), ["_h", "f"]).unionByName(
+        df.filter(~hot).join(lists.filter(~hot), ["_h", "f"]))
+    own = own.select(F.col("id").alias("src"), F.posexplode(
         F.slice(F.filter("near", lambda e: e["dst"] != F.col("id")), 1, k)).alias("rank", "e"))
     return own.select("src", F.col("e.dst").alias("dst"), F.col("e.d").alias("d"), (F.col("rank") + 1).alias("rank"))
 
@@ -365,8 +371,17 @@ def ranks_among_all(df: DataFrame, thresholds: DataFrame, metric: Dissimilarity,
     base = df.withColumn("_b", block("id")).withColumn("_q", every)
     left = df.select(F.col("id").alias("src"), F.col("f").alias("fs"))
     right = df.select(F.col("id").alias("dst"), F.col("f").alias("fd"))
-    # pairs are split by (src, dst), so a row with very many pairs is spread over all query blocks
+
+    def measure(batches):
+        for p in batches:
+            a, b = _matrix(p["fs"]), _matrix(p["fd"])
+            own = np.array([metric.between(a[i:i + 1], b[i:i + 1])[0, 0] for i in range(len(p))])
+            yield pd.DataFrame({"src": p["src"], "dst": p["dst"], "fs": p["fs"],
+                                "own": np.round(np.nan_to_num(own, nan=MISSING_DISTANCE), 9)})
+
     asked = thresholds.select("src", "dst").join(left, "src").join(right, "dst")
+    asked = asked.mapInPandas(measure, "src bigint, dst bigint, fs array<double>, own double")
+    # pairs are split by (src, dst), so a row with very many pairs is spread over all query blocks
     asked = asked.withColumn("_q", F.pmod(F.xxhash64("src", "dst"), F.lit(blocks)).cast("int")).withColumn("_b", every)
 
     def count(key: tuple, pairs: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
@@ -376,13 +391,10 @@ def ranks_among_all(df: DataFrame, thresholds: DataFrame, metric: Dissimilarity,
         out = np.zeros(len(pairs), np.int64)
         for a in range(0, len(pairs), TILE):
             p = pairs.iloc[a:a + TILE]
-            fs, fd = _matrix(p["fs"]), _matrix(p["fd"])
-            src, dst = p["src"].to_numpy(), p["dst"].to_numpy()
-            own = np.array([metric.between(fs[i:i + 1], fd[i:i + 1])[0, 0] for i in range(len(p))])
-            own = np.round(np.nan_to_num(own, nan=MISSING_DISTANCE), 9)[:, None]
-            d = np.round(np.nan_to_num(metric.between(fs, y), nan=MISSING_DISTANCE), 9)
-            nearer = (d < own) | ((d == own) & (names[None] < dst[:, None]))
-            out[a:a + TILE] = (nearer & (names[None] != src[:, None])).sum(axis=1)
+            src, dst, own = (p[c].to_numpy()[:, None] for c in ("src", "dst", "own"))
+            d = np.round(np.nan_to_num(metric.between(_matrix(p["fs"]), y), nan=MISSING_DISTANCE), 9)
+            nearer = (d < own) | ((d == own) & (names[None] < dst))
+            out[a:a + TILE] = (nearer & (names[None] != src)).sum(axis=1)
         return pd.DataFrame({"src": pairs["src"], "dst": pairs["dst"], "nearer": out})
 
     tasks = _tasks(df, blocks * blocks)

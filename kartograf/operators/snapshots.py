@@ -59,8 +59,7 @@ def reference_valid(interp_diff: Column) -> Column:
 
 
 def relative_time(df: DataFrame, ts: str = "ts") -> DataFrame:
-    first = df.agg(F.min(ts).alias("_t0"))
-    return df.crossJoin(F.broadcast(first)).withColumn(ts, F.col(ts) - F.col("_t0")).drop("_t0")
+    return df.withColumn(ts, F.col(ts) - df.agg(F.min(ts)).scalar())
 
 
 def blank_invalid(value: Column, valid: Column) -> Column:
@@ -94,10 +93,11 @@ def with_norm_factor(df: DataFrame, norm: str, norm_range: str) -> DataFrame:
         return df.withColumn("factor", top)
     if norm_range == "set":
         return df.withColumn("factor", F.max(top).over(W.partitionBy("id")))
-    # one row per antenna, or one in all: aggregated with map-side combine and sent back small
-    keys = ["antenna"] if norm_range == "antenna" else []
-    peaks = F.broadcast(df.groupBy(*keys).agg(F.max(top).alias("factor")))
-    return df.join(peaks, keys) if keys else df.crossJoin(peaks)
+    # one number per antenna, or one in all: aggregated with map-side combine and sent back small
+    if norm_range == "full":
+        return df.withColumn("factor", df.agg(F.max(top)).scalar())
+    peaks = df.groupBy("antenna").agg(F.max(top).alias("factor"))
+    return df.join(F.broadcast(peaks), "antenna")  # one row per antenna
 
 
 def normalize(df: DataFrame, norm: str, norm_range: str = "self") -> DataFrame:

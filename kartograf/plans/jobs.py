@@ -156,7 +156,7 @@ def score(chart: DataFrame, charted: bool = True, limit: int = 5000) -> dict[str
     if charted:
         thinned = cut(stride_to(usable, limit, "id"))
         for part in (evaluation.trustworthiness(thinned), evaluation.continuity(thinned), evaluation.kruskal_stress(thinned)):
-            metrics = metrics.crossJoin(part)
+            metrics = metrics.withColumn(part.columns[0], part.scalar())
         out["colors"] = evaluation.chart_colors(stride_to(aligned, limit, "id"))
     out["metrics"] = metrics
     return out

@@ -6,7 +6,8 @@ import os
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(master: str | None = None, app: str = "kartograf", **conf) -> SparkSession:
@@ -51,3 +52,8 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="kartograf-"))
     return df.checkpoint(eager)
+
+
+def scalars(df: DataFrame, **aggregates: Column) -> Column:
+    """Aggregates of a whole table as one struct column: an uncorrelated scalar subquery."""
+    return df.agg(F.struct(*[value.alias(name) for name, value in aggregates.items()]).alias("s")).scalar()
