@@ -148,18 +148,18 @@ def component_count(spark, d):
     return labels.agg(F.countDistinct("component").alias("components"), F.count("*").alias("nodes"))
 
 
-@query("geodesic_pairs", f"WITH RECURSIVE {PATH_SQL}, {PAIR_SQL} SELECT DISTINCT i, j, ROUND(d, 6) + 0.0 AS d FROM drawn JOIN sp ON src = i AND dst = j")
+@query("geodesic_pairs", f"WITH RECURSIVE {PATH_SQL}, {PAIR_SQL} SELECT DISTINCT i, j, ROUND(d, 9) + 0.0 AS d FROM drawn JOIN sp ON src = i AND dst = j")
 def geodesic_pairs(spark, d):
     """Geodesic distance to the drawn partner of every row."""
     out = graph.geodesics_between(neighbor_graph(spark, d), drawn_pairs(spark, d))
-    return out.select("i", "j", r("d").alias("d"))
+    return out.select("i", "j", r("d", 9).alias("d"))
 
 
-@query("geodesic_summary", f"WITH RECURSIVE {PATH_SQL} SELECT src, count(*) AS reached, ROUND(avg(d), 6) + 0.0 AS mean_d, ROUND(max(d), 6) + 0.0 AS max_d FROM sp WHERE src <> dst GROUP BY src")
+@query("geodesic_summary", f"WITH RECURSIVE {PATH_SQL} SELECT src, count(*) AS reached, ROUND(avg(d), 6) + 0.0 AS mean_d, ROUND(max(d), 9) + 0.0 AS max_d FROM sp WHERE src <> dst GROUP BY src")
 def geodesic_summary(spark, d):
     """All-pairs geodesics folded to one row per source."""
     out = graph.geodesic_summary(neighbor_graph(spark, d), vectors(spark, d).select("id"))
-    return out.select("src", "reached", r("mean_d").alias("mean_d"), r("max_d").alias("max_d"))
+    return out.select("src", "reached", r("mean_d").alias("mean_d"), r("max_d", 9).alias("max_d"))
 
 
 _TARGETS = """tg AS (SELECT DISTINCT b.id FROM (SELECT {pick} AS at FROM range(16) k(k), (SELECT count(*) AS n FROM embeddings)) a JOIN rowno b ON b.p = a.at)"""
@@ -175,12 +175,12 @@ def _targets(spark, d):
 
 
 @query("path_trees", f"""WITH RECURSIVE {PATH_SQL}, {PAIR_SQL}, {TARGET_SQL}
-SELECT s.src AS target, s.dst AS node, CASE WHEN s.src = s.dst THEN -1 ELSE arg_min(e.i, q.d + e.w) END AS pred, ROUND(any_value(s.d), 6) + 0.0 AS d
+SELECT s.src AS target, s.dst AS node, CASE WHEN s.src = s.dst THEN -1 ELSE arg_min(e.i, q.d + e.w) END AS pred, ROUND(any_value(s.d), 9) + 0.0 AS d
 FROM sp s JOIN tg ON tg.id = s.src LEFT JOIN edge e ON e.j = s.dst LEFT JOIN sp q ON q.src = s.src AND q.dst = e.i GROUP BY s.src, s.dst""")
 def path_trees(spark, d):
     """Predecessor of every node towards each drawn target."""
     trees = graph.shortest_path_trees(neighbor_graph(spark, d), _targets(spark, d))
-    return trees.select("target", "node", "pred", r("d").alias("d"))
+    return trees.select("target", "node", "pred", r("d", 9).alias("d"))
 
 
 @query("longest_path", f"""WITH RECURSIVE {PATH_SQL}, {PAIR_SQL}, {TARGET_SQL},
@@ -194,7 +194,7 @@ def longest_path(spark, d):
     return spark.createDataFrame([(graph.longest_path_hops(trees),)], "nodes int")
 
 
-@query("path_lengths", f"""WITH RECURSIVE {PATH_SQL}, {PAIR_SQL} SELECT i AS source, j AS target, ROUND(d, 6) + 0.0 AS length FROM drawn JOIN sp ON src = i AND dst = j""")
+@query("path_lengths", f"""WITH RECURSIVE {PATH_SQL}, {PAIR_SQL} SELECT i AS source, j AS target, ROUND(d, 9) + 0.0 AS length FROM drawn JOIN sp ON src = i AND dst = j""")
 def path_lengths(spark, d):
     """Shortest path to the drawn partner, its length summed hop by hop along the nodes."""
     edges = neighbor_graph(spark, d)
@@ -203,7 +203,7 @@ def path_lengths(spark, d):
     hops = paths.select("source", "target", F.posexplode("nodes").alias("at", "src"), F.col("nodes").alias("_n")) \
         .withColumn("dst", F.get("_n", F.col("at") + 1)).drop("_n")
     summed = hops.join(edges, ["src", "dst"], "left").groupBy("source", "target").agg(F.sum(F.coalesce("w", F.lit(0.0))).alias("l"))
-    return summed.select("source", "target", r("l").alias("length"))
+    return summed.select("source", "target", r("l", 9).alias("length"))
 
 
 @query("contracted_trees", f"""WITH RECURSIVE {PATH_SQL}, {PAIR_SQL}, {TARGET_SQL},

@@ -244,11 +244,11 @@ _filter("arrival_median_filter", "median", 10)
 _filter("arrival_median_filter_odd", "median", 7)
 
 
-@query("cumulative_displacement", """SELECT event_id AS id, ROUND((epoch_us(ts)/1e6 - first_value(epoch_us(ts)/1e6) OVER (ORDER BY event_id))*1.2, 3) + 0.0 AS displacement FROM events""")
+@query("cumulative_displacement", """SELECT event_id AS id, ROUND((epoch_us(ts)/1e6 - first_value(epoch_us(ts)/1e6) OVER (ORDER BY event_id))*1.2345678, 3) + 0.0 AS displacement FROM events""")
 def cumulative_displacement(spark, d):
     from catalog.base import seconds, table
     rows = table(spark, d, "events").select(F.col("event_id").alias("id"), seconds().alias("ts"))
-    return series.cumulative_displacement(rows, 1.2).select("id", r("displacement", 3).alias("displacement"))
+    return series.cumulative_displacement(rows, 1.2345678).select("id", r("displacement", 3).alias("displacement"))
 
 
 @query("acceleration_loss", """WITH e AS (SELECT event_id, epoch_us(ts)/1e6/3600 AS t, value AS x, CAST(user_id AS DOUBLE) AS y, row_number() OVER (ORDER BY event_id) - 1 AS p FROM events),
@@ -256,13 +256,13 @@ s AS (SELECT * FROM e WHERE p >= 3 AND (p - 3) % 10 = 0),
 v AS (SELECT *, t - lag(t) OVER w AS d1, lead(t) OVER w - t AS d2, x - lag(x) OVER w AS x1, lead(x) OVER w - x AS x2, y - lag(y) OVER w AS y1, lead(y) OVER w - y AS y2
   FROM s WINDOW w AS (ORDER BY event_id)),
 a AS (SELECT pow((x2/d2 - x1/d1)/d1, 2) + pow((y2/d2 - y1/d1)/d1, 2) AS q FROM v WHERE d1 > 1e-8 AND d2 > 1e-8)
-SELECT ROUND(avg(q/1.7), 4) + 0.0 AS loss FROM a""")
+SELECT ROUND(avg(q/1.7)/1e9, 6) + 0.0 AS loss FROM a""")
 def acceleration_loss(spark, d):
     from catalog.base import seconds, table
     from kartograf.operators.losses import acceleration_loss as loss
     rows = table(spark, d, "events").select(F.col("event_id").alias("id"), (seconds() / 3600).alias("ts"),
                                             F.col("value").alias("x"), F.col("user_id").cast("double").alias("y"))
-    return loss(series.accelerations(rows, 10, 3)).select(r("loss", 4).alias("loss"))
+    return loss(series.accelerations(rows, 10, 3)).select(r(F.col("loss") / 1e9).alias("loss"))
 
 
 @query("prepare_training", f"""WITH {TAP_SQL}, m AS (SELECT *, sqrt(re*re+im*im) AS m, atan2(im, re) AS ph FROM tap),

@@ -17,6 +17,14 @@ def doubles(values) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it many times in ``body``.
+
+    Inside a lambda an outer expression would be evaluated again for every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v)
 
@@ -34,12 +42,12 @@ def mean(x: Column) -> Column:
 
 
 def scale(x: Column, factor: Column) -> Column:
-    return F.transform(x, lambda a: a * factor)
+    return let(factor, lambda f: F.transform(x, lambda a: a * f))
 
 
 def divide(x: Column, divisor: Column) -> Column:
     """Elementwise division; a zero divisor gives NULL taps (the array code's NaN)."""
-    return F.transform(x, lambda a: F.try_divide(a, divisor))
+    return let(divisor, lambda f: F.transform(x, lambda a: F.try_divide(a, f)))
 
 
 def magnitude(re: Column, im: Column) -> Column:
@@ -88,8 +96,12 @@ def cosine(x: Column, y: Column) -> Column:
     return 1.0 - F.try_divide(dot(x, y), norm(x) * norm(y))
 
 
+def centered(x: Column) -> Column:
+    return let(mean(x), lambda m: F.transform(x, lambda a: a - m))
+
+
 def correlation(x: Column, y: Column) -> Column:
-    return cosine(F.transform(x, lambda a: a - mean(x)), F.transform(y, lambda b: b - mean(y)))
+    return let(centered(x), lambda u: let(centered(y), lambda v: cosine(u, v)))
 
 
 def canberra(x: Column, y: Column) -> Column:
@@ -110,15 +122,16 @@ def hamming(x: Column, y: Column) -> Column:
 
 
 def jensenshannon(x: Column, y: Column) -> Column:
-    p, q = divide(x, total(x)), divide(y, total(y))
-
     def relative_entropy(u, v):
         def term(a, b):
             return F.when(a == 0, 0.0).otherwise(a * F.ln(F.try_divide(a, (a + b) / 2.0)))
 
         return total(F.zip_with(u, v, term))
 
-    return F.sqrt(F.greatest((relative_entropy(p, q) + relative_entropy(q, p)) / 2.0, F.lit(0.0)))
+    def divergence(p, q):
+        return F.sqrt(F.greatest((relative_entropy(p, q) + relative_entropy(q, p)) / 2.0, F.lit(0.0)))
+
+    return let(divide(x, total(x)), lambda p: let(divide(y, total(y)), lambda q: divergence(p, q)))
 
 
 METRICS = {
@@ -188,7 +201,7 @@ def antenna_distance(left: Column, right: Column, metric: str = "cityblock", agg
 def energy_share(p: Column) -> Column:
     """Power per tap as a share of the row's energy; an all-zero row is left as it is."""
     energy = total(F.transform(p, lambda v: F.coalesce(v, F.lit(0.0))))
-    return F.transform(p, lambda v: v / F.when(energy == 0, 1.0).otherwise(energy))
+    return let(F.when(energy == 0, 1.0).otherwise(energy), lambda e: F.transform(p, lambda v: v / e))
 
 
 def signature_weights(taps: int) -> list[float]:
@@ -210,21 +223,24 @@ def signature(re: Column, im: Column, taps: int) -> Column:
 
 
 def _matvec(rows: list[list[float]], x: Column) -> Column:
-    matrix = F.array(*[doubles(row) for row in rows])
-    return F.transform(matrix, lambda row: dot(row, x))
+    return F.array(*[dot(doubles(row), x) for row in rows])
 
 
-def dft(re: Column, im: Column, taps: int, bins: int | None = None) -> tuple[Column, Column]:
-    """Forward DFT; a longer ``bins`` zero-pads, a shorter one truncates the input."""
+def dft(re: Column, im: Column, taps: int, bins: int | None = None) -> Column:
+    """Forward DFT as a struct (re, im); more ``bins`` pad with zeros, fewer truncate the input."""
     bins = bins or taps
     used = min(taps, bins)
     cos = [[math.cos(2 * math.pi * k * n / bins) for n in range(used)] for k in range(bins)]
     sin = [[math.sin(2 * math.pi * k * n / bins) for n in range(used)] for k in range(bins)]
     if used < taps:
         re, im = F.slice(re, 1, used), F.slice(im, 1, used)
-    out_re = F.zip_with(_matvec(cos, re), _matvec(sin, im), lambda a, b: a + b)
-    out_im = F.zip_with(_matvec(cos, im), _matvec(sin, re), lambda a, b: a - b)
-    return out_re, out_im
+
+    def transform(z):
+        return F.struct(
+            F.zip_with(_matvec(cos, z["re"]), _matvec(sin, z["im"]), lambda a, b: a + b).alias("re"),
+            F.zip_with(_matvec(cos, z["im"]), _matvec(sin, z["re"]), lambda a, b: a - b).alias("im"))
+
+    return let(F.struct(re.alias("re"), im.alias("im")), transform)
 
 
 def signed_frequencies(taps: int) -> list[float]:
@@ -232,15 +248,18 @@ def signed_frequencies(taps: int) -> list[float]:
     return [(k if k < (taps + 1) // 2 else k - taps) / taps for k in range(taps)]
 
 
-def delay_taps(re: Column, im: Column, delay: Column, taps: int) -> tuple[Column, Column]:
-    """Circular delay by a fractional number of taps (Fourier shift); NULL delay gives NULL."""
-    spec_re, spec_im = dft(re, im, taps)
+def delay_taps(re: Column, im: Column, delay: Column, taps: int) -> Column:
+    """Circular delay by a fractional number of taps, as a struct (re, im); NULL delay gives NULL."""
+
+    def turn(z, angle):
+        both = F.arrays_zip(z["re"].alias("a"), z["im"].alias("b"), angle.alias("w"))
+        return F.struct(F.transform(both, lambda e: e["a"] * F.cos(e["w"]) + e["b"] * F.sin(e["w"])).alias("re"),
+                        # the inverse transform is a forward transform between two conjugations
+                        F.transform(both, lambda e: e["a"] * F.sin(e["w"]) - e["b"] * F.cos(e["w"])).alias("im"))
+
     angle = F.transform(doubles(signed_frequencies(taps)), lambda f: f * delay * (2 * math.pi))
-    c, s = F.transform(angle, F.cos), F.transform(angle, F.sin)
-    turned_re = F.zip_with(F.zip_with(spec_re, c, lambda a, b: a * b),
-                           F.zip_with(spec_im, s, lambda a, b: a * b), lambda a, b: a + b)
-    turned_im = F.zip_with(F.zip_with(spec_im, c, lambda a, b: a * b),
-                           F.zip_with(spec_re, s, lambda a, b: a * b), lambda a, b: a - b)
-    # inverse transform = conjugate, forward transform, conjugate, divide
-    back_re, back_im = dft(turned_re, F.transform(turned_im, lambda v: -v), taps)
-    return scale(back_re, F.lit(1.0 / taps)), scale(back_im, F.lit(-1.0 / taps))
+    turned = let(angle, lambda w: let(dft(re, im, taps), lambda z: turn(z, w)))
+    back = let(turned, lambda z: dft(z["re"], z["im"], taps))
+    moved = let(back, lambda z: F.struct(F.transform(z["re"], lambda v: v / taps).alias("re"),
+                                         F.transform(z["im"], lambda v: -v / taps).alias("im")))
+    return F.when(delay.isNotNull() & re.isNotNull(), moved)

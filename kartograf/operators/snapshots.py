@@ -109,8 +109,8 @@ def normalize(df: DataFrame, norm: str, norm_range: str = "self") -> DataFrame:
 
 def align_to_toa(df: DataFrame, tap_seconds: float, taps: int) -> DataFrame:
     """Circularly delay each antenna's signal by its time of arrival; no time, no signal."""
-    re, im = arrays.delay_taps(F.col("re"), F.col("im"), F.col("toa") / tap_seconds, taps)
-    return df.withColumn("_re", re).withColumn("im", im).withColumn("re", F.col("_re")).drop("_re")
+    df = df.withColumn("_moved", arrays.delay_taps(F.col("re"), F.col("im"), F.col("toa") / tap_seconds, taps))
+    return df.withColumn("re", F.col("_moved.re")).withColumn("im", F.col("_moved.im")).drop("_moved")
 
 
 def iq_to_abs(df: DataFrame, keep_iq: bool = False) -> DataFrame:
@@ -126,9 +126,9 @@ def time_to_frequency(df: DataFrame, taps: int, n_fft: int | None = None, normal
     bins = n_fft or taps
     factor = F.lit(1.0 / bins ** 0.5 if normalize else 1.0)
     for c in [c for c in df.columns if c.startswith("inputs")]:
-        both = F.zip_with(F.col(c)[0], F.col(c)[1], lambda re, im: F.array(
-            *[arrays.scale(part, factor) for part in arrays.dft(re, im, taps, bins)]))
-        df = df.withColumn(c, F.array(F.transform(both, lambda p: p[0]), F.transform(both, lambda p: p[1])))
+        df = df.withColumn("_cfr", F.zip_with(F.col(c)[0], F.col(c)[1], lambda re, im: arrays.dft(re, im, taps, bins)))
+        part = lambda name: F.transform("_cfr", lambda z: F.transform(z[name], lambda v: v * factor))
+        df = df.withColumn(c, F.array(part("re"), part("im"))).drop("_cfr")
     return df
 
 
