@@ -10,10 +10,8 @@ chunk, however many rows a single series holds.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -31,29 +29,23 @@ def _cuts(df: DataFrame, order: str, rows_per_chunk: int) -> list[float]:
     return sorted(set(picked))
 
 
-def with_chunk(df: DataFrame, order: str, rows_per_chunk: int = ROWS_PER_CHUNK,
-               chunk: str = "_chunk") -> DataFrame:
+def _with_chunk(df: DataFrame, order: str, cuts: list[float]) -> DataFrame:
     """Add the number of the chunk of consecutive rows that a row belongs to."""
-    cuts = _cuts(df, order, rows_per_chunk)
-    if not cuts:
-        return df.withColumn(chunk, F.lit(0))
     bucketizer = Bucketizer(splits=[float("-inf"), *cuts, float("inf")],
                             inputCol="_order", outputCol="_bucket")
     bucketed = bucketizer.transform(df.withColumn("_order", F.col(order).cast("double")))
-    return bucketed.withColumn(chunk, F.col("_bucket").cast("int")).drop("_order", "_bucket")
-
-
-def same(left: str, right: str, columns) -> Column:
-    """Null-safe equality of the named columns of two aliased frames."""
-    return reduce(lambda a, b: a & b,
-                  [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns])
+    return bucketed.withColumn("_chunk", F.col("_bucket").cast("int")).drop("_order", "_bucket")
 
 
 def with_position(df: DataFrame, order: str, keys=(), position: str = "pos",
                   rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """Dense 0-based row position per series in ``order`` (a unique numeric column)."""
     keys = list(keys)
-    chunked = with_chunk(df, order, rows_per_chunk)
+    cuts = _cuts(df, order, rows_per_chunk)
+    if not cuts:  # the whole table is no larger than one chunk
+        w = W.partitionBy(*(keys or [F.lit(0)])).orderBy(order)
+        return df.withColumn(position, F.row_number().over(w).cast("bigint") - 1)
+    chunked = _with_chunk(df, order, cuts)
     group = [*keys, "_chunk"]
     sizes = chunked.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*(keys or [F.lit(0)])).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
@@ -75,10 +67,19 @@ def with_segments(df: DataFrame, order: str, ts: str, max_gap: float | None, key
     (position of the segment's first row) and ``seg_len``.  A backward jump in time is no gap.
     """
     keys = list(keys)
+    gap = F.lit(float("inf") if max_gap is None else float(max_gap))
+    cuts = _cuts(df, order, rows_per_chunk)
+    if not cuts:  # the whole table is no larger than one chunk
+        w = W.partitionBy(*(keys or [F.lit(0)])).orderBy(order)
+        split = F.coalesce((F.col(ts) - F.lag(ts).over(w) > gap).cast("int"), F.lit(0))
+        placed = df.withColumn("pos", F.row_number().over(w).cast("bigint") - 1).withColumn("_break", split)
+        placed = placed.withColumn("seg", F.sum("_break").over(w.rowsBetween(W.unboundedPreceding, 0)).cast("bigint"))
+        whole = W.partitionBy(*keys, "seg")
+        return placed.withColumn("seg_start", F.min("pos").over(whole)) \
+            .withColumn("seg_len", F.count(F.lit(1)).over(whole)).drop("_break")
     group = [*keys, "_chunk"]
-    chunked = with_chunk(df, order, rows_per_chunk)
+    chunked = _with_chunk(df, order, cuts)
     w = W.partitionBy(*group).orderBy(order)
-    gap = F.lit(float("inf") if max_gap is None else float(max_gap))
     inner = (
         chunked.withColumn("_rank", F.row_number().over(w).cast("bigint"))
         .withColumn("_break", F.coalesce((F.col(ts) - F.lag(ts).over(w) > gap).cast("int"), F.lit(0)))

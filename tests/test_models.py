@@ -177,7 +177,8 @@ def test_training_lowers_the_loss_and_predicts(spark, workers):
     y = np.c_[x[:, 0] - x[:, 1], x[:, 2]]
     rows = spark.createDataFrame([(i, x[i].tolist(), y[i].tolist()) for i in range(300)], "id bigint, x array<double>, target array<double>")
     model = N.Model("fingerprint", N.MLP(4, (16, 8), 2, norm=False))
-    t = N.train(model, rows, 8, 32, 0.01, 3, workers, "CosineWithWarmupLR", {"warmup_epochs": 1, "T_max": 8})
+    epochs = 8 * workers  # partitions step side by side: the same number of steps in sequence
+    t = N.train(model, rows, epochs, 32, 0.01, 3, workers, "CosineWithWarmupLR", {"warmup_epochs": 1, "T_max": epochs})
     assert t.history[-1] < 0.4 * t.history[0]
     got = t.predict(rows).orderBy("id").toPandas()
     assert np.mean((got[["x", "y"]].to_numpy() - y) ** 2) < 0.5
