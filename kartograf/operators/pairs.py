@@ -231,10 +231,11 @@ def nearest_neighbors(df: DataFrame, k: int, metric: Dissimilarity, prune: bool
     firsts = df.withColumn("_m", F.row_number().over(members)).filter(F.col("_m") <= k + 1)
     groups = firsts.groupBy("_h", "f").agg(F.min("id").alias("vid"), F.sort_array(F.collect_list("id")).alias("ids"))
     groups = cut(groups)
-    n, copies = groups.count(), df.count()
-    has_nan = groups.filter(F.exists("f", lambda v: F.isnan(v))).limit(1).count() > 0
+    copies = df.count()
+    facts = groups.agg(F.count("*").alias("n"), F.max(F.exists("f", lambda v: F.isnan(v))).alias("nan")).first()
+    n = facts["n"]
     if prune is None:
-        prune = metric.obeys_triangle and not has_nan and n > 4 * rows_per_block
+        prune = metric.obeys_triangle and not facts["nan"] and n > 4 * rows_per_block
     rows_per_block = max(rows_per_block, -(-n // 100_000))
     points = groups.select("vid", "f")
 
@@ -249,27 +250,25 @@ def nearest_neighbors(df: DataFrame, k: int, metric: Dissimilarity, prune: bool
                 rows["_dp"] = d.min(axis=1)
                 yield rows
 
-        points = points.mapInPandas(nearest_pivot, "vid bigint, f array<double>, _pivot int, _dp double")
+        points = cut(points.mapInPandas(nearest_pivot, "vid bigint, f array<double>, _pivot int, _dp double"))
+        per_pivot = {row["_pivot"]: row["n"] for row in points.groupBy("_pivot").agg(F.count("*").alias("n")).collect()}
+        splits = {p: max(-(-c // rows_per_block), 1) for p, c in per_pivot.items()}
+        starts, at = {}, 0
+        for p in sorted(splits):
+            starts[p], at = at, at + splits[p]
+        layout = spark.createDataFrame([(p, starts[p], splits[p]) for p in splits], "_pivot int, _start int, _splits int")
+        points = points.join(F.broadcast(layout), "_pivot").withColumn(
+            "_chunk", F.col("_start") + F.pmod(F.xxhash64("vid"), F.col("_splits")).cast("int"))
+        points = points.select("vid", "f", "_pivot", "_dp", "_chunk")
+        extent = points.groupBy("_chunk").agg(F.first("_pivot").alias("p"), F.min("_dp").alias("lo"),
+                                              F.max("_dp").alias("hi")).toPandas()
+        chunk_no = extent["_chunk"].to_numpy(np.int64)
+        chunk_pivot, lo, hi = extent["p"].to_numpy(np.int64), extent["lo"].to_numpy(), extent["hi"].to_numpy()
     else:
         centers = None
-        points = points.withColumn("_pivot", F.lit(0)).withColumn("_dp", F.lit(0.0))
-    points = cut(points)
-
-    per_pivot = {r["_pivot"]: r["n"] for r in points.groupBy("_pivot").agg(F.count("*").alias("n")).collect()}
-    least = 1 if prune else min(4, -(-n // 128))
-    splits = {p: max(-(-c // rows_per_block), least, 1) for p, c in per_pivot.items()}
-    starts, at = {}, 0
-    for p in sorted(splits):
-        starts[p], at = at, at + splits[p]
-    layout = spark.createDataFrame([(p, starts[p], splits[p]) for p in splits] or [(0, 0, 1)],
-                                   "_pivot int, _start int, _splits int")
-    points = points.join(F.broadcast(layout), "_pivot").withColumn(
-        "_chunk", F.col("_start") + F.pmod(F.xxhash64("vid"), F.col("_splits")).cast("int"))
-    points = points.select("vid", "f", "_pivot", "_dp", "_chunk")
-    extent = points.groupBy("_chunk").agg(F.first("_pivot").alias("p"), F.min("_dp").alias("lo"),
-                                          F.max("_dp").alias("hi")).toPandas()
-    chunk_no = extent["_chunk"].to_numpy(np.int64)
-    chunk_pivot, lo, hi = extent["p"].to_numpy(np.int64), extent["lo"].to_numpy(), extent["hi"].to_numpy()
+        least = min(4, -(-n // 128))
+        chunk_no = np.arange(max(-(-n // rows_per_block), least, 1))
+        points = points.withColumn("_chunk", F.pmod(F.xxhash64("vid"), F.lit(len(chunk_no))).cast("int"))
 
     def distance(x, y):
         return np.round(np.nan_to_num(metric.between(x, y), nan=MISSING_DISTANCE), decimals)
@@ -284,33 +283,29 @@ def nearest_neighbors(df: DataFrame, k: int, metric: Dissimilarity, prune: bool
         return rows[["vid", "f"]].assign(_bound=bound)
 
     def route(batches):
-        for rows in batches:
-            if centers is None:
-                reach = np.ones((len(rows), len(chunk_no)), bool)
-            else:
+        step = max(1, 4_000_000 // len(chunk_no))
+        for whole in batches:
+            for a in range(0, len(whole), step):
+                rows = whole.iloc[a:a + step]
                 dq = metric.between(_matrix(rows["f"]), centers)[:, chunk_pivot]
                 lower = np.maximum(np.maximum(dq - hi, lo - dq), 0)
-                limit = rows["_bound"].to_numpy()
-                reach = lower * (1 - 1e-9) - 1e-8 <= limit[:, None]
-            r, c = np.nonzero(reach)
-            for a in range(0, len(r), 65536):
-                picked = rows.iloc[r[a:a + 65536]]
-                yield pd.DataFrame({"_chunk": chunk_no[c[a:a + 65536]], "vid": picked["vid"].to_numpy(),
-                                    "f": picked["f"].to_numpy()})
+                r, c = np.nonzero(lower * (1 - 1e-9) - 1e-8 <= rows["_bound"].to_numpy()[:, None])
+                for b in range(0, len(r), 65536):
+                    picked = rows.iloc[r[b:b + 65536]]
+                    yield pd.DataFrame({"_chunk": chunk_no[c[b:b + 65536]], "vid": picked["vid"].to_numpy(),
+                                        "f": picked["f"].to_numpy()})
 
     if prune:
         bounded = points.repartition(_tasks(df, len(chunk_no)), "_chunk").groupBy("_chunk") \
             .applyInPandas(kth_inside, "vid bigint, f array<double>, _bound double")
-    else:
-        bounded = points.select("vid", "f")
-    visits = bounded.mapInPandas(route, "_chunk int, vid bigint, f array<double>")
-    if prune:
-        visits = cut(visits)
+        visits = cut(bounded.mapInPandas(route, "_chunk int, vid bigint, f array<double>"))
         load = visits.groupBy("_chunk").agg(F.count("*").alias("q"))
         load = load.select("_chunk", F.ceil(F.col("q") / (4 * rows_per_block)).cast("int").alias("_parts"))
     else:
+        every = F.sequence(F.lit(0), F.lit(len(chunk_no) - 1))
+        visits = points.select(F.explode(every).alias("_chunk"), "vid", "f")
         parts = max(-(-n // (4 * rows_per_block)), least)
-        load = points.select("_chunk").distinct().withColumn("_parts", F.lit(parts))
+        load = spark.range(len(chunk_no)).select(F.col("id").cast("int").alias("_chunk"), F.lit(parts).alias("_parts"))
     load = F.broadcast(load)  # one row per chunk, at most 100,000 + pivots
     asked = visits.join(load, "_chunk").withColumn("_part", F.pmod(F.xxhash64("vid"), F.col("_parts"))).drop("_parts")
     held = points.select("_chunk", "vid", "f").join(load, "_chunk").withColumn(
