@@ -292,22 +292,22 @@ def nearest_neighbors(df: DataFrame, k: int, metric: Dissimilarity, prune: bool
                 r, c = np.nonzero(lower * (1 - 1e-9) - 1e-8 <= rows["_bound"].to_numpy()[:, None])
                 for b in range(0, len(r), 65536):
                     picked = rows.iloc[r[b:b + 65536]]
-                    yield pd.DataFrame({"_chunk": chunk_no[c[b:b + 65536]], "vid": picked["vid"].to_numpy(),
-                                        "f": picked["f"].to_numpy()})
+                    yield pd.DataFrame({"_chunk": chunk_no[c[b:b + 65536]], "query": picked["vid"].to_numpy(),
+                                        "q": picked["f"].to_numpy()})
 
     if prune:
         bounded = points.repartition(_tasks(df, len(chunk_no)), "_chunk").groupBy("_chunk") \
             .applyInPandas(kth_inside, "vid bigint, f array<double>, _bound double")
-        visits = cut(bounded.mapInPandas(route, "_chunk int, vid bigint, f array<double>"))
-        load = visits.groupBy("_chunk").agg(F.count("*").alias("q"))
-        load = load.select("_chunk", F.ceil(F.col("q") / (4 * rows_per_block)).cast("int").alias("_parts"))
+        visits = cut(bounded.mapInPandas(route, "_chunk int, query bigint, q array<double>"))
+        load = visits.groupBy("_chunk").agg(F.count("*").alias("n"))
+        load = load.select("_chunk", F.ceil(F.col("n") / (4 * rows_per_block)).cast("int").alias("_parts"))
     else:
         every = F.sequence(F.lit(0), F.lit(len(chunk_no) - 1))
-        visits = points.select(F.explode(every).alias("_chunk"), "vid", "f")
+        visits = points.select(F.explode(every).alias("_chunk"), F.col("vid").alias("query"), F.col("f").alias("q"))
         parts = max(-(-n // (4 * rows_per_block)), least)
         load = spark.range(len(chunk_no)).select(F.col("id").cast("int").alias("_chunk"), F.lit(parts).alias("_parts"))
     load = F.broadcast(load)  # one row per chunk, at most 100,000 + pivots
-    asked = visits.join(load, "_chunk").withColumn("_part", F.pmod(F.xxhash64("vid"), F.col("_parts"))).drop("_parts")
+    asked = visits.join(load, "_chunk").withColumn("_part", F.pmod(F.xxhash64("query"), F.col("_parts"))).drop("_parts")
     held = points.select("_chunk", "vid", "f").join(load, "_chunk").withColumn(
         "_part", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("_parts") - 1).cast("bigint")))).drop("_parts")
     cells = _tasks(df, len(chunk_no) * 8)
@@ -318,10 +318,10 @@ def nearest_neighbors(df: DataFrame, k: int, metric: Dissimilarity, prune: bool
             base = base.sort_values("vid")
             y, names = _matrix(base["f"]), base["vid"].to_numpy()
             for a in range(0, len(queries), TILE):
-                q = queries.iloc[a:a + TILE]
-                d = distance(_matrix(q["f"]), y)
+                part = queries.iloc[a:a + TILE]
+                d = distance(_matrix(part["q"]), y)
                 r, c = _smallest(d, k + 1)  # the row itself is among them
-                out.append(pd.DataFrame({"vid": q["vid"].to_numpy()[r], "other": names[c], "d": d[r, c]}))
+                out.append(pd.DataFrame({"vid": part["query"].to_numpy()[r], "other": names[c], "d": d[r, c]}))
         return pd.concat(out) if out else pd.DataFrame({"vid": [], "other": [], "d": []})
 
     near = asked.repartition(cells, "_chunk", "_part").groupBy("_chunk", "_part").cogroup(
