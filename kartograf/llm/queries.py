@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kartograf.llm import exact_dedup, urls
+from kartograf.llm import exact_dedup, packing, pii, prefixes, revisits, urls
 from kartograf.llm.base import prepared, table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -59,3 +59,47 @@ SELECT page_id, host, path, rule, coalesce(best.verdict, split_part(g, ':', 1),
 def op5(spark, d):
     """All pages by address."""
     return urls.judge_urls(table(spark, d, "pages"), urls.rule_table(spark))
+
+
+@query("op4_pii")
+def op4(spark, d):
+    """Personal data in all documents."""
+    return pii.personal_data(table(spark, d, "documents"))
+
+
+@query("op7_best_fit_packing")
+def op7(spark, d):
+    """All documents, by words, in sequences of 512 to 8,192."""
+    return packing.pack_documents(table(spark, d, "documents"))
+
+
+@query("op8_document_fingerprints")
+def op8(spark, d):
+    """Fingerprints of all documents and of their edited texts."""
+    return prefixes.fingerprints(table(spark, d, "documents"))
+
+
+_HEADERS = """'{"content-length":"' || n || '","content-type":"' || kind_of || '","date":"' || moment || '"' || CASE WHEN tag IS NULL THEN '' ELSE ',"etag":"\\"' || tag || '\\""' END || ',"expires":"' || (moment + 60) || '"}'"""
+
+
+@query("op9_warc_revisits", rf"""WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, CASE WHEN page_id % 3 <> 0 THEN md5(coalesce(html, '')) END AS tag,
+  CASE WHEN page_id % 5 <> 0 THEN 'day ' || length(coalesce(html, '')) END AS lm FROM pages),
+rec AS (SELECT page_id * 3 AS record_id, 'response' AS kind, url, page_id * 60 AS date, tag, lm, sha256(html) AS sha, length(html) AS n, 'text/html' AS ct FROM p
+  UNION ALL SELECT page_id * 3 + 1, 'revisit', regexp_replace(url, '^https?://', 'HTTP://') || '#again', page_id * 60 + 2400000, tag, lm, NULL, 0, 'none' FROM p
+  UNION ALL SELECT page_id * 3 + 2, 'revisit', url, page_id * 60 - 60, tag, lm, NULL, 0, 'none' FROM p),
+bare AS (SELECT *, regexp_replace(regexp_replace(coalesce(url, ''), '(?s)#.*$', ''), '(?s)^[A-Za-z][A-Za-z0-9+.-]*://', '') AS u FROM rec),
+cut AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(u, '(?s)^([^/?]*)', 1)), '^www\.', ''), ':(80|443)$', '') AS host,
+  regexp_replace(regexp_replace(regexp_replace(regexp_extract(u, '(?s)^[^/?]*(.*)$', 1), '([?&])(utm_[a-z]+|ref)=[^&]*', '\1', 'g'), '&&+', '&', 'g'), '\?&', '?', 'g') AS rest FROM bare),
+c AS (SELECT *, host || regexp_replace(rest, '[/?&]+$', '') AS canonical FROM cut),
+seen AS (SELECT *, last_value(CASE WHEN kind = 'response' THEN struct_pack(id := record_id, tag := tag, lm := lm, sha := sha, n := n) END IGNORE NULLS) OVER (
+  PARTITION BY canonical ORDER BY date, CASE WHEN kind = 'response' THEN 1 ELSE 0 END, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM c),
+s AS (SELECT *, CASE WHEN kind = 'response' THEN 'response' WHEN b.id IS NULL THEN 'missing'
+  WHEN tag IS NOT NULL AND b.tag IS NOT NULL THEN CASE WHEN tag = b.tag THEN 'resolved' ELSE 'mismatch' END
+  WHEN lm IS NOT NULL AND b.lm IS NOT NULL THEN CASE WHEN lm = b.lm THEN 'resolved' ELSE 'mismatch' END ELSE 'unverified' END AS state FROM seen),
+h AS (SELECT *, state IN ('resolved', 'unverified') AS taken FROM s),
+m AS (SELECT record_id, kind, canonical, date, CASE WHEN kind <> 'response' THEN b.id END AS base_id, state, CASE WHEN taken THEN b.sha ELSE sha END AS payload_digest,
+  CASE WHEN taken THEN b.n ELSE n END AS n, CASE WHEN taken THEN 'text/html' ELSE ct END AS kind_of, date AS moment, CASE WHEN taken THEN coalesce(tag, b.tag) ELSE tag END AS tag FROM h)
+SELECT record_id, kind, canonical, date, base_id, state, {_HEADERS} AS headers, payload_digest FROM m""")
+def op9(spark, d):
+    """Three records of every page, resolved."""
+    return revisits.resolve_revisits(revisits.page_records(table(spark, d, "pages")))
