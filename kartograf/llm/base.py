@@ -56,4 +56,5 @@ def prepared(spark: SparkSession) -> SparkSession:
     """A session whose workers have this package and whose Arrow batches hold few long texts."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     return ship(spark)

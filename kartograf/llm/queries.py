@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kartograf.llm import exact_dedup, packing, pii, prefixes, revisits, urls
+from kartograf.llm import exact_dedup, packing, pieces, pii, prefixes, quality, revisits, urls
 from kartograf.llm.base import prepared, table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -61,12 +62,30 @@ def op5(spark, d):
     return urls.judge_urls(table(spark, d, "pages"), urls.rule_table(spark))
 
 
+def sha(text):
+    return F.sha2(text, 256)
+
+
+@query("op2_sentencepiece")
+def op2(spark, d):
+    """All documents encoded, and the digest of what each chunk's pieces decode to."""
+    v = pieces.load_vocabulary()
+    decoded = pieces.decode_pieces(pieces.encode_pieces(table(spark, d, "documents"), v), v)
+    return decoded.select("doc_id", "chunk", "n_chunks", F.size("ids").alias("n_pieces"), "ids", sha(F.col("text")).alias("decoded_sha256"))
+
+
 @query("op4_pii")
 def op4(spark, d):
     """Personal data in all documents."""
     return pii.personal_data(table(spark, d, "documents"))
 
 
+@query("op6_quality_classifier")
+def op6(spark, d):
+    """All documents against a model of those labelled good."""
+    return quality.judge_quality(table(spark, d, "documents"), table(spark, d, "labels").filter("quality = 1").select("doc_id"))
+
+
 @query("op7_best_fit_packing")
 def op7(spark, d):
     """All documents, by words, in sequences of 512 to 8,192."""
