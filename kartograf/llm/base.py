@@ -6,6 +6,7 @@ import string
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,8 +45,22 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 
 
-def whole(text: str | Column = "text") -> Column:
-    return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+#: Stands for a NULL id inside tasks, where a column with NULLs would become one of floating numbers.
+NO_ID = -(1 << 63)
+
+
+def solid(id_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID))
+
+
+def hollow(id_col: str = "id") -> Column:
+    return F.nullif(F.col(id_col), F.lit(NO_ID))
+
+
+def typed(rows: list[tuple], columns: list[str], numbers: set[str]) -> pd.DataFrame:
+    """A frame whose named columns are whole numbers with gaps, all digits kept."""
+    return pd.DataFrame({c: pd.array([r[i] for r in rows], dtype="Int64") if c in numbers else [r[i] for r in rows]
+                         for i, c in enumerate(columns)}, columns=columns)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kartograf.llm.base import stored
+from kartograf.llm.base import hollow, solid, stored
 
 AVERAGE, LEAST, MOST = 2048, 512, 16384  # bytes of a chunk
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -69,10 +69,10 @@ def _cut(key: Callable[[bytes], bytes], chunks: bool):
                 recipes.append(b"".join(own))
                 sizes.append(len(low))
             if chunks:
-                yield pd.DataFrame({"id": pd.array([x for x, _ in of], dtype="Int64"), "sha256": [x for _, x in of], "place": places,
+                yield pd.DataFrame({"id": [x for x, _ in of], "sha256": [x for _, x in of], "place": places,
                                     "key": keys, "chunk": data})
             else:
-                yield pd.DataFrame({"id": pd.array(ids, dtype="Int64"), "sha256": shas, "recipe": recipes, "n_bytes": sizes})
+                yield pd.DataFrame({"id": ids, "sha256": shas, "recipe": recipes, "n_bytes": sizes})
 
     return run
 
@@ -84,7 +84,7 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key
     different bytes.  A key that does is split by the rank of its bytes, and the documents that hold
     it get these ranks beside the keys; so lists are equal exactly when texts are.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    rows = docs.select(solid(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     plain = stored(rows.mapInPandas(_cut(key, False), "id bigint, sha256 string, recipe binary, n_bytes bigint"), "recipes")
     chunks = rows.mapInPandas(_cut(key, True), "id bigint, sha256 string, place int, key binary, chunk binary")
     pairs = chunks.select("key", "chunk").distinct()
@@ -97,7 +97,7 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "rank"))), lambda x: F.concat_ws(":", x["place"], x["rank"])), ",")
         .cast("binary").alias("ranks"))
     ranks = ranks.withColumnRenamed("id", "_id").withColumnRenamed("sha256", "_sha")
-    return stored(plain.join(ranks, F.col("id").eqNullSafe(F.col("_id")) & (F.col("sha256") == F.col("_sha")), "left")
+    return stored(plain.join(ranks, (F.col("id") == F.col("_id")) & (F.col("sha256") == F.col("_sha")), "left")
                   .select(*plain.columns, F.coalesce("ranks", F.lit(b"")).alias("ranks")), "recipes")
 
 
@@ -116,5 +116,5 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     joined = rows.join(groups, (F.col("recipe") == F.col("_recipe")) & (F.col("ranks") == F.col("_ranks")), "left")
     alone = F.col("group_size").isNull()
     keep = F.when(alone, F.col("id")).otherwise(F.col("keep_id"))
-    return joined.select(F.col("id").alias(id_col), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"),
-                         F.col("id").eqNullSafe(keep).alias("kept"), F.col("sha256").alias("text_sha256"), "n_bytes")
+    return joined.withColumn("keep", keep).select(hollow().alias(id_col), hollow("keep").alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"),
+                         (F.col("id") == F.col("keep")).alias("kept"), F.col("sha256").alias("text_sha256"), "n_bytes")

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kartograf.llm.base import stored
+from kartograf.llm.base import hollow, solid, stored
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 SHARD_PIECES = 20_000  # pieces that are packed together in one task
@@ -69,10 +69,10 @@ def pack_lengths(lengths: list[int], capacities=CAPACITIES, price=cost) -> tuple
 
 def _pack(capacities):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["length", "id", "piece"], ascending=[False, True, True], kind="stable", na_position="first").reset_index(drop=True)
+        frame = frame.sort_values(["length", "id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         bins, places, final = pack_lengths(frame["length"].tolist(), capacities)
         shard = int(frame["shard"].iloc[0]) if len(frame) else 0
-        return pd.DataFrame({"id": frame["id"].astype("Int64"), "piece": frame["piece"], "start": frame["start"], "length": frame["length"],
+        return pd.DataFrame({"id": frame["id"], "piece": frame["piece"], "start": frame["start"], "length": frame["length"],
                              "bin_id": [f"{shard}-{b}" for b in bins], "capacity": [final[b] for b in bins], "place": places})
 
     return run
@@ -90,14 +90,14 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     besides id and text are not read unless ``length`` reads them.
     """
     largest = max(capacities)
-    counted = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"),
+    counted = docs.select(solid(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"),
                           (words(text_col) if length is None else length).cast("bigint").alias("n"))
     counted = stored(counted, "lengths")
     shards = max(1, -(-counted.filter("n > 0").count() // SHARD_PIECES))
     full, rest = F.floor(F.col("n") / largest).cast("bigint"), F.col("n") % largest
     whole = counted.filter(F.col("n") >= largest).select("id", "h", F.explode(F.sequence(F.lit(0).cast("bigint"), full - 1)).alias("piece")).select(
         "id", "piece", (F.col("piece") * largest).alias("start"), F.lit(largest).cast("bigint").alias("length"),
-        F.concat_ws("-", F.lit("full"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.hex("h"), F.col("piece")).alias("bin_id"),
+        F.concat_ws("-", F.lit("full"), F.coalesce(hollow().cast("string"), F.lit("")), F.hex("h"), F.col("piece")).alias("bin_id"),
         F.lit(largest).cast("int").alias("capacity"), F.lit(0).cast("bigint").alias("place"))
     parts = counted.filter(rest > 0).select("id", full.alias("piece"), (full * largest).alias("start"), rest.alias("length"),
                                             F.pmod("h", F.lit(shards)).alias("shard"))
@@ -106,4 +106,5 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nothing = counted.filter("n = 0").select("id", F.lit(0).cast("bigint").alias("piece"), F.lit(0).cast("bigint").alias("start"),
                                              F.lit(0).cast("bigint").alias("length"), F.lit(None).cast("string").alias("bin_id"),
                                              F.lit(0).cast("int").alias("capacity"), F.lit(0).cast("bigint").alias("place"))
-    return packed.unionByName(whole).unionByName(nothing).withColumnRenamed("id", id_col)
+    out = packed.unionByName(whole).unionByName(nothing)
+    return out.select(hollow().alias(id_col), *out.columns[1:])

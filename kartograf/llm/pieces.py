@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kartograf.llm.base import stored
+from kartograf.llm.base import hollow, solid, stored
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -232,7 +232,7 @@ def _chunks(batches: Iterator[pd.DataFrame], size: int, ahead: int) -> Iterator[
             count, n = -(-len(marked) // size), n + 1
             for at in range(0, count, FAN):
                 yield pd.DataFrame([(f"{pid}-{n}", doc, k, count, marked[k * size : (k + 1) * size + ahead], min(size, len(marked) - k * size))
-                                    for k in range(at, min(count, at + FAN))], columns=["uid", "doc", "place", "n_chunks", "text", "size"]).astype({"doc": "Int64"})
+                                    for k in range(at, min(count, at + FAN))], columns=["uid", "doc", "place", "n_chunks", "text", "size"])
 
 
 def _scan(level0: DataFrame, join, step, first: bytes, back: bool, name: str) -> DataFrame:
@@ -281,14 +281,14 @@ def encode_pieces(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id
         raise ValueError("chunk must be at least as long as the longest piece")
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(vocabulary)  # a model's vocabulary: its size is that of the file
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(solid(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     width, ahead = vocabulary.longest, vocabulary.longest - 1
     out = f"{id_col} bigint, chunk bigint, n_chunks bigint, ids array<int>"
 
     def short(batches):
         v = sent.value
         for batch in batches:
-            yield pd.DataFrame({id_col: batch["id"].astype("Int64"), "chunk": 0, "n_chunks": 1, "ids": [encode_text(v, t) for t in batch["text"]]})
+            yield pd.DataFrame({id_col: batch["id"], "chunk": 0, "n_chunks": 1, "ids": [encode_text(v, t) for t in batch["text"]]})
 
     # one place is the mark before the text
     direct = rows.filter(F.length("text") < chunk).mapInPandas(short, out)
@@ -342,9 +342,10 @@ def encode_pieces(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id
         for batch in batches:
             ids = [chunk_ids(v, t, int(s), np.frombuffer(e, dtype=np.int64))[1](int(np.frombuffer(x, dtype=np.int64)[0]))
                    for t, s, e, x in zip(batch["text"], batch["size"], batch["entry"], batch["exit"])]
-            yield pd.DataFrame({id_col: batch["doc"].astype("Int64"), "chunk": batch["place"], "n_chunks": batch["n_chunks"], "ids": ids})
+            yield pd.DataFrame({id_col: batch["doc"], "chunk": batch["place"], "n_chunks": batch["n_chunks"], "ids": ids})
 
-    return direct.unionByName(known.join(exits.withColumnRenamed("got", "exit"), ["uid", "place"]).mapInPandas(traced, out))
+    both = direct.unionByName(known.join(exits.withColumnRenamed("got", "exit"), ["uid", "place"]).mapInPandas(traced, out))
+    return both.select(hollow(id_col).alias(id_col), "chunk", "n_chunks", "ids")
 
 
 def decode_ids(v: Vocabulary, ids, first: bool) -> str:

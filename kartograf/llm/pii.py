@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kartograf.llm.base import stored
+from kartograf.llm.base import hollow, solid, stored
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: Kinds that the method adds to the base kinds.
@@ -191,7 +191,7 @@ def _find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids.append(doc)
             base.append([{"kind": k, "start": a, "end": b, "marks": []} for k, a, b in flat])
             more.append([{"kind": k, "start": a, "end": b, "marks": list(features(k, b - a, votes(text, k, a, b)))} for k, a, b in added])
-        yield pd.DataFrame({"id": pd.array(ids, dtype="Int64"), "base": base, "more": more})
+        yield pd.DataFrame({"id": ids, "base": base, "more": more})
 
 
 def fitted(found: DataFrame) -> dict[tuple[int, ...], float]:
@@ -226,7 +226,7 @@ def _decide(chances: dict[tuple[int, ...], float], least: float):
                 counts = [sum(k == kind for k, _, _ in own) for kind in BASE_KINDS]
                 text = _listed(own)
                 rows.append((doc, *counts, hashlib.sha256(text.encode()).hexdigest(), _listed(own + added)))
-            yield pd.DataFrame(rows, columns=["id", *[f"n_{k}" for k in BASE_KINDS], "base_sha256", "spans"]).astype({"id": "Int64"})
+            yield pd.DataFrame(rows, columns=["id", *[f"n_{k}" for k in BASE_KINDS], "base_sha256", "spans"])
 
     return run
 
@@ -242,10 +242,11 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     by kind and start.  NULL and empty texts have no spans; repeated rows are judged alike; other
     columns are not read.  Only numbers travel: a span's text stays in its partition.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(solid(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = stored(rows.mapInPandas(_find, _FOUND), "spans")
     counts = ", ".join(f"n_{k} bigint" for k in BASE_KINDS)
-    return found.mapInPandas(_decide(fitted(found), least), f"id bigint, {counts}, base_sha256 string, spans string").withColumnRenamed("id", id_col)
+    decided = found.mapInPandas(_decide(fitted(found), least), f"id bigint, {counts}, base_sha256 string, spans string")
+    return decided.select(hollow().alias(id_col), *decided.columns[1:])
 
 
 def _redact(text: str, spans: str) -> str:

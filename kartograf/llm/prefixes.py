@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kartograf.llm.base import stored
+from kartograf.llm.base import hollow, solid, stored, typed
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1000003, 998244353 % 2147483629)
@@ -155,7 +155,7 @@ def _in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows of one sorted partition; its first and last text go along for the neighbouring partitions."""
     pid, last = TaskContext.get().partitionId(), None
     columns = ["kind", "pid", "id", "text", *_COLUMNS]
-    frame = lambda rows: pd.DataFrame(rows, columns=columns).astype({"id": "Int64", "n_chars": "Int64", "common_prefix": "Int64"})
+    frame = lambda rows: typed(rows, columns, {"n_chars", "common_prefix"})
     none = (None,) * len(_COLUMNS)
     for batch in batches:
         rows = []
@@ -177,7 +177,7 @@ def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for doc, text, after in zip(batch["id"], batch["text"], batch["after"]):
             mark, other = fingerprint(codes(text)), fingerprint(codes(after))
             rows.append((doc, *_row(text, after, other, mark)))
-        yield pd.DataFrame(rows, columns=["id", *_COLUMNS]).astype({"id": "Int64"})
+        yield pd.DataFrame(rows, columns=["id", *_COLUMNS])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,7 +190,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     once, into ranges of ids; the ends of ranges are joined through two rows per partition.  Other
     columns are not read.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(solid(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange("id", "text").sortWithinPartitions("id", "text")
     done = stored(ordered.mapInPandas(_in_order, f"kind string, pid int, id bigint, text string, {_TYPES}"), "fingerprints")
     # one head and one tail per partition: their numbers, without texts, meet in one task
@@ -200,4 +200,4 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     heads = done.filter("kind = 'head'").select("pid", F.col("text").alias("after")).join(numbered, "pid").select(F.col("n").alias("next"), "after")
     ends = tails.join(heads, "next").select("id", "text", "after").mapInPandas(_across, f"id bigint, {_TYPES}")
     inner = done.filter("kind = 'row'").select("id", *_COLUMNS)
-    return inner.unionByName(ends).withColumnRenamed("id", id_col)
+    return inner.unionByName(ends).select(hollow().alias(id_col), *_COLUMNS)

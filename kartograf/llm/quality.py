@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kartograf.llm.base import stored
+from kartograf.llm.base import hollow, solid, stored
 
 ORDER = 4
 BLOCK = 8_000_000  # characters of a block
@@ -165,7 +165,7 @@ def judge_quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     kept, and without any trusted text all others are kept.  Repeated rows are judged alike, NULL
     ids are never trusted, a NULL language is a language.  Other columns are not read.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).alias("lang"))
+    rows = docs.select(solid(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).alias("lang"))
     good = trusted.select(F.col(trusted.columns[0]).cast("bigint").alias("_good")).filter("_good IS NOT NULL").distinct()
     good = F.broadcast(good) if good.count() <= MOST_BROADCAST_IDS else good
     marked = rows.join(good, F.col("id") == F.col("_good"), "left").select(
@@ -181,4 +181,4 @@ def judge_quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     threshold = F.coalesce(F.col("limit"), F.lit(everywhere).cast("double")) * margin
     kept = F.col("perplexity").isNotNull() & (threshold.isNull() | (F.col("perplexity") <= threshold))
     return scored.join(per_language, F.col("lang").eqNullSafe(F.col("_lang")), "left").select(
-        F.col("id").alias(id_col), "lang", "n_chars", "perplexity", threshold.alias("threshold"), kept.alias("kept"), "text_hash")
+        hollow().alias(id_col), "lang", "n_chars", "perplexity", threshold.alias("threshold"), kept.alias("kept"), "text_hash")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kartograf.llm import exact_dedup, packing, pieces, pii, prefixes, quality, revisits, urls
+from kartograf.llm import exact_dedup, jaccard, packing, pieces, pii, prefixes, quality, revisits, urls
 from kartograf.llm.base import prepared, table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -122,3 +122,9 @@ SELECT record_id, kind, canonical, date, base_id, state, {_HEADERS} AS headers,
 def op9(spark, d):
     """Three records of every page, resolved."""
     return revisits.resolve_revisits(revisits.page_records(table(spark, d, "pages")))
+
+
+@query("op10_ngram_jaccard_join")
+def op10(spark, d):
+    """Groups of near copies among all documents."""
+    return jaccard.near_components(table(spark, d, "documents")).drop("set_key")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kartograf.llm.base import stored
+from kartograf.llm.base import NO_ID, stored, typed
 
 #: Header fields that a 304 answer may update in a stored response (RFC 7232, section 4.1).  Fixed values.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
@@ -35,11 +35,12 @@ def canonical_url(url: Column) -> Column:
 def _as_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One sorted partition: each record with the last response of its address that this partition has seen."""
     pid, address, first, base, none = TaskContext.get().partitionId(), None, None, None, (None,) * 6
-    whole = ["record_id", "date", "rank", "base_id", "base_date"]
-    frame = lambda rows: pd.DataFrame(rows, columns=_ROW).astype(dict.fromkeys(whole, "Int64"))
+    whole = {"record_id", "date", "rank", "base_id", "base_date"}
+    frame = lambda rows: typed(rows, _ROW, whole)
     for batch in batches:
         rows = []
         for r in zip(*(batch[c].tolist() for c in _FIELDS)):
+            r = tuple(None if v == NO_ID else v for v in r)
             record, kind, date, etag, modified, digest, headers, canonical, _ = r
             if address is None or canonical != address:
                 first = canonical if first is None else first
@@ -74,7 +75,8 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     ordered_map = F.map_from_entries(F.array_sort(F.map_entries(low)))
     rows = records.select(*names).withColumn("canonical", canonical_url(F.col("url"))).withColumn("headers", F.to_json(ordered_map)).drop("url")
     rows = rows.withColumn("rank", (F.col("kind").eqNullSafe("response")).cast("int"))
-    keys = ["canonical", F.col("date").asc_nulls_first(), "rank", "record_id"]
+    keys = ["canonical", "date", "rank", "record_id"]
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(NO_ID)) for c in ("record_id", "date")})
     spread = rows.select(*_FIELDS).repartitionByRange(*keys).sortWithinPartitions(*keys)
     schema = ("record_id bigint, kind string, date bigint, etag string, last_modified string, payload_digest string, headers string, canonical string, rank int, "
               f"place string, first string, {_BASE}, pid int, open boolean")
