@@ -104,7 +104,7 @@ def common_prefix(a: np.ndarray, b: np.ndarray) -> int:
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    return (x ^ (x >> np.uint64(32))) >> np.uint64(16)
+    return (x ^ (x >> np.uint64(32))) >> np.uint64(24)
 
 
 def _smallest(values: np.ndarray, kept: int) -> np.ndarray:
@@ -126,14 +126,14 @@ def fingerprint(points: np.ndarray) -> str:
             best = _smallest(np.concatenate([best, _smallest(_mixed(sums.windows(size)), KEPT)]), KEPT)
         own = sums.span(0, min(BLOCK, sums.n))
         totals = [(t + h * pow(w.base, start, w.prime)) % w.prime for t, h, w in zip(totals, own, _POWERS)]
-    return f"{n:x}.{totals[0]:08x}{totals[1]:08x}." + "".join(f"{v:012x}" for v in best.tolist())
+    return f"{n:x}.{totals[0]:08x}{totals[1]:08x}." + "".join(f"{v:010x}" for v in best.tolist())
 
 
 def likeness(a: str, b: str) -> float:
     """Share of equal span hashes among the smallest of both texts: 1 for equal texts, 0 to 1 else."""
     if a == b:
         return 1.0
-    x, y = ({s[i : i + 12] for i in range(0, len(s), 12)} for s in (a.rpartition(".")[2], b.rpartition(".")[2]))
+    x, y = ({s[i : i + 10] for i in range(0, len(s), 10)} for s in (a.rpartition(".")[2], b.rpartition(".")[2]))
     union = sorted(x | y)[:KEPT]
     return sum(v in x and v in y for v in union) / len(union) if union else 0.0
 
@@ -184,15 +184,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Fingerprints of all texts, and of each text with its later half replaced by the next document's beginning.
 
     (id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next,
-    common_prefix), one row per input row.  The next document is the next by id, then by text; after
+    common_prefix), one row per input row.  The next document is the next by id (rows of one id: by a hash of their text); after
     the last comes the first, and a single document follows itself.  NULL ids sort first, NULL texts
     are empty, repeated rows follow each other.  Empty texts are like empty texts only.  Texts travel
     once, into ranges of ids; the ends of ranges are joined through two rows per partition.  Other
     columns are not read.
     """
     rows = docs.select(solid(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange("id", "text").sortWithinPartitions("id", "text")
-    done = stored(ordered.mapInPandas(_in_order, f"kind string, pid int, id bigint, text string, {_TYPES}"), "fingerprints")
+    # bounds of ranges are drawn from ids and hashes, so no text reaches the driver
+    ordered = rows.withColumn("h", F.xxhash64("text")).repartitionByRange("id", "h").sortWithinPartitions("id", "h", "text")
+    done = stored(ordered.select("id", "text").mapInPandas(_in_order, f"kind string, pid int, id bigint, text string, {_TYPES}"), "fingerprints")
     # one head and one tail per partition: their numbers, without texts, meet in one task
     numbered = done.filter("kind = 'head'").select("pid").withColumn("n", F.row_number().over(W.orderBy("pid")))
     count = numbered.count()
