@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kartograf.llm.base import hollow, solid, stored, typed
-from kartograf.operators.graph import connected_components
+from kartograf.llm.connect import components
 
 WORDS, PERCENT = 5, 80
 BLOCK_ROWS, BLOCK_TOKENS = 65_000, 2_000_000  # rows and elements of a block in a task
 CELL = 1_500  # sets of one prefix tree
 #: A table of ids of up to this many rows is sent to all executors; a larger one is joined.
-MOST_BROADCAST_IDS = 2_000_000
+MOST_BROADCAST_IDS = 1_000_000
 _A = 0x9E3779B97F4A7C15
 _CACHED = 500_000
 
@@ -384,12 +384,6 @@ def _cells(rows: DataFrame, percent: int) -> DataFrame:
     return stored(rows.groupBy("bin").applyInPandas(_joined(percent), "src bigint, dst bigint"), "links")
 
 
-def _labels(keys: DataFrame, links: DataFrame) -> DataFrame:
-    """(key, label): the connected part of each key."""
-    found = connected_components(keys.select(F.col("key").alias("id")), links.select("src", "dst"))
-    return found.select(F.col("id").alias("key"), F.col("component").alias("label"))
-
-
 def set_links(sets: DataFrame, percent: int = PERCENT, cell: int = CELL) -> DataFrame:
     """(src, dst): links that connect exactly the sets (key, n, first, tokens) that linked sets connect.
 
@@ -401,8 +395,7 @@ def set_links(sets: DataFrame, percent: int = PERCENT, cell: int = CELL) -> Data
     tokens = stored(sets.select("key", F.explode("first").alias("h")), "first")
     hubs = stored(tokens.groupBy("h").agg(F.min("key").alias("hub"), F.count("*").alias("m")).filter("m > 1").select(F.col("h").alias("_h"), "hub"), "hubs")
     edges = stored(tokens.join(hubs, F.col("h") == F.col("_h")).filter("key <> hub").select(F.col("key").alias("src"), F.col("hub").alias("dst")).distinct(), "edges")
-    near = edges.select(F.col("src").alias("key")).union(edges.select("dst")).distinct()
-    parts = _labels(near, edges).select(F.col("key").alias("_key"), F.col("label").alias("part"))
+    parts = components(edges).select(F.col("key").alias("_key"), F.col("label").alias("part"))
     sizes = stored(parts.groupBy("part").agg(F.count("*").alias("m")).withColumnRenamed("part", "_part"), "parts")
     rows = sets.dropDuplicates(["key"]).join(parts, F.col("key") == F.col("_key")).join(sizes, F.col("part") == F.col("_part"))
     rows = stored(rows.select("key", "n", "tokens", "part", "m"), "sets")
@@ -421,13 +414,18 @@ def set_links(sets: DataFrame, percent: int = PERCENT, cell: int = CELL) -> Data
         return links
     keys = large.select("key")
     own = links.join(keys.withColumnRenamed("key", "src"), "src", "left_semi")
-    label = lambda: stored(_labels(keys, own).select(F.col("key").alias("_key"), "label"), "labels")
-    marked = large.join(label(), F.col("key") == F.col("_key")).drop("_key")
+
+    def labelled() -> DataFrame:
+        found = components(own).select(F.col("key").alias("_key"), F.col("label").alias("_label"))
+        joined = large.join(found, F.col("key") == F.col("_key"), "left")
+        return stored(joined.select(*large.columns, F.coalesce("_label", "key").alias("label")), "marked")
+
+    marked = labelled()
     heads = marked.filter("key = label")
     count = heads.groupBy("part").agg(F.count("*").alias("heads")).withColumnRenamed("part", "_part")
     heads = heads.join(count, F.col("part") == F.col("_part"))
     own = stored(own.union(_cells(alone(heads, F.ceil(F.col("heads") / cell).cast("int"), F.col("label")), percent)), "links")
-    marked = stored(large.join(label(), F.col("key") == F.col("_key")).drop("_key"), "marked")
+    marked = labelled()
     groups = marked.groupBy("part", "label").agg(F.count("*").alias("g"))
     main = groups.groupBy("part").agg(F.max(F.struct("g", "label")).alias("top"), F.sum("g").alias("all")).select(
         F.col("part").alias("_part"), F.col("top.label").alias("main"), F.ceil((F.col("all") - F.col("top.g")) / cell).cast("int").alias("others"))
@@ -474,8 +472,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = stored(blocks.join(answers, F.col("block") == F.col("_block")).mapInPandas(
         _ordered(shards, percent), "key bigint, n bigint, first array<bigint>, tokens binary"), "ordered")
     links = set_links(sets, percent, cell)
-    linked = links.select(F.col("src").alias("key")).union(links.select("dst")).distinct()
-    parts = _labels(linked, links).select(F.col("key").alias("_key"), "label")
+    parts = components(links).select(F.col("key").alias("_key"), "label")
     smallest = known.filter("n > 0").groupBy("key").agg(F.min(hollow()).alias("smallest"), F.count("*").alias("m"))
     classes = stored(smallest.join(parts, F.col("key") == F.col("_key"), "left").select(
         "key", "m", "smallest", F.coalesce("label", "key").alias("label"), F.col("label").isNotNull().alias("far")), "classes")

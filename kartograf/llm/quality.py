@@ -24,7 +24,7 @@ BLOCK = 8_000_000  # characters of a block
 PIECE = 1_000_000  # characters of a document that stay together
 START = 2  # stands before the first character
 #: A table of trusted ids of up to this many rows is sent to all executors; a larger one is joined.
-MOST_BROADCAST_IDS = 2_000_000
+MOST_BROADCAST_IDS = 1_000_000
 QUANTILE, MARGIN, LEAST_TRUSTED = 0.999, 1.05, 100
 
 
