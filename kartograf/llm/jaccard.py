@@ -481,4 +481,4 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     final = stored(classes.filter("far OR m > 1").join(reached, F.col("far") & (F.col("label") == F.col("_label")), "left").select(
         F.col("key").alias("_key"), F.coalesce("component", "smallest").alias("component")), "components")
     return known.join(final, (F.col("key") == F.col("_key")) & (F.col("n") > 0), "left").select(
-        hollow().alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", hollow()).alias("component_id"), F.col("key").alias("set_key"))
+        hollow().alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", hollow()).alias("component_id"), F.col("h").alias("text_hash"))

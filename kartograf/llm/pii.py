@@ -231,6 +231,10 @@ def _decide(chances: dict[tuple[int, ...], float], least: float):
     return run
 
 
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(solid(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
     """(id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans), one row per input row.
 
@@ -242,14 +246,13 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     by kind and start.  NULL and empty texts have no spans; repeated rows are judged alike; other
     columns are not read.  Only numbers travel: a span's text stays in its partition.
     """
-    rows = docs.select(solid(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = stored(rows.mapInPandas(_find, _FOUND), "spans")
+    found = stored(_rows(docs, id_col, text_col).mapInPandas(_find, _FOUND), "spans")
     counts = ", ".join(f"n_{k} bigint" for k in BASE_KINDS)
     decided = found.mapInPandas(_decide(fitted(found), least), f"id bigint, {counts}, base_sha256 string, spans string")
     return decided.select(hollow().alias(id_col), *decided.columns[1:])
 
 
-def _redact(text: str, spans: str) -> str:
+def redacted_text(text: str, spans: str) -> str:
     """The text with each span replaced by its kind; of overlapping spans the first, then the longest, counts."""
     out, last = [], 0
     listed = sorted(((int(a), -int(b), k) for k, a, b in (s.split(":") for s in spans.split(",") if s)))
@@ -260,3 +263,28 @@ def _redact(text: str, spans: str) -> str:
         elif -end > last:
             last = -end
     return "".join([*out, text[last:]])
+
+
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The same rows and columns, with all spans of ``personal_data`` in the text replaced by their kind.
+
+    NULL texts stay NULL.  The classifier is fitted on all candidates first; texts are then changed
+    where they lie, so no text is moved or joined.
+    """
+    more = _rows(docs, id_col, text_col).mapInPandas(_find, _FOUND).select("id", "more")
+    chances = fitted(stored(more.filter(F.size("more") > 0), "spans"))
+
+    @F.pandas_udf("string")
+    def change(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            if text is None:
+                out.append(None)
+                continue
+            own = [(kind, a, b) for kind, spans in base_spans(text).items() for a, b in spans]
+            more = [(k, a, b) for k, a, b in candidates(text, [(a, b) for _, a, b in own])
+                    if chances.get(features(k, b - a, votes(text, k, a, b)), 0.0) >= least]
+            out.append(redacted_text(text, _listed(own + more)) if own or more else text)
+        return pd.Series(out, dtype=object)
+
+    return docs.withColumn(text_col, change(F.col(text_col)))

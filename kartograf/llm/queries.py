@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kartograf.llm import exact_dedup, jaccard, packing, pieces, pii, prefixes, quality, revisits, urls
+from kartograf.llm import exact_dedup, jaccard, packing, pieces, pii, prefixes, quality, revisits, suffixes, urls
 from kartograf.llm.base import prepared, table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -74,6 +74,12 @@ def op2(spark, d):
     return decoded.select("doc_id", "chunk", "n_chunks", F.size("ids").alias("n_pieces"), "ids", sha(F.col("text")).alias("decoded_sha256"))
 
 
+@query("op3_suffix_dedup")
+def op3(spark, d):
+    """Passages that all documents repeat from earlier ones."""
+    return suffixes.repeated_passages(table(spark, d, "documents")).drop("removed")
+
+
 @query("op4_pii")
 def op4(spark, d):
     """Personal data in all documents."""
@@ -127,4 +133,4 @@ def op9(spark, d):
 @query("op10_ngram_jaccard_join")
 def op10(spark, d):
     """Groups of near copies among all documents."""
-    return jaccard.near_components(table(spark, d, "documents")).drop("set_key")
+    return jaccard.near_components(table(spark, d, "documents")).drop("text_hash")
