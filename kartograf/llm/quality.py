@@ -8,11 +8,11 @@ by n-gram, and gets them back as one list.
 
 from __future__ import annotations
 
+import bz2
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from kartograf.llm.base import hollow, solid, stored
 
 ORDER = 4
-BLOCK = 8_000_000  # characters of a block
+BLOCK = 16_000_000  # characters of a block
 PIECE = 1_000_000  # characters of a document that stay together
 START = 2  # stands before the first character
 #: A table of trusted ids of up to this many rows is sent to all executors; a larger one is joined.
@@ -44,7 +44,7 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     texts, meta, size = [], [], 0
 
     def frame():
-        blob = zstandard.ZstdCompressor(level=9).compress("".join(texts).encode("utf-8", "surrogatepass"))
+        blob = bz2.compress("".join(texts).encode("utf-8", "surrogatepass"))  # blocks are moved: size counts more than time
         return pd.DataFrame({"block": [(pid << 32) + number], "blob": [blob], "rows": [[m[0] for m in meta]],
                              "lens": [[m[1] for m in meta]], "trusted": [[m[2] for m in meta]]})
 
@@ -63,21 +63,41 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _unpacked(blob: bytes, lens) -> Iterator[np.ndarray]:
-    codes, at = _codes(zstandard.ZstdDecompressor().decompress(blob).decode("utf-8", "surrogatepass")), 0
+    text, at = bz2.decompress(blob).decode("utf-8", "surrogatepass"), 0
     for n in lens:
-        yield codes[at : at + n]
+        yield _codes(text[at : at + n])
         at += n
 
 
+class _Tally:
+    """Numbers of distinct n-grams, summed up every few million."""
+
+    def __init__(self):
+        self.parts, self.size = [], 0
+
+    def add(self, codes: np.ndarray):
+        self.parts.append((grams(codes), None))
+        self.size += len(codes)
+        if self.size >= 2 * PIECE:
+            self.parts, self.size = [self.total()], 0
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        found, at = np.unique(np.concatenate([g for g, _ in self.parts]), return_inverse=True)
+        weights = np.concatenate([np.ones(len(g)) if n is None else n for g, n in self.parts])
+        return found, np.bincount(at, weights=weights, minlength=len(found)).astype(np.int64)
+
+
 def _asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(gram, block, n): the distinct n-grams of a block, with their number in trusted documents."""
     for batch in batches:
         for block, blob, lens, trusted in zip(batch["block"], batch["blob"], batch["lens"], batch["trusted"]):
-            found = {True: [], False: []}
+            found = {True: _Tally(), False: _Tally()}
             for codes, ok in zip(_unpacked(blob, lens), trusted):
-                found[bool(ok)].append(grams(codes))
-            good, n = np.unique(np.concatenate([*found[True], np.empty(0, np.int64)]), return_counts=True)
-            rest = np.setdiff1d(np.concatenate([*found[False], np.empty(0, np.int64)]), good)
+                found[bool(ok)].add(codes)
+            good, n = found[True].total()
+            rest = np.setdiff1d(found[False].total()[0], good)
             yield pd.DataFrame({"gram": np.concatenate([good, rest]), "block": block, "n": np.concatenate([n, np.zeros(len(rest), dtype=np.int64)])})
 
 
@@ -87,9 +107,12 @@ def _scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for blob, lens, rows, known, logs in zip(batch["blob"], batch["lens"], batch["rows"], batch["grams"], batch["logs"]):
             order = np.argsort(known)
             known, logs = np.asarray(known)[order], np.asarray(logs, dtype=np.float64)[order]
-            own = [grams(c) for c in _unpacked(blob, lens)]
-            totals = [float(logs[np.searchsorted(known, g)].sum()) if len(g) else 0.0 for g in own]
-            yield pd.DataFrame({"row_id": rows, "total": totals, "n": [len(g) for g in own]})
+            totals, counts = [], []
+            for codes in _unpacked(blob, lens):
+                own = grams(codes)
+                totals.append(float(logs[np.searchsorted(known, own)].sum()) if len(own) else 0.0)
+                counts.append(len(own))
+            yield pd.DataFrame({"row_id": rows, "total": totals, "n": counts})
 
 
 def _context(gram: Column) -> Column:
