@@ -370,9 +370,9 @@ def decode_pieces(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """Adds ``text``: what each chunk's ids stand for; a document's chunks in order are its text.  NULL ids are none."""
     sent = encoded.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def run(batches):
+    @F.pandas_udf("string")
+    def text(ids: pd.Series, chunk: pd.Series) -> pd.Series:
         v = sent.value
-        for batch in batches:
-            yield batch.assign(text=[decode_ids(v, [] if ids is None else ids.tolist(), c == 0) for ids, c in zip(batch["ids"], batch["chunk"])])
+        return pd.Series([decode_ids(v, [] if i is None else i.tolist(), c == 0) for i, c in zip(ids, chunk)], dtype=object)
 
-    return encoded.mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in encoded.schema) + ", text string")
+    return encoded.withColumn("text", text("ids", "chunk"))

@@ -26,6 +26,8 @@ START = 2  # stands before the first character
 #: A table of trusted ids of up to this many rows is sent to all executors; a larger one is joined.
 MOST_BROADCAST_IDS = 1_000_000
 QUANTILE, MARGIN, LEAST_TRUSTED = 0.999, 1.05, 100
+FOLDS = 5  # one in so many trusted documents sets thresholds and does not train
+LEAST_DISCOUNT = 0.1  # keeps every chance above 0 where counts are too few for the formula
 
 
 def grams(codes: np.ndarray) -> np.ndarray:
@@ -139,7 +141,7 @@ def model_tables(counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
         of = [F.sum((F.col("n") == k).cast("double")).alias(f"n{k}") for k in (1, 2, 3, 4)]
         n1, n2, n3, n4 = (float(x or 0) for x in level.agg(*of).first())
         y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.0
-        cut = [min(max(k - (k + 1) * y * b / a, 0.0), float(k)) if a else k / 2 for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+        cut = [min(max(k - (k + 1) * y * b / a, LEAST_DISCOUNT), float(k)) if a else k / 2 for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
         discount = F.when(F.col("n") == 1, cut[0]).when(F.col("n") == 2, cut[1]).otherwise(cut[2])
         seen.append(level.select(F.col("gram").alias(f"g{order}"), (F.col("n") - discount).alias(f"seen{order}")))
         contexts.append(level.groupBy(_context(F.col("gram")).alias(f"c{order}")).agg(
@@ -177,13 +179,18 @@ def perplexities(rows: DataFrame) -> DataFrame:
         "row_id", "total", "n_chars", F.when(F.col("n_chars") > 0, F.exp(-F.col("total") / F.col("n_chars"))).alias("perplexity"))
 
 
+def held_out(id_col: str | Column) -> Column:
+    return F.pmod(F.xxhash64(id_col), F.lit(FOLDS)) == 0
+
+
 def judge_quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                   quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """(id_col, lang, n_chars, perplexity, threshold, kept, text_hash), one row per input row.
 
-    ``trusted`` names the ids of trusted documents, on which the model is trained.  A language's
-    threshold is the given quantile of its trusted documents' perplexities times ``margin``; a
-    language with fewer than LEAST_TRUSTED of them takes the threshold of all.  A document is kept
+    ``trusted`` names the ids of trusted documents.  Four in five of them train the model; the others,
+    by a hash of the id, are new to it and set thresholds.  A language's threshold is the given
+    quantile of their perplexities times ``margin``; a language with fewer than LEAST_TRUSTED of
+    them takes the threshold of all.  A document is kept
     unless its perplexity is above; documents without text (NULL or empty) have none and are not
     kept, and without any trusted text all others are kept.  Repeated rows are judged alike, NULL
     ids are never trusted, a NULL language is a language.  Other columns are not read.
@@ -192,12 +199,13 @@ def judge_quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     good = trusted.select(F.col(trusted.columns[0]).cast("bigint").alias("_good")).filter("_good IS NOT NULL").distinct()
     good = F.broadcast(good) if good.count() <= MOST_BROADCAST_IDS else good
     marked = rows.join(good, F.col("id") == F.col("_good"), "left").select(
-        F.xxhash64("id", "text", "lang").alias("row_id"), "id", "lang", "text", F.col("_good").isNotNull().alias("trusted"))
-    heads = stored(marked.select("row_id", "id", "lang", "trusted", F.xxhash64("text").alias("text_hash")), "heads")
+        F.xxhash64("id", "text", "lang").alias("row_id"), "id", "lang", "text",
+        (F.col("_good").isNotNull() & ~held_out("id")).alias("trusted"), (F.col("_good").isNotNull() & held_out("id")).alias("sets_limit"))
+    heads = stored(marked.select("row_id", "id", "lang", "sets_limit", F.xxhash64("text").alias("text_hash")), "heads")
     # equal rows have one number and get the same answer: their sums over characters are of the same ratio
     scores = perplexities(marked).select(F.col("row_id").alias("_row"), "n_chars", "perplexity")
     scored = stored(heads.join(scores, F.col("row_id") == F.col("_row")), "scores")
-    of = scored.filter("trusted AND perplexity IS NOT NULL")
+    of = scored.filter("sets_limit AND perplexity IS NOT NULL")
     limit = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)).alias("limit")
     everywhere = of.agg(limit).first()[0]
     per_language = of.groupBy("lang").agg(limit, F.count("*").alias("m")).filter(F.col("m") >= LEAST_TRUSTED).select(F.col("lang").alias("_lang"), "limit")

@@ -150,35 +150,39 @@ def _unzip(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _blocks(chunk: int, block: int):
     """Documents, and compressed blocks of their chunks."""
-    pid, number, count = TaskContext.get().partitionId(), 0, 0
-    parts, meta, docs, size = [], [], [], 0
 
-    def flush():
-        lists = [[m[i] for m in meta] for i in range(5)]
-        rows = [*docs, ("block", None, None, None, None, None, (pid << 24) + number, _zip(b"".join(parts)), *lists)]
-        return typed(rows, _DOC_COLUMNS, {"uid", "id", "n_bytes", "n_chunks", "block"})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pid, number, count = TaskContext.get().partitionId(), 0, 0
+        parts, meta, docs, size = [], [], [], 0
 
-    for batch in batches:
-        for doc, text in zip(batch["id"].tolist(), batch["text"]):
-            data = bytes(text)
-            uid, count = (pid << 36) + count, count + 1
-            chunks = max(1, -(-max(0, len(data) - LEAST + 1) // CHUNK))
-            docs.append(("doc", uid, doc, len(data), hashlib.sha256(data).hexdigest(), chunks, *(None,) * 7))
-            for c in range(chunks if len(data) >= LEAST else 0):
-                part = data[c * CHUNK : (c + 1) * CHUNK + LEAST - 1]
-                parts.append(part)
-                meta.append((uid, doc, c, chunks, len(part)))
-                size += len(part)
-                if size >= BLOCK:
+        def flush():
+            lists = [[m[i] for m in meta] for i in range(5)]
+            rows = [*docs, ("block", None, None, None, None, None, (pid << 24) + number, _zip(b"".join(parts)), *lists)]
+            return typed(rows, _DOC_COLUMNS, {"uid", "id", "n_bytes", "n_chunks", "block"})
+
+        for batch in batches:
+            for doc, text in zip(batch["id"].tolist(), batch["text"]):
+                data = bytes(text)
+                uid, count = (pid << 36) + count, count + 1
+                chunks = max(1, -(-max(0, len(data) - LEAST + 1) // chunk))
+                docs.append(("doc", uid, doc, len(data), hashlib.sha256(data).hexdigest(), chunks, *(None,) * 7))
+                for c in range(chunks if len(data) >= LEAST else 0):
+                    part = data[c * chunk : (c + 1) * chunk + LEAST - 1]
+                    parts.append(part)
+                    meta.append((uid, doc, c, chunks, len(part)))
+                    size += len(part)
+                    if size >= block:
+                        yield flush()
+                        parts, meta, docs, size, number = [], [], [], 0, number + 1
+                if len(docs) >= 100_000:
                     yield flush()
                     parts, meta, docs, size, number = [], [], [], 0, number + 1
-            if len(docs) >= 100_000:
-                yield flush()
-                parts, meta, docs, size, number = [], [], [], 0, number + 1
-    if docs or parts:
-        yield flush()
+        if docs or parts:
+            yield flush()
+
+    return run
 
 
 def _parts(blob: bytes, lens) -> Iterator[bytes]:
@@ -211,16 +215,20 @@ def _counted(shards: int):
     return run
 
 
-def _shared(frame: pd.DataFrame) -> pd.DataFrame:
-    """Per block: its anchors that more than one document has; the lowest bit marks those of very many."""
-    entries = [np.frombuffer(d, dtype=np.uint64) for d in frame["data"]]
-    whole = np.concatenate(entries)
-    _, inverse = np.unique(whole >> np.uint64(16), return_inverse=True)
-    total = np.bincount(inverse, weights=(whole & np.uint64(0xFFFF)).astype(np.float64))[inverse]
-    marked = (whole >> np.uint64(16) << np.uint64(1)) | (total > HOT).astype(np.uint64)
-    ends = np.cumsum([len(e) for e in entries])[:-1]
-    found = [v[t > 1].tobytes() for v, t in zip(np.split(marked, ends), np.split(total, ends))]
-    return pd.DataFrame({"block": frame["block"], "data": found})
+def _shared(hot: int):
+    """Per block: its anchors that more than one document has; the lowest bit marks those of more than ``hot``."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        entries = [np.frombuffer(d, dtype=np.uint64) for d in frame["data"]]
+        whole = np.concatenate(entries)
+        _, inverse = np.unique(whole >> np.uint64(16), return_inverse=True)
+        total = np.bincount(inverse, weights=(whole & np.uint64(0xFFFF)).astype(np.float64))[inverse]
+        marked = (whole >> np.uint64(16) << np.uint64(1)) | (total > hot).astype(np.uint64)
+        ends = np.cumsum([len(e) for e in entries])[:-1]
+        found = [v[t > 1].tobytes() for v, t in zip(np.split(marked, ends), np.split(total, ends))]
+        return pd.DataFrame({"block": frame["block"], "data": found})
+
+    return run
 
 
 _CUT = "kind string, shard int, block bigint, uid bigint, chunk int, data binary, meta binary"
@@ -280,61 +288,69 @@ def _pieces(shards: int):
 _RUNS = np.dtype([("number", "<i4"), ("first", "<u1"), ("last", "<u1"), ("doc", "<i8")])
 
 
-def _sorted_strings(frame: pd.DataFrame) -> pd.DataFrame:
+def _sorted_strings(part: int):
     """A shard's pieces, equal ones merged, in parts of whole anchors; back come runs of strings with their earliest document."""
-    seen: dict[bytes, int] = {}
-    docs, keys, of, numbers = [], [], [], []
-    for data, raw in zip(frame["data"], frame["meta"]):
-        meta, at, own = np.frombuffer(raw, dtype=_META), 0, []
-        for key, doc, size in zip(meta["hash"].tolist(), meta["doc"].tolist(), meta["size"].tolist()):
-            body = data[at : at + size]
-            at += size
-            k = seen.setdefault(body, len(docs))
-            if k == len(docs):
-                docs.append(doc)
-                keys.append(key)
-            elif doc < docs[k]:
-                docs[k] = doc
-            own.append(k)
-        of.append(own)
-        numbers.append(meta["number"])
-    bodies, docs = list(seen), np.array(docs, dtype=np.int64)
-    found: list = [None] * len(bodies)
-    order = np.argsort(np.array(keys, dtype=np.uint64), kind="stable").tolist()
-    start = 0
-    while start < len(order):
-        end = min(start + PART, len(order))
-        while end < len(order) and keys[order[end]] == keys[order[end - 1]]:
-            end += 1
-        own = order[start:end]
-        for k, values in zip(own, earliest([bodies[k] for k in own], docs[own])):
-            cut = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-            found[k] = list(zip(cut.tolist(), (np.append(cut[1:], len(values)) - 1).tolist(), values[cut].tolist()))
-        start = end
-    runs = [np.array([(n, a, b, d) for n, k in zip(ns.tolist(), ks) for a, b, d in found[k]], dtype=_RUNS).tobytes() for ns, ks in zip(numbers, of)]
-    return pd.DataFrame({"block": frame["block"], "runs": runs})
-
-
-def _removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        seen: dict[bytes, int] = {}
+        docs, keys, of, numbers = [], [], [], []
+        for data, raw in zip(frame["data"], frame["meta"]):
+            meta, at, own = np.frombuffer(raw, dtype=_META), 0, []
+            for key, doc, size in zip(meta["hash"].tolist(), meta["doc"].tolist(), meta["size"].tolist()):
+                body = data[at : at + size]
+                at += size
+                k = seen.setdefault(body, len(docs))
+                if k == len(docs):
+                    docs.append(doc)
+                    keys.append(key)
+                elif doc < docs[k]:
+                    docs[k] = doc
+                own.append(k)
+            of.append(own)
+            numbers.append(meta["number"])
+        bodies, docs = list(seen), np.array(docs, dtype=np.int64)
+        found: list = [None] * len(bodies)
+        order = np.argsort(np.array(keys, dtype=np.uint64), kind="stable").tolist()
+        start = 0
+        while start < len(order):
+            end = min(start + part, len(order))
+            while end < len(order) and keys[order[end]] == keys[order[end - 1]]:
+                end += 1
+            own = order[start:end]
+            for k, values in zip(own, earliest([bodies[k] for k in own], docs[own])):
+                cut = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+                found[k] = list(zip(cut.tolist(), (np.append(cut[1:], len(values)) - 1).tolist(), values[cut].tolist()))
+            start = end
+        runs = [np.array([(n, a, b, d) for n, k in zip(ns.tolist(), ks) for a, b, d in found[k]], dtype=_RUNS).tobytes() for ns, ks in zip(numbers, of)]
+        return pd.DataFrame({"block": frame["block"], "runs": runs})
+
+    return run
+
+
+def _removed(chunk: int):
     """(uid, spans): byte ranges of each document that an earlier one has, from the answers to its block."""
-    for batch in batches:
-        for data, raw, answers in zip(batch["data"], batch["meta"], batch["runs"]):
-            occurs, table = np.frombuffer(data, dtype=_OCCURS), np.frombuffer(raw, dtype=np.int64).reshape(3, -1)
-            runs = np.concatenate([np.frombuffer(a, dtype=_RUNS) for a in answers])
-            runs = runs[np.argsort(runs["number"], kind="stable")]
-            low, high = np.searchsorted(runs["number"], occurs["number"]), np.searchsorted(runs["number"], occurs["number"], side="right")
-            count = high - low
-            which = np.repeat(np.arange(len(occurs)), count)
-            run = runs[np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())]
-            part = occurs["part"][which]
-            gone = run["doc"] < table[1][part]
-            part, run, start = part[gone], run[gone], occurs["start"][which][gone].astype(np.int64)
-            start += table[2][part] * CHUNK
-            spans = np.stack([start + run["first"], start + run["last"] + LEAST], axis=1)
-            order = np.argsort(part, kind="stable")
-            part, spans = part[order], spans[order]
-            at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.empty(0, dtype=np.int64)
-            yield pd.DataFrame({"uid": table[0][part[at]], "spans": [s.tobytes() for s in np.split(spans, at[1:])] if len(at) else []})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for data, raw, answers in zip(batch["data"], batch["meta"], batch["runs"]):
+                occurs, table = np.frombuffer(data, dtype=_OCCURS), np.frombuffer(raw, dtype=np.int64).reshape(3, -1)
+                runs = np.concatenate([np.frombuffer(a, dtype=_RUNS) for a in answers])
+                runs = runs[np.argsort(runs["number"], kind="stable")]
+                low, high = np.searchsorted(runs["number"], occurs["number"]), np.searchsorted(runs["number"], occurs["number"], side="right")
+                count = high - low
+                which = np.repeat(np.arange(len(occurs)), count)
+                run = runs[np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())]
+                part = occurs["part"][which]
+                gone = run["doc"] < table[1][part]
+                part, run, start = part[gone], run[gone], occurs["start"][which][gone].astype(np.int64)
+                start += table[2][part] * chunk
+                spans = np.stack([start + run["first"], start + run["last"] + LEAST], axis=1)
+                order = np.argsort(part, kind="stable")
+                part, spans = part[order], spans[order]
+                at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.empty(0, dtype=np.int64)
+                yield pd.DataFrame({"uid": table[0][part[at]], "spans": [s.tobytes() for s in np.split(spans, at[1:])] if len(at) else []})
+
+    return run
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -360,7 +376,8 @@ def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["uid", "n_removed", "n_spans", "sha", "removed"])
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, block: int = BLOCK, hot: int = HOT,
+                      part: int = PART) -> DataFrame:
     """(id_col, n_bytes, n_removed, n_spans, kept_sha256, removed), one row per input row.
 
     A byte of a text goes if a string of ``LEAST`` bytes over it also starts in a document with a
@@ -370,16 +387,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     shards = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(solid(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    first = stored(rows.mapInPandas(_blocks, _DOC), "blocks")
+    first = stored(rows.mapInPandas(_blocks(chunk, block), _DOC), "blocks")
     known = first.filter("kind = 'doc'").select("uid", "id", "n_bytes", "sha")
     blocks = first.filter("kind = 'block'").select("block", "blob", "uids", "ids", "chunks", "chunk_counts", "lens")
     counted = blocks.select("block", "blob", "lens").mapInPandas(_counted(shards), "shard int, block bigint, data binary")
-    answers = counted.groupBy("shard").applyInPandas(_shared, "block bigint, data binary").groupBy("block").agg(F.collect_list("data").alias("known"))
+    answers = counted.groupBy("shard").applyInPandas(_shared(hot), "block bigint, data binary").groupBy("block").agg(F.collect_list("data").alias("known"))
     answers = answers.withColumnRenamed("block", "_block")
     cut = stored(blocks.join(answers, F.col("block") == F.col("_block")).mapInPandas(_pieces(shards), _CUT), "pieces")
-    runs = cut.filter("kind = 'pieces'").select("shard", "block", "data", "meta").groupBy("shard").applyInPandas(_sorted_strings, "block bigint, runs binary")
+    runs = cut.filter("kind = 'pieces'").select("shard", "block", "data", "meta").groupBy("shard").applyInPandas(_sorted_strings(part), "block bigint, runs binary")
     runs = runs.groupBy("block").agg(F.collect_list("runs").alias("runs")).withColumnRenamed("block", "_block")
-    spans = cut.filter("kind = 'occurs'").select("block", "data", "meta").join(runs, F.col("block") == F.col("_block")).mapInPandas(_removed, "uid bigint, spans binary")
+    spans = cut.filter("kind = 'occurs'").select("block", "data", "meta").join(runs, F.col("block") == F.col("_block")).mapInPandas(_removed(chunk), "uid bigint, spans binary")
     spans = stored(spans, "spans").groupBy("uid").agg(F.collect_list("spans").alias("spans"))
     texts = cut.filter("kind = 'text'").groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("chunk", "data"))).alias("t"))
     texts = texts.select(F.col("uid").alias("_uid"), F.col("t.data").alias("texts"))

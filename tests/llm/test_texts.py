@@ -1,0 +1,471 @@
+"""Encoding, personal data, fingerprints, quality, packing, addresses, revisits and the pipeline."""
+
+import hashlib
+import json
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from kartograf.llm import packing, pieces, pii, prefixes, quality, revisits, urls
+from tests.llm.conftest import CLASHES, odd_rows, ordered
+
+# --- SentencePiece ----------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    return pieces.load_vocabulary()
+
+
+def in_one_pass(v, text):
+    marked = pieces.normal(text)
+    best = [0] + [pieces.LOW] * len(marked)
+    came = pieces.forward(v, marked, best, len(marked))
+    return pieces.trace(v, marked, came, len(marked))[1]
+
+
+def texts(rng, n):
+    kinds = ["the in er a", "abcthein日x∂", ["the ", "hello", "  ", "日本", "ing", "\n", "🙂"]]
+    return ["".join(rng.choice(kinds[i % 3]) for _ in range(rng.randint(1, 150))) for i in range(n)]
+
+
+def chunked(v, text, size):
+    marked, entries = pieces.normal(text), []
+    parts = [(marked[k : k + size + v.longest - 1], min(size, len(marked) - k)) for k in range(0, len(marked), size)]
+    entry = np.full(v.longest, pieces.LOW)
+    entry[0] = 0
+    for part, n in parts:
+        entries.append(entry)
+        entry = np.maximum((entry[:, None] + pieces.transfer(v, part, n)).max(0), pieces.LOW)
+    out, way = [], 0
+    for (part, n), entry in zip(reversed(parts), reversed(entries)):
+        came_from, ids = pieces.chunk_ids(v, part, n, entry)
+        out, way = ids(way) + out, int(came_from[way])
+    return out
+
+
+def test_chunks_give_the_ids_of_one_pass(vocabulary):
+    rng = random.Random(1)
+    for text in texts(rng, 150):
+        want = in_one_pass(vocabulary, text)
+        assert pieces.encode_text(vocabulary, text) == want == chunked(vocabulary, text, rng.randint(16, 40))
+        assert pieces.decode_ids(vocabulary, want, True) == text
+
+
+def test_pieces_that_span_words(vocabulary):
+    """A vocabulary with marks within pieces has no cuts, and whole chunks are one matrix."""
+    v = pieces.Vocabulary(["a", "b", "▁", "a▁b", "ab", "▁a▁"], [-3, -3, -2, -4, -5, -4], [], 0)
+    assert not v.cuts
+    rng = random.Random(2)
+    for _ in range(100):
+        text = "".join(rng.choice("ab ") for _ in range(rng.randint(1, 40)))
+        assert pieces.encode_text(v, text) == in_one_pass(v, text) == chunked(v, text, rng.randint(3, 9))
+
+
+def test_segmentation_is_that_of_the_library(vocabulary):
+    """The library's own unigram search on the same pieces and scores reaches the same score."""
+    import sentencepiece
+
+    model = _unigram_model(vocabulary)
+    library = sentencepiece.SentencePieceProcessor(model_proto=model)
+    rng = random.Random(3)
+    score = {i: s for i, s in vocabulary.table.values()}
+    total = lambda ids: sum(score.get(i, 0) for i in ids)
+    for _ in range(60):
+        text = " ".join(rng.choice(["the", "Hello", "thing", "nation", "er", "ouble", "reading", "x"]) for _ in range(rng.randint(1, 25)))
+        ours, theirs = pieces.encode_text(vocabulary, text), library.encode(text)
+        assert total(ours) == total(theirs) and library.decode(ours) == text
+
+
+def _unigram_model(v):
+    """A model file of kind unigram with the vocabulary's scores, written field by field."""
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    def field(number, kind, value):
+        return varint(number << 3 | kind) + (value if kind == 5 else varint(value) if kind == 0 else varint(len(value)) + value)
+
+    body = b""
+    for i, piece in enumerate(v.pieces):
+        kind = 6 if i in v.bytes_of and i else 2 if piece == "<unk>" else 1 if piece in v.table else 3
+        found = v.table.get(piece)
+        body += field(1, 2, field(1, 2, piece.encode()) + field(2, 5, np.float32((found[1] if found else 0) / pieces.SCALE).tobytes()) + field(3, 0, kind))
+    body += field(2, 2, field(3, 0, 1) + field(35, 0, 1))
+    return body + field(3, 2, field(1, 2, b"identity") + field(3, 0, 1) + field(4, 0, 0) + field(5, 0, 1))
+
+
+@pytest.mark.parametrize("chunk", [64, 32_768])
+def test_encoding_and_decoding(odd, nothing, vocabulary, chunk):
+    rows = odd if chunk > 64 else odd.filter(F.coalesce(F.length("text"), F.lit(0)) < 20_000)
+    encoded = pieces.encode_pieces(rows, vocabulary, chunk=chunk)
+    found = defaultdict(list)
+    for r in pieces.decode_pieces(encoded, vocabulary).collect():
+        found[r.doc_id].append((r.chunk, r.n_chunks, r.ids, r.text))
+    for d, t in odd_rows():
+        if len(t or "") < 20_000 or chunk > 64:
+            many = sum(x == d for x, _ in odd_rows())
+            got = sorted(found[d], key=lambda x: x[:2])
+            assert len(got) == sum(-(-max(1, len(pieces.normal(u or ""))) // chunk) for x, u in odd_rows() if x == d)
+            if many == 1:
+                assert [i for x in got for i in x[2]] == in_one_pass(vocabulary, t or "") and "".join(x[3] for x in got) == (t or "")
+    assert pieces.encode_pieces(nothing, vocabulary).count() == 0
+
+
+# --- personal data ----------------------------------------------------------------------------------------
+
+SHAPES = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+          "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(digits):
+    total = sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(digits)))
+    return total % 10 == 0
+
+
+def base(text):
+    out = []
+    for kind, shape in SHAPES.items():
+        for m in re.finditer(shape, text or ""):
+            digits = re.sub("[^0-9]", "", m.group())
+            if (kind == "email" or kind == "ip" and all(int(p) <= 255 for p in m.group().split("."))
+                    or kind == "card" and 16 <= len(digits) <= 19 and luhn(digits) or kind == "phone" and 8 <= len(digits) <= 15):
+                out.append(f"{kind}:{m.start()}:{m.end()}")
+    return out
+
+
+def test_base_spans_are_those_of_the_patterns():
+    rng = random.Random(4)
+    parts = ["a@b.c", "x.y%z@q-r.s.t", "@", ".", "1.2.3.4", "256.1.1.1", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (23) 456-78", "+", "9", " ", "-", "é", "_", "a@b.c_d@e.f"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+        got = [f"{k}:{a}:{b}" for k in pii.BASE_KINDS for a, b in pii.base_spans(text)[k]]
+        assert got == base(text), text
+    long = "a" * 300_000 + "1" * 300_000
+    assert pii.base_spans(long) == {k: [] for k in pii.BASE_KINDS} and len(pii.base_spans(long + "@b.c")["email"]) == 1
+
+
+def test_personal_data(odd, nothing):
+    got = {r.doc_id: r for r in pii.personal_data(odd).collect()}
+    assert pii.personal_data(odd).count() == len(odd_rows()) and pii.personal_data(nothing).count() == 0
+    for d, t in odd_rows():
+        if d is not None:
+            want = base(t)
+            counts = Counter(s.split(":")[0] for s in want)
+            assert tuple(got[d])[1:5] == tuple(counts[k] for k in pii.BASE_KINDS)
+            assert got[d].base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+            assert set(want) <= set(got[d].spans.split(",")) | {""}
+
+
+def test_expectation_maximisation_finds_reliable_labelers():
+    rng = np.random.default_rng(5)
+    truth = rng.random(20_000) < 0.3
+    right = [0.95, 0.9, 0.6, 0.8]
+    ballots = np.stack([np.where(rng.random(len(truth)) < p, truth, ~truth) for p in right], 1).astype(int)
+    ballots[rng.random(ballots.shape) < 0.2] = pii.NONE
+    distinct, inverse, counts = np.unique(ballots, axis=0, return_inverse=True, return_counts=True)
+    share, table, chance = pii.reliabilities(distinct, counts.astype(float))
+    found = [table[j, 1, pii.YES] / (1 - table[j, 1, pii.NONE]) for j in range(4)]
+    assert abs(share - 0.3) < 0.02 and np.abs(np.array(found) - right).max() < 0.03
+    assert ((chance > 0.5)[inverse.ravel()] == truth).mean() > 0.93
+
+
+def test_secrets_are_added_and_redacted(ready):
+    rows = [(i, f"my password=Ab{i}xyz9 is here, mail a{i}@b.com") for i in range(30)] + [(100, "nothing at all"), (101, None)]
+    df = ready.createDataFrame(rows, "doc_id bigint, text string")
+    spans = {r.doc_id: r.spans for r in pii.personal_data(df).collect()}
+    assert all("secret:12:" in spans[i] and "email:" in spans[i] for i in range(30)) and spans[100] == spans[101] == ""
+    text = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert text[3] == "my password=<SECRET> is here, mail <EMAIL>" and text[100] == "nothing at all" and text[101] is None
+
+
+# --- fingerprints -----------------------------------------------------------------------------------------
+
+
+def test_spans_and_common_extensions():
+    rng = random.Random(6)
+    a, b = ("".join(rng.choice("ab🙂") for _ in range(200)) for _ in range(2))
+    x, y = prefixes.PrefixHashes(prefixes.codes(a)), prefixes.PrefixHashes(prefixes.codes(b))
+    for _ in range(500):
+        i, j = rng.randrange(200), rng.randrange(200)
+        want = next((k for k in range(200) if a[i + k : i + k + 1] != b[j + k : j + k + 1] or i + k >= 200 or j + k >= 200), 0)
+        assert prefixes.common_extension(x, i, y, j) == want
+        n = rng.randint(0, 200 - max(i, j))
+        assert prefixes.span_equal(x, i, y, j, n) == (a[i : i + n] == b[j : j + n])
+
+
+def test_long_texts_are_hashed_in_blocks(monkeypatch):
+    text = "".join(random.Random(7).choice("abcdef ") for _ in range(5000))
+    whole = prefixes.fingerprint(prefixes.codes(text))
+    for block in (8, 100, 777):
+        monkeypatch.setattr(prefixes, "BLOCK", block)
+        assert prefixes.fingerprint(prefixes.codes(text)) == whole
+        assert prefixes.common_prefix(prefixes.codes(text), prefixes.codes(text[:3210] + "!")) == 3210
+
+
+def test_fingerprints(odd, nothing):
+    got = prefixes.fingerprints(odd).collect()
+    assert len(got) == len(odd_rows()) and prefixes.fingerprints(nothing).count() == 0
+    rows = sorted(((-1 if d is None else d), t or "") for d, t in odd_rows())
+    ids, seen = Counter(d for d, _ in rows), {(-1 if r.doc_id is None else r.doc_id): r for r in got}
+    for k, (d, t) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)]
+        if ids[d] == 1 and ids[after[0]] == 1:
+            edited = t[: len(t) - len(t) // 2] + after[1][: len(t) // 2]
+            r = seen[d]
+            assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+            assert r.edited_fingerprint == prefixes.fingerprint(prefixes.codes(edited)) and r.fingerprint == prefixes.fingerprint(prefixes.codes(t))
+            assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 and (r.near_edited == 1) == (edited == t)
+    prints = defaultdict(set)
+    for d, t in odd_rows():
+        if ids[-1 if d is None else d] == 1:
+            prints[t or ""].add(seen[d].fingerprint)
+    assert all(len(p) == 1 for p in prints.values()) and len({p for s in prints.values() for p in s}) == len(prints)
+
+
+def test_a_single_document_follows_itself(ready):
+    r = prefixes.fingerprints(ready.createDataFrame([(4, "abcd")], "doc_id bigint, text string")).first()
+    assert r.edited_sha256 == hashlib.sha256(b"abab").hexdigest()
+
+
+# --- quality ----------------------------------------------------------------------------------------------
+
+
+def kneser_ney(trusted, order=4):
+    """Plain interpolated modified Kneser-Ney over characters."""
+    start, counts = "\x02" * (order - 1), [None] * (order + 1)
+    counts[order] = Counter((start + t)[i : i + order] for t in trusted for i in range(len(t)))
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    tables = {}
+    for k in range(1, order + 1):
+        of = Counter(counts[k].values())
+        n = [0] + [of[i] for i in (1, 2, 3, 4)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] + n[2] else 0
+        cut = [0] + [min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.1), i) if n[i] else i / 2 for i in (1, 2, 3)]
+        total, back = Counter(), Counter()
+        for g, c in counts[k].items():
+            total[g[:-1]] += c
+            back[g[:-1]] += cut[min(c, 3)]
+        tables[k] = (counts[k], cut, total, back)
+    letters = len(counts[1]) + 1
+
+    def chance(g):
+        p = 1 / letters
+        for k in range(1, order + 1):
+            seen, cut, total, back = tables[k]
+            own = g[order - k :]
+            if total[own[:-1]]:
+                c = seen[own]
+                p = ((c - cut[min(c, 3)] if c else 0) + back[own[:-1]] * p) / total[own[:-1]]
+        return p
+
+    return lambda t: math.exp(-sum(math.log(chance((start + t)[i : i + order])) for i in range(len(t))) / len(t)) if t else None
+
+
+def test_perplexities_are_those_of_the_model(odd, ready):
+    trusted = [4, 7, 9, 10, 13, 18, 100, 101, 102, 103]
+    ids = ready.createDataFrame([(i,) for i in trusted], "doc_id bigint")
+    got = quality.judge_quality(odd, ids).collect()
+    by_id = dict(odd_rows())
+    training = {r.doc_id for r in ids.filter(~quality.held_out("doc_id")).collect()}
+    assert 0 < len(training) < len(trusted)
+    model = kneser_ney([by_id[i] for i in trusted if i in training])
+    assert len(got) == len(odd_rows())
+    for r in got:
+        if r.doc_id is not None:
+            want = model(by_id[r.doc_id] or "")
+            assert (r.perplexity is None) == (want is None) and (want is None or abs(r.perplexity / want - 1) < 1e-4)
+            assert r.kept == (want is not None and r.perplexity <= r.threshold)
+
+
+def test_quality_without_rows_or_trust(odd, nothing, ready):
+    none = ready.createDataFrame([], "doc_id bigint")
+    assert quality.judge_quality(nothing, none).count() == 0
+    kept = {r.doc_id: r.kept for r in quality.judge_quality(odd, none).collect()}
+    assert kept[7] and not kept[1] and not kept[2]
+
+
+def test_junk_is_rejected_and_clean_text_kept(ready):
+    docs = ready.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = ready.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    good = labels.filter("quality = 1 AND doc_id % 2 = 0").select("doc_id")
+    judged = quality.judge_quality(docs, good).join(labels, "doc_id").filter("doc_id % 2 = 1")
+    rates = {r.quality: r.kept for r in judged.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
+    assert rates[1] > 0.95 and rates[0] < 0.5
+
+
+def test_giant_texts_are_scored_in_pieces():
+    text = "".join(random.Random(8).choice("abc ") for _ in range(1000))
+    codes = quality._codes("\x02" * 3 + text)
+    parts = [quality._codes(text[max(0, a - 3) : a + 100] if a else "\x02" * 3 + text[:100]) for a in range(0, 1000, 100)]
+    assert np.concatenate([quality.grams(p) for p in parts]).tolist() == quality.grams(codes).tolist()
+
+
+# --- packing ----------------------------------------------------------------------------------------------
+
+
+def test_bins_hold_their_pieces_and_are_as_small_as_can_be():
+    rng = random.Random(9)
+    for _ in range(50):
+        lengths = [rng.randint(1, 8192) if rng.random() < 0.2 else rng.randint(1, 400) for _ in range(rng.randint(1, 300))]
+        bins, places, capacities = packing.pack_lengths(lengths)
+        filled = defaultdict(list)
+        for n, b, p in zip(lengths, bins, places):
+            filled[b].append((p, n))
+        assert len(filled) == len(capacities)
+        for b, held in filled.items():
+            held.sort()
+            assert all(p == sum(n for _, n in held[:k]) for k, (p, _) in enumerate(held))
+            assert capacities[b] == min(c for c in packing.CAPACITIES if c >= sum(n for _, n in held))
+    lengths = [rng.randint(1, 600) for _ in range(5000)]
+    _, _, capacities = packing.pack_lengths(lengths)
+    assert sum(lengths) / sum(capacities) > 0.98
+    assert packing.pack_lengths([]) == ([], [], [])
+
+
+def test_packing(odd, nothing):
+    got, held = defaultdict(list), defaultdict(list)
+    for r in packing.pack_documents(odd, capacities=(16, 64, 256)).collect():
+        got[r.doc_id].append(r)
+        if r.bin_id:
+            held[r.bin_id].append((r.place, r.length, r.capacity))
+    for pieces_in in held.values():
+        at = 0
+        for place, length, capacity in sorted(pieces_in):
+            assert place == at and capacity == pieces_in[0][2]
+            at += length
+        assert at <= pieces_in[0][2] and not any(at <= c < pieces_in[0][2] for c in (16, 64, 256))
+    by_id = defaultdict(list)
+    for d, t in odd_rows():
+        by_id[d].append(len(re.findall(r"[^\x20\x09-\x0D]+", t or "")))
+    for d, sizes in by_id.items():
+        assert sum(r.length for r in got[d]) == sum(sizes)
+        if len(sizes) == 1:
+            own = sorted(got[d], key=lambda r: r.piece)
+            assert [r.piece for r in own] == list(range(len(own))) and all(r.start == 256 * r.piece for r in own)
+    assert packing.pack_documents(nothing).count() == 0
+
+
+# --- addresses and revisits -------------------------------------------------------------------------------
+
+
+def judged(url):
+    host = path = ""
+    if url and "://" in url:
+        rest = url.split("://", 1)[1]
+        host = re.match(r"[^/?#]*", rest).group()
+        path = re.match(r"[^?#]*", rest[len(host) :]).group()
+        host = re.sub("[A-Z]", lambda m: m.group().lower(), host)
+    best = max(((len(h + p), h + p, v) for v, h, p in urls.PATH_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)), default=None)
+    if best:
+        return host, path, best[1], best[2]
+    globs = [(-len(g), g, v) for v, g in urls.GLOB_RULES if re.fullmatch("(?s)" + ".*".join(map(re.escape, g.split("*"))), host + path)]
+    return host, path, None, min(globs)[2] if globs else "allow"
+
+
+def test_addresses(ready):
+    rng = random.Random(10)
+    hosts = ["example.com", "www.example.com", "WWW.Example.COM", "x.net", "net", "xnet", "ads.org", "a.ads.org", "b.org", "example.comx", ""]
+    tails = ["", "/", "/en/", "/en", "/en/1?x=/es/", "/es/2#a", "/fr/", "/EN/", "/login/", "/a/login/b", "/x.exe", "/x.exe?y", "/wiki/é", "/tag/a/page/2", "?q", "#f", "/a\nb/cart/c"]
+    rows = [(i, rng.choice(["http://", "https://", "x://", "http:/", ""]) + rng.choice(hosts) + rng.choice(tails)) for i in range(600)]
+    rows += [(1000, None), (1001, ""), (1002, "http://example.com/en/x"), (1002, "http://example.com/en/x"), (1003, "a://b://c/d"), (None, "http://net/es/")]
+    df = ready.createDataFrame(rows, "page_id bigint, url string").withColumns({c: F.lit(-1) for c in (*CLASHES, "token", "rule", "host")})
+    got = ordered(tuple(r)[:5] for r in urls.judge_urls(df, urls.rule_table(ready)).collect())
+    assert got == ordered((i, *judged(u)) for i, u in rows)
+    assert urls.judge_urls(df.filter("false"), urls.rule_table(ready)).count() == 0
+
+
+def test_rules_are_fetched_by_their_rarest_token(ready):
+    pages = ready.createDataFrame([(i, f"http://site{i}.com/en/{i}") for i in range(50)] + [(99, "http://a.com/rare/")], "page_id bigint, url string")
+    rules = ready.createDataFrame([("block", "*/en/rare/*", False), ("block", "com/en/", True), ("block", "*", False)], "verdict string, rule string, on_path boolean")
+    host, path = urls.host_and_path(F.col("url"))
+    tokens = urls._address_tokens(pages.select("url", F.concat(host, path).alias("key")))
+    fetched = {r.rule: r.token for r in urls.indexed(urls.compiled(rules), tokens).collect()}
+    assert fetched == {"*/en/rare/*": "rare", "com/en/": "en", "*": ""}
+
+
+def test_revisits(ready):
+    rng = random.Random(12)
+    names = ["http://A.com/x", "https://www.a.com/x/", "http://a.com:80/x?utm_source=f", "http://b.com/y?p=1&ref=z", "http://b.com/y?p=1#f", None]
+    rows = []
+    for i in range(400):
+        kind = rng.choice(["response", "revisit", "revisit"])
+        rows.append((i, kind, rng.choice(names[:5]) if i % 40 else None, rng.randint(0, 60) if i % 50 else None, rng.choice([None, '"1"', '"2"', 'W/"1"']),
+                     rng.choice([None, "m1", "m2"]), rng.choice([None, "d1", "d2"]), {"ETag": "e", "X": str(i), "date": None} if i % 7 else None))
+    rows.append(rows[5])
+    df = ready.createDataFrame(rows, revisits.RECORD).repartition(7).withColumns({c: F.lit(-1) for c in (*CLASHES, "canonical", "pid", "open") if c != "kind"})
+    clean = {None: "", names[0]: "a.com/x", names[1]: "a.com/x", names[2]: "a.com/x", names[3]: "b.com/y?p=1", names[4]: "b.com/y?p=1"}
+    at = lambda r: -1 if r[3] is None else r[3]
+    want = []
+    for r in rows:
+        before = [x for x in rows if x[1] == "response" and clean[x[2]] == clean[r[2]] and at(x) < at(r)]
+        b = max(before, key=lambda x: (at(x), x[0]), default=None)
+        tag = lambda e: re.sub("^W/", "", e)
+        if r[1] == "response":
+            state = "response"
+        elif b is None:
+            state = "missing"
+        else:
+            pairs = [(tag(r[4]), tag(b[4])) if r[4] and b[4] else None, (r[5], b[5]) if r[5] and b[5] else None, (r[6], b[6]) if r[6] and b[6] else None]
+            first = next((p for p in pairs if p), None)
+            state = "unverified" if first is None else "resolved" if first[0] == first[1] else "mismatch"
+        low = lambda h: {k.lower(): v or "" for k, v in (h or {}).items()}
+        headers = low(r[7])
+        if state in ("resolved", "unverified"):
+            headers = {**low(b[7]), **{k: v for k, v in headers.items() if k in revisits.PERMITTED}}
+        want.append((r[0], clean[r[2]], b[0] if b and r[1] != "response" else None, state, json.dumps(headers, sort_keys=True)))
+    for partitions in ("3", "40"):
+        ready.conf.set("spark.sql.shuffle.partitions", partitions)
+        ready.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            got = [(r.record_id, r.canonical, r.base_id, r.state, json.dumps(json.loads(r.headers), sort_keys=True)) for r in revisits.resolve_revisits(df).collect()]
+        finally:
+            ready.conf.set("spark.sql.shuffle.partitions", "8")
+            ready.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert ordered(got) == ordered(want)
+    assert revisits.resolve_revisits(df.filter("false")).count() == 0
+
+
+# --- pipeline ---------------------------------------------------------------------------------------------
+
+
+def test_pipeline_stages(odd, ready, tmp_path):
+    import corpus_pipeline as P
+    from tests.llm.test_dedup import low, near
+
+    folder = str(tmp_path)
+    ready.createDataFrame([(i, 1, 0) for i in (4, 7, 9, 10, 13, 18, 100, 101, 102, 103)], "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    odd.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{folder}/documents.parquet")
+    docs = ready.read.parquet(f"{folder}/documents.parquet")
+    columns, before = docs.columns, None
+    for name, stage in P.STAGES[:-1]:
+        before = ordered((r.doc_id, r.text) for r in docs.collect())
+        stage(ready, docs, folder).write.parquet(f"{folder}/{name}.parquet")
+        docs = ready.read.parquet(f"{folder}/{name}.parquet")
+        assert docs.columns == columns
+        after = ordered((r.doc_id, r.text) for r in docs.collect())
+        if name == "exact dedup":
+            best = {}
+            for d, t in before:
+                best[low(t)] = max(best.get(low(t), -1), -1 if d is None else d)
+            assert [x for x in after] == ordered((None if d == -1 else d, t) for d, t in {(-1 if d is None else d, t) for d, t in before} if best[low(t)] == d)
+        elif name == "n-gram Jaccard join":
+            assert after == ordered(x for x, (d, _, c) in zip(before, [n for b in before for n in near(before) if n[0] == b[0]]) if d == c)
+        elif name == "PII":
+            assert [d for d, _ in after] == [d for d, _ in before] and not any(base(t) for _, t in after)
+        else:
+            assert set(after) <= set(before) and all(t for _, t in after)
+    packed = P.pack(ready, docs, folder)
+    assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in docs.collect()}
+    assert P.run(ready, folder).count() == packed.count()
+    for _, stage in P.STAGES:
+        assert stage(ready, docs.filter("false"), folder).count() == 0
