@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,34 @@ CHUNK = 32_768  # characters
 FAN = 64  # chunks that are combined in one task
 SCALE = 1024  # scores are whole multiples of 1 / SCALE
 LOW = -(1 << 60)  # stands for minus infinity
-_CACHED = 400_000  # words kept by a worker; then it starts anew
+SEGMENT = 400  # characters that the library searches at once: at most 500 penalties of 30.8 stay below 2**24 / SCALE
+
+
+def unigram_model(pieces: list[str], scores: list[int], plain: set[str], byte_ids: set[int], unknown: int) -> bytes:
+    """A model file of kind unigram with these pieces and scores, and texts taken as they are.
+
+    Fields of the file format: 1 a piece (1 text, 2 score, 3 kind: 1 normal, 2 unknown, 3 control, 6
+    byte), 2 the trainer (3 kind of model, 35 bytes for unknown characters), 3 the normalizer.
+    """
+
+    def number(n: int) -> bytes:
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    def field(at: int, value) -> bytes:
+        if isinstance(value, int):
+            return number(at << 3) + number(value)
+        if isinstance(value, np.float32):
+            return number(at << 3 | 5) + value.tobytes()
+        return number(at << 3 | 2) + number(len(value)) + value
+
+    body = b"".join(
+        field(1, field(1, p.encode()) + field(2, np.float32(scores[i] / SCALE)) + field(3, 2 if i == unknown else 6 if i in byte_ids else 1 if p in plain else 3))
+        for i, p in enumerate(pieces))
+    trainer = field(3, 1) + field(35, int(bool(byte_ids)))
+    return body + field(2, trainer) + field(3, field(1, b"identity") + field(3, 0) + field(4, 0) + field(5, 0))
 
 
 class Vocabulary:
@@ -47,10 +75,23 @@ class Vocabulary:
             if len(p) > 1:
                 self.reach[p[:2]] = max(self.reach.get(p[:2], 0), len(p))
         self.bytes_of = {i: n for n, i in enumerate(byte_ids)}
-        self.cache: dict[str, tuple[int, tuple[int, ...]]] = {}
+        self.model = unigram_model(pieces, [s or 0 for s in scores], set(self.table), set(self.bytes_of), unknown)
+        # cost of each id: an unknown character counts once, at the first of its bytes
+        self.costs = np.array([s or 0 for s in scores], dtype=np.int64)
+        for i, byte in self.bytes_of.items():
+            self.costs[i] = self.penalty if byte & 0xC0 != 0x80 else 0
+        self.library = None
 
     def __getstate__(self):
-        return {**self.__dict__, "cache": {}}
+        return {**self.__dict__, "library": None}
+
+    def encode(self, segments: list[str]) -> list[list[int]]:
+        """Ids of segments of up to ``SEGMENT`` + 1 characters, whose scores the library's floats hold exactly."""
+        if self.library is None:
+            import sentencepiece
+
+            self.library = sentencepiece.SentencePieceProcessor(model_proto=self.model)
+        return self.library.encode(segments, num_threads=1)
 
     def ids(self, piece: str) -> tuple[int, ...]:
         found = self.table.get(piece)
@@ -114,18 +155,8 @@ def trace(v: Vocabulary, text: str, came: list[int], end: int) -> tuple[int, lis
     return end, [i for ids in reversed(out) for i in ids]
 
 
-def _word(v: Vocabulary, word: str) -> tuple[int, tuple[int, ...]]:
-    found = v.cache.get(word)
-    if found is None:
-        if len(v.cache) >= _CACHED:
-            v.cache.clear()
-        best = [0] + [LOW] * len(word)
-        came = forward(v, word, best, len(word))
-        found = v.cache[word] = (best[-1], tuple(trace(v, word, came, len(word))[1]))
-    return found
-
-
-_WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+#: As many whole words as fit a segment, or one longer word.
+_SEGMENT = re.compile(f"(?s){SPACE}.{{0,{SEGMENT}}}(?=(?<!{SPACE}){SPACE}|\\Z)|{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _CUT = re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
 
 
@@ -134,11 +165,28 @@ def normal(text: str) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
+def encode_texts(v: Vocabulary, texts) -> list[list[int]]:
+    """Ids of whole texts, by segments of words where pieces cannot span words."""
+    return [_ids(v, marked, 0, len(marked)) for marked in map(normal, texts)]
+
+
+def _ids(v: Vocabulary, marked: str, first: int, last: int) -> list[int]:
+    """Ids of a part between two cuts.  Words longer than a segment are searched here."""
+    if not (v.cuts and v.byte_ids):
+        return _whole(v, marked[first:last])
+    segments = _SEGMENT.findall(marked, first, last)
+    if any(len(s) > SEGMENT + 1 for s in segments):
+        return list(chain.from_iterable(v.encode([s])[0] if len(s) <= SEGMENT + 1 else _whole(v, s) for s in segments))
+    return list(chain.from_iterable(v.encode(segments)))
+
+
+def _whole(v: Vocabulary, marked: str) -> list[int]:
+    best = [0] + [LOW] * len(marked)
+    return trace(v, marked, forward(v, marked, best, len(marked)), len(marked))[1]
+
+
 def encode_text(v: Vocabulary, text: str) -> list[int]:
-    marked, out = normal(text), []
-    for word in _WORD.findall(marked) if v.cuts else [marked] if marked else []:
-        out += _word(v, word)[1]
-    return out
+    return encode_texts(v, [text])[0]
 
 
 def _ends(v: Vocabulary, text: str, size: int) -> tuple[int, int] | None:
@@ -155,15 +203,6 @@ def _ends(v: Vocabulary, text: str, size: int) -> tuple[int, int] | None:
     return first.start(), max(at, last)
 
 
-def _mid(v: Vocabulary, text: str, first: int, last: int) -> tuple[int, list[int]]:
-    score, ids = 0, []
-    for word in _WORD.findall(text, first, last):
-        s, own = _word(v, word)
-        score += s
-        ids += own
-    return score, ids
-
-
 def transfer(v: Vocabulary, text: str, size: int) -> np.ndarray:
     """Entries x exits of a chunk of ``size`` characters, of which ``text`` also holds the next few."""
     n, width = len(text), v.longest
@@ -175,7 +214,7 @@ def transfer(v: Vocabulary, text: str, size: int) -> np.ndarray:
 
     if cut:
         first, last = cut
-        middle, _ = _mid(v, text, first, last)
+        middle = int(v.costs[_ids(v, text, first, last)].sum())
         best = [LOW] * last + [0] + [LOW] * (n - last)
         forward(v, text, best, size)
         tail = exits(best)
@@ -207,7 +246,7 @@ def chunk_ids(v: Vocabulary, text: str, size: int, entry: np.ndarray) -> tuple[n
         tail = [LOW] * last + [0] + [LOW] * (n - last)
         came_tail = forward(v, text, tail, size)
         came_from = np.array([start if size + e <= n and tail[size + e] > LOW else -1 for e in range(width)], dtype=np.int64)
-        return came_from, lambda e: ids_head + _mid(v, text, first, last)[1] + trace(v, text, came_tail, size + e)[1]
+        return came_from, lambda e: ids_head + _ids(v, text, first, last) + trace(v, text, came_tail, size + e)[1]
     best = [int(entry[i]) if i < width else LOW for i in range(n + 1)]
     came = forward(v, text, best, size)
     ways = [trace(v, text, came, size + e) if size + e <= n and best[size + e] > LOW else (-1, []) for e in range(width)]
@@ -288,7 +327,7 @@ def encode_pieces(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id
     def short(batches):
         v = sent.value
         for batch in batches:
-            yield pd.DataFrame({id_col: batch["id"], "chunk": 0, "n_chunks": 1, "ids": [encode_text(v, t) for t in batch["text"]]})
+            yield pd.DataFrame({id_col: batch["id"], "chunk": 0, "n_chunks": 1, "ids": encode_texts(v, batch["text"])})
 
     # one place is the mark before the text
     direct = rows.filter(F.length("text") < chunk).mapInPandas(short, out)
@@ -350,6 +389,9 @@ def encode_pieces(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id
 
 def decode_ids(v: Vocabulary, ids, first: bool) -> str:
     """Text of piece ids; the mark before the text is taken away from a ``first`` chunk."""
+    if v.bytes_of.keys().isdisjoint(ids):
+        text = "".join(map(v.pieces.__getitem__, ids)).replace(SPACE, " ")
+        return text[1:] if first and text[:1] == " " else text
     out, pending = [], bytearray()
     for i in ids:
         byte = v.bytes_of.get(i)

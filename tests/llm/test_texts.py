@@ -67,40 +67,20 @@ def test_pieces_that_span_words(vocabulary):
         assert pieces.encode_text(v, text) == in_one_pass(v, text) == chunked(v, text, rng.randint(3, 9))
 
 
-def test_segmentation_is_that_of_the_library(vocabulary):
-    """The library's own unigram search on the same pieces and scores reaches the same score."""
-    import sentencepiece
-
-    model = _unigram_model(vocabulary)
-    library = sentencepiece.SentencePieceProcessor(model_proto=model)
+def test_segments_by_the_library_are_those_of_one_pass(vocabulary):
+    """Score and ids, unknown characters, control names and zero bytes included."""
     rng = random.Random(3)
-    score = {i: s for i, s in vocabulary.table.values()}
-    total = lambda ids: sum(score.get(i, 0) for i in ids)
-    for _ in range(60):
-        text = " ".join(rng.choice(["the", "Hello", "thing", "nation", "er", "ouble", "reading", "x"]) for _ in range(rng.randint(1, 25)))
-        ours, theirs = pieces.encode_text(vocabulary, text), library.encode(text)
-        assert total(ours) == total(theirs) and library.decode(ours) == text
-
-
-def _unigram_model(v):
-    """A model file of kind unigram with the vocabulary's scores, written field by field."""
-
-    def varint(n):
-        out = b""
-        while n > 127:
-            out, n = out + bytes([n & 127 | 128]), n >> 7
-        return out + bytes([n])
-
-    def field(number, kind, value):
-        return varint(number << 3 | kind) + (value if kind == 5 else varint(value) if kind == 0 else varint(len(value)) + value)
-
-    body = b""
-    for i, piece in enumerate(v.pieces):
-        kind = 6 if i in v.bytes_of and i else 2 if piece == "<unk>" else 1 if piece in v.table else 3
-        found = v.table.get(piece)
-        body += field(1, 2, field(1, 2, piece.encode()) + field(2, 5, np.float32((found[1] if found else 0) / pieces.SCALE).tobytes()) + field(3, 0, kind))
-    body += field(2, 2, field(3, 0, 1) + field(35, 0, 1))
-    return body + field(3, 2, field(1, 2, b"identity") + field(3, 0, 1) + field(4, 0, 0) + field(5, 0, 1))
+    parts = ["the", "Hello", "thing", "nation", "er", "ouble", "x", "日", "🙂", "<s>", "</s>", "<0x0A>", "\n", "\x00", "é", "▁", "ß%"]
+    for _ in range(400):
+        word = rng.choice(["", "▁", "▁▁"]) + "".join(rng.choice(parts) for _ in range(rng.randint(1, 8)))
+        word = pieces.normal(word)
+        best = [0] + [pieces.LOW] * len(word)
+        came = pieces.forward(vocabulary, word, best, len(word))
+        want = pieces.trace(vocabulary, word, came, len(word))[1]
+        assert pieces._ids(vocabulary, word, 0, len(word)) == want and vocabulary.costs[want].sum() == best[-1]
+    long = pieces.normal("x" * 900 + " word " * 300 + "日" * 600 + " ")
+    assert pieces._ids(vocabulary, long, 0, len(long)) == pieces._whole(vocabulary, long)
+    assert "".join(pieces._SEGMENT.findall(long)) == long
 
 
 @pytest.mark.parametrize("chunk", [64, 32_768])
