@@ -152,8 +152,12 @@ MAG_SQL = """mag AS (SELECT vec_id AS id, list_transform(range(0,4), lambda a: l
   list_transform(range(0,4), lambda a: (vec_id + a) % 5 <> 0) AS ok FROM embeddings)"""
 
 
+def draw_sql(key: str, seed: int) -> str:
+    return f"CAST('0x' || substr(md5(CAST(CAST({key} AS BIGINT) AS VARCHAR) || ':{seed}'), 1, 15) AS BIGINT)"
+
+
 def pick_sql(key: str, seed: int, n: str) -> str:
-    return f"((({key}) % 2147483648) * 1103515245 + {12345 + seed}) % 2147483648 % ({n})"
+    return f"{draw_sql(key, seed)} % ({n})"
 
 
 PAIR_SQL = f"""rowno AS (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) - 1 AS p, count(*) OVER () AS n FROM embeddings),

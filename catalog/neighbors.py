@@ -66,22 +66,31 @@ def siamese_pairs(spark, d):
     return pairs.select("i", "j", r(arrays.antenna_distance(F.col("x"), F.col("y"), "cityblock", "mean")).alias("target"))
 
 
-@query("stored_distance_lookup", f"""WITH {PAIR_SQL}, st AS (SELECT DISTINCT least(i,j) AS i, greatest(i,j) AS j FROM drawn WHERE i <> j)
-SELECT d.j AS i, d.i AS j, ROUND(CASE WHEN d.i = d.j THEN 0 ELSE s.i*0.5 + s.j END, 6) + 0.0 AS d FROM drawn d
+_STORED_SQL = f"""{MAG_SQL}, {PAIR_SQL}, ks AS (SELECT DISTINCT least(i,j) AS i, greatest(i,j) AS j FROM drawn WHERE i <> j),
+st AS (SELECT i, j, ROUND(list_sum(list_transform(range(1,5), lambda k: list_sum(list_transform(range(1,9), lambda t: abs(a.vec[k][t]-b.vec[k][t])))))/4, 6) + 0.0 AS d
+  FROM ks JOIN mag a ON a.id = i JOIN mag b ON b.id = j)"""
+
+
+def _stored_distances(spark, d):
+    """Distances of all drawn pairs, as a table of i < j."""
+    m = magnitudes(spark, d)
+    keyed = sampling.pair_key(drawn_pairs(spark, d).filter("i <> j")).select(F.col("low").alias("i"), F.col("high").alias("j")).distinct()
+    both = keyed.join(m.select(F.col("id").alias("i"), F.col("vec").alias("x")), "i").join(m.select(F.col("id").alias("j"), F.col("vec").alias("y")), "j")
+    return both.select("i", "j", r(arrays.antenna_distance(F.col("x"), F.col("y"), "cityblock", "mean")).alias("d"))
+
+
+@query("stored_distance_lookup", f"""WITH {_STORED_SQL}
+SELECT d.j AS i, d.i AS j, CASE WHEN d.i = d.j THEN 0 ELSE s.d END AS d FROM drawn d
 LEFT JOIN st s ON s.i = least(d.i, d.j) AND s.j = greatest(d.i, d.j)""")
 def stored_distance_lookup(spark, d):
-    drawn = drawn_pairs(spark, d)
-    keyed = sampling.pair_key(drawn.filter("i <> j")).select(F.col("low").alias("i"), F.col("high").alias("j")).distinct()
-    stored = keyed.withColumn("d", F.col("i") * 0.5 + F.col("j"))
-    turned = drawn.select(F.col("j").alias("i"), F.col("i").alias("j"))
-    return sampling.look_up_distances(turned, stored).select("i", "j", r("d").alias("d"))
+    """Distances of the drawn pairs, asked the other way round, from a stored table."""
+    turned = drawn_pairs(spark, d).select(F.col("j").alias("i"), F.col("i").alias("j"))
+    return sampling.look_up_distances(turned, _stored_distances(spark, d)).select("i", "j", r("d").alias("d"))
 
 
-@query("square_distances", f"""WITH {PAIR_SQL}, st AS (SELECT DISTINCT least(i,j) AS i, greatest(i,j) AS j FROM drawn WHERE i <> j)
-SELECT i, j, CAST(i + j AS DOUBLE) AS d FROM st UNION ALL SELECT j, i, CAST(i + j AS DOUBLE) FROM st""")
+@query("square_distances", f"WITH {_STORED_SQL} SELECT i, j, d FROM st UNION ALL SELECT j, i, d FROM st")
 def square_distances(spark, d):
-    keyed = sampling.pair_key(drawn_pairs(spark, d).filter("i <> j")).select(F.col("low").alias("i"), F.col("high").alias("j")).distinct()
-    return sampling.square(keyed.withColumn("d", (F.col("i") + F.col("j")).cast("double")))
+    return sampling.square(_stored_distances(spark, d))
 
 
 @query("cira_neighbors", f"WITH {GRAPH_SQL.split(',' + chr(10) + 'edge')[0]} SELECT i AS src, j AS dst, ROUND(d, 9) + 0.0 AS d, CAST(rank AS INT) AS rank FROM knn")
@@ -126,8 +135,7 @@ def neighbor_graph_query(spark, d):
     return neighbor_graph(spark, d).select("src", "dst", r("w", 9).alias("w"))
 
 
-@query("components", """WITH RECURSIVE e AS (SELECT DISTINCT c_custkey AS i, o_orderkey + 1000000000 AS j FROM customer JOIN orders ON o_custkey = c_custkey
-  WHERE o_orderkey % 7 = c_custkey % 7),
+@query("components", """WITH RECURSIVE e AS (SELECT DISTINCT c_custkey AS i, o_orderkey + 1000000000 AS j FROM customer JOIN orders ON o_custkey = c_custkey),
 u AS MATERIALIZED (SELECT i, j FROM e UNION ALL SELECT j, i FROM e),
 lab(id, c) USING KEY (id) AS (SELECT id, id FROM (SELECT i AS id FROM u UNION SELECT j FROM u)
   UNION (SELECT u.j, min(l.c) FROM lab l JOIN u ON u.i = l.id JOIN recurring.lab q ON q.id = u.j WHERE l.c < q.c GROUP BY u.j))
@@ -135,16 +143,20 @@ SELECT id, c AS component FROM lab""")
 def components(spark, d):
     """Components of a graph of orders and their customers that falls into very many parts."""
     from catalog.base import table
-    edges = table(spark, d, "orders").filter(F.col("o_orderkey") % 7 == F.col("o_custkey") % 7).join(
+    edges = table(spark, d, "orders").join(
         table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey")), "o_custkey").select(
         F.col("o_custkey").alias("src"), (F.col("o_orderkey") + 1000000000).alias("dst")).distinct()
     nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
     return graph.connected_components(nodes, edges)
 
 
-@query("component_count", f"WITH {MAG_SQL} SELECT CAST(1 AS BIGINT) AS components, count(*) AS nodes FROM mag")
+@query("component_count", f"""WITH RECURSIVE {GRAPH_SQL.replace("<= 20", "<= 2")},
+lab(id, c) USING KEY (id) AS (SELECT id, id FROM mag
+  UNION (SELECT e.j, min(l.c) FROM lab l JOIN edge e ON e.i = l.id JOIN recurring.lab q ON q.id = e.j WHERE l.c < q.c GROUP BY e.j))
+SELECT count(DISTINCT c) AS components, count(*) AS nodes FROM lab""")
 def component_count(spark, d):
-    labels = graph.connected_components(vectors(spark, d).select("id"), neighbor_graph(spark, d))
+    """Parts into which the graph of the two nearest neighbours falls."""
+    labels = graph.connected_components(vectors(spark, d).select("id"), neighbor_graph(spark, d, 2))
     return labels.agg(F.countDistinct("component").alias("components"), F.count("*").alias("nodes"))
 
 
@@ -162,15 +174,16 @@ def geodesic_summary(spark, d):
     return out.select("src", "reached", r("mean_d").alias("mean_d"), r("max_d", 9).alias("max_d"))
 
 
-_TARGETS = """tg AS (SELECT DISTINCT b.id FROM (SELECT {pick} AS at FROM range(16) k(k), (SELECT count(*) AS n FROM embeddings)) a JOIN rowno b ON b.p = a.at)"""
+_TARGETS = """tg AS (SELECT DISTINCT b.id FROM (SELECT {pick} AS at FROM (SELECT unnest(range(count(*) // 16)) AS k, count(*) AS n FROM embeddings)) a JOIN rowno b ON b.p = a.at)"""
 TARGET_SQL = _TARGETS.format(pick=pick_sql("k", 3, "n"))
 
 
 def _targets(spark, d):
-    """Sixteen target rows drawn from all rows."""
+    """One target for 16 rows, drawn from all rows."""
     from kartograf.operators.ordering import with_position
     rows = with_position(vectors(spark, d).select("id"), "id")
-    drawn = spark.range(16).select(pick(F.col("id"), 3, rows.count()).alias("pos"))
+    n = rows.count()
+    drawn = spark.range(n // 16).select(pick(F.col("id"), 3, n).alias("pos"))
     return rows.join(drawn, "pos").select("id").distinct()
 
 

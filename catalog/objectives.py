@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from catalog.base import PAIR_SQL, POS_SQL, drawn_pairs, pick_sql, positions, query, r, seconds, table, vectors
+from catalog.base import PAIR_SQL, POS_SQL, draw_sql, drawn_pairs, pick_sql, positions, query, r, seconds, table, vectors
 from kartograf.functions import arrays
 from kartograf.operators import gaussian as G
 from kartograf.operators import losses, sampling
@@ -30,10 +30,10 @@ def time_triplets(spark, d):
     return sampling.draw_triplets(rows, 2.0, 1.9, seed=3).select("anchor", "positive", "negative")
 
 
-@query("sample_without_replacement", "SELECT CAST(floor(count(*)*0.2) AS BIGINT) AS n, CAST(floor(count(*)*0.2) AS BIGINT) AS distinct_rows FROM events")
+@query("sample_without_replacement", f"""SELECT event_id, user_id FROM events
+  QUALIFY row_number() OVER (ORDER BY {draw_sql('event_id', 9)}) <= CAST(floor(count(*) OVER ()*0.2) AS BIGINT)""")
 def sample_without_replacement(spark, d):
-    s = sampling.sample_exact(table(spark, d, "events"), 0.2, "event_id", 9)
-    return s.agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("distinct_rows"))
+    return sampling.sample_exact(table(spark, d, "events"), 0.2, "event_id", 9).select("event_id", "user_id")
 
 
 @query("mse_loss", f"WITH {_ABC} SELECT ROUND(avg(((a[1]-b[1])**2 + (a[2]-b[2])**2)/2), 8) + 0.0 AS loss FROM abc")
@@ -127,32 +127,39 @@ def smallest_choice(spark, d):
 
 
 def _walks(spark, d):
-    """Paths of 5 to 8 nodes from every row: steps of fixed width, hop kinds by parity."""
-    n = vectors(spark, d).count()
-    k = F.sequence(F.lit(0), (F.col("id") % 4 + 4).cast("int"))
-    step = lambda i: F.struct(i.alias("i"), F.pmod(F.col("id") + i * (F.col("id") % 13 + 1), F.lit(n)).alias("node"))
-    return vectors(spark, d).select(F.col("id").alias("path_id"), F.transform(k, step).alias("s"), "id")
+    """Paths of line items: the parts of an order by ship date.  Orders of one item have no hop.
 
+    The time is that of shipping, a hop is as long as the price it starts from, and its kind is the
+    larger of discount and tax.
+    """
+    li = table(spark, d, "lineitem")
+    step = F.struct("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_tax")
+    items = li.groupBy(F.col("l_orderkey").alias("path_id")).agg(F.sort_array(F.collect_list(step)).alias("s")).filter(F.size("s") > 1)
+    last = lambda i: i == F.size("s") - 1
+    full = lambda s, i: F.struct(
+        i.alias("i"), s["l_partkey"].alias("node"), (F.datediff(s["l_shipdate"], F.lit("1992-01-01").cast("date")) * 0.5).alias("ts"),
+        F.when(~last(i), (s["l_discount"] > s["l_tax"]).cast("int")).alias("choice"), F.when(~last(i), s["l_extendedprice"] / 9973).alias("d"))
+    return items.select("path_id", F.transform("s", full).alias("steps"))
 
-_WALK_SQL = """n AS (SELECT count(*) AS n FROM embeddings),
-st AS (SELECT vec_id AS path_id, i, vec_id % 4 + 4 AS hops, (vec_id + i*(vec_id % 13 + 1)) % n AS node, ((vec_id + i*(vec_id % 13 + 1)) % n)*0.5 AS ts,
-  CASE WHEN i < vec_id % 4 + 4 THEN CAST((vec_id + i) % 3 > 0 AS INT) END AS choice, CASE WHEN i < vec_id % 4 + 4 THEN i*0.7 + 0.1 END AS d
-  FROM embeddings, n, range(9) ri(i) WHERE i <= vec_id % 4 + 4)"""
 
+_WALK_SQL = """li AS (SELECT l_orderkey AS path_id, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY l_orderkey) - 1 AS hops, l_partkey AS node,
+  date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE))*0.5 AS ts, CAST(l_discount > l_tax AS INT) AS c, l_extendedprice/9973.0 AS w FROM lineitem
+  WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_discount, l_tax)),
+st AS (SELECT path_id, i, hops, node, ts, CASE WHEN i < hops THEN c END AS choice, CASE WHEN i < hops THEN w END AS d FROM li WHERE hops > 0)"""
 
-def _steps(spark, d):
-    full = lambda s: F.struct(
-        s["i"].alias("i"), s["node"].alias("node"), (s["node"] * 0.5).alias("ts"),
-        F.when(s["i"] < F.size("s") - 1, ((F.col("id") + s["i"]) % 3 > 0).cast("int")).alias("choice"),
-        F.when(s["i"] < F.size("s") - 1, s["i"] * 0.7 + 0.1).alias("d"))
-    return _walks(spark, d).select("path_id", F.transform("s", full).alias("steps"))
+def _nodes():
+    return F.transform("steps", lambda s: s["node"])
+
+
+def _largest():
+    return F.array_max(F.transform("steps", lambda s: s["d"]))
 
 
 @query("path_contraction", f"""WITH {_WALK_SQL}, k AS (SELECT *, lag(choice) OVER (PARTITION BY path_id ORDER BY i) AS before FROM st),
 c AS (SELECT * FROM k WHERE NOT (coalesce(before, 0) = 1 AND coalesce(choice, 0) = 1))
 SELECT path_id, CAST(row_number() OVER (PARTITION BY path_id ORDER BY i) - 1 AS INT) AS at, node FROM c""")
 def path_contraction(spark, d):
-    c = G.contract_steps(_steps(spark, d))
+    c = G.contract_steps(_walks(spark, d))
     return c.select("path_id", F.posexplode(F.transform("steps", lambda s: s["node"])).alias("at", "node"))
 
 
@@ -163,28 +170,26 @@ s AS (SELECT path_id, count(*) - 1 AS hops, sum(CASE WHEN choice = 1 THEN dt ELS
 SELECT path_id, CAST(hops AS INT) AS hops, ROUND(span*1.0 + lin, 6) + 0.0 AS mean, ROUND(span*span*0.2 + lin*0.1, 6) + 0.0 AS variance FROM s""")
 def path_statistics(spark, d):
     model = G.GaussianModel(0.2, -0.1, 0.1, None, 1.0, 0.2)
-    p = G.path_statistics(G.contract_steps(_steps(spark, d)), model)
+    p = G.path_statistics(G.contract_steps(_walks(spark, d)), model)
     return p.select("path_id", "hops", r("mean").alias("mean"), r("variance").alias("variance"))
 
 
-@query("path_thinning", f"""WITH {_WALK_SQL}, l AS (SELECT path_id, any_value(hops) AS h, CAST(floor(least(greatest((path_id % 9 + 0.5)/2.0, 1), any_value(hops), 5)) AS INT) AS l FROM st GROUP BY path_id),
+@query("path_thinning", f"""WITH {_WALK_SQL}, l AS (SELECT path_id, any_value(hops) AS h, CAST(floor(least(greatest(max(d)/2.0, 1), any_value(hops), 5)) AS INT) AS l FROM st GROUP BY path_id),
 k AS (SELECT path_id, k, CASE WHEN k = l THEN h ELSE CAST(floor(k*(h/l)) AS INT) END AS i FROM l, range(6) rk(k) WHERE k <= l)
 SELECT k.path_id, CAST(k AS INT) AS at, node FROM k JOIN st ON st.path_id = k.path_id AND st.i = k.i""")
 def path_thinning(spark, d):
-    nodes = F.transform("s", lambda s: s["node"])
-    mean = F.col("path_id") % 9 + 0.5
-    thin = _walks(spark, d).select("path_id", G.thin_path(nodes, mean, F.lit(2.0), 5).alias("nodes"))
+    thin = _walks(spark, d).select("path_id", G.thin_path(_nodes(), _largest(), F.lit(2.0), 5).alias("nodes"))
     return thin.select("path_id", F.posexplode("nodes").alias("at", "node"))
 
 
-@query("path_losses", f"""WITH {_WALK_SQL}, {POS_SQL}, z AS (SELECT path_id, i, px/100 AS x, py/100 AS y FROM st JOIN pos ON pos.id = st.node),
+@query("path_losses", f"""WITH {_WALK_SQL}, z AS (SELECT path_id, i, p_retailprice/1000 AS x, p_size/50.0 AS y FROM st JOIN part ON p_partkey = st.node),
+top AS (SELECT path_id, max(d) AS m FROM st GROUP BY path_id),
 g AS (SELECT *, sqrt((lead(x) OVER w - x)**2 + (lead(y) OVER w - y)**2 + 1e-6) AS step, first_value(x) OVER f AS xa, first_value(y) OVER f AS ya, last_value(x) OVER f AS xb, last_value(y) OVER f AS yb
   FROM z WINDOW w AS (PARTITION BY path_id ORDER BY i), f AS (PARTITION BY path_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
-p AS (SELECT path_id, sum(step) + greatest(10 - count(step), 0)*1e-3 AS len, sum(greatest(step - sqrt((xa-xb)**2+(ya-yb)**2+1e-6), 0)) AS tri FROM g GROUP BY path_id)
-SELECT ROUND(avg((len - (path_id % 5 + 1)*0.3)**2/(0.25 + 1e-6)), 6) + 0.0 AS geodesic, ROUND(sum(tri), 6) + 0.0 AS triangle FROM p""")
+p AS (SELECT path_id, sum(step) + greatest(16 - count(step), 0)*1e-3 AS len, sum(greatest(step - sqrt((xa-xb)**2+(ya-yb)**2+1e-6), 0)) AS tri FROM g GROUP BY path_id)
+SELECT ROUND(avg((len - m)**2/(0.25 + 1e-6)), 6) + 0.0 AS geodesic, ROUND(sum(tri), 6) + 0.0 AS triangle FROM p JOIN top USING (path_id)""")
 def path_losses(spark, d):
-    paths = _walks(spark, d).select("path_id", F.transform("s", lambda s: s["node"]).alias("nodes"),
-                                    ((F.col("path_id") % 5 + 1) * 0.3).alias("mean"), F.lit(0.25).alias("variance"))
-    at = positions(spark, d).select("id", (F.col("px") / 100).alias("x"), (F.col("py") / 100).alias("y"))
-    out = losses.path_losses(paths, at, width=10)
+    paths = _walks(spark, d).select("path_id", _nodes().alias("nodes"), _largest().alias("mean"), F.lit(0.25).alias("variance"))
+    at = table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_retailprice") / 1000).alias("x"), (F.col("p_size") / 50).alias("y"))
+    out = losses.path_losses(paths, at, width=16)
     return out.select(r("geodesic").alias("geodesic"), r("triangle").alias("triangle"))

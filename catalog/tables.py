@@ -117,9 +117,10 @@ def audit(spark, d):
     return distance_audit(points(spark, d, masked=True), Dissimilarity("cityblock", 4, "mean"))
 
 
-@query("training_schedule", """SELECT vec_id AS step, CAST(round_even(round_even((vec_id+1)/3000.0*3500+500, 0)/200.0, 0)*200 AS BIGINT) AS batch_rows,
-ROUND(pow((vec_id+1)/3000.0, 0.15)*(1.0-20.0)+20.0, 6) + 0.0 AS hop_limit FROM embeddings""")
+@query("training_schedule", """SELECT p_partkey AS run, CAST(round_even(round_even((p_size*60)/3000.0*3500+500, 0)/200.0, 0)*200 AS BIGINT) AS batch_rows,
+ROUND(pow((p_size*60)/3000.0, 0.15)*(1.0-20.0)+20.0, 6) + 0.0 AS hop_limit FROM part""")
 def training_schedule(spark, d):
-    step = F.col("id") + 1
-    return vectors(spark, d).select(F.col("id").alias("step"), scalars.batch_rows(step, 3000, 500, 4000).alias("batch_rows"),
+    """Schedules at the step that each part's size stands for."""
+    step = F.col("p_size") * 60
+    return table(spark, d, "part").select(F.col("p_partkey").alias("run"), scalars.batch_rows(step, 3000, 500, 4000).alias("batch_rows"),
                                     r(scalars.hop_length_limit(step, 3000, 1.0, 20.0)).alias("hop_limit"))

@@ -7,15 +7,20 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MODULUS = 2147483648
+
+def draw(key: Column, seed: int) -> Column:
+    """Seeded draw of 60 bits from a BIGINT key: the first 15 hexadecimal digits of MD5 of ``key:seed``.
+
+    Every engine can compute it, seeds share nothing, and it does not depend on partitioning.
+    """
+    text = F.concat(key.cast("bigint").cast("string"), F.lit(f":{seed}"))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
 def pick(key: Column, seed: int, n) -> Column:
-    """Seeded draw in ``[0, n)`` from a BIGINT key, the same in every engine and partitioning."""
+    """Seeded draw in ``[0, n)`` from a BIGINT key, for n up to 2^60 and beyond any row count."""
     n = F.lit(n).cast("bigint") if not isinstance(n, Column) else n.cast("bigint")
-    # the multiplication is done on the residue so that large keys cannot overflow
-    residue = F.pmod(key.cast("bigint"), F.lit(MODULUS))
-    return F.pmod(F.pmod(residue * F.lit(1103515245) + F.lit(12345 + seed), F.lit(MODULUS)), n)
+    return F.pmod(draw(key, seed), n)
 
 
 def uniform(key: Column, seed: int) -> Column:

@@ -28,7 +28,7 @@ def undirected(edges: DataFrame) -> DataFrame:
     return both.groupBy("src", "dst").agg(best.alias("_e")).select("src", "dst", "_e.*")
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Smallest node id of each node's component: (``id``, ``component``).
 
     Every round takes the smallest label among the neighbours (min is combined before the shuffle,
@@ -37,7 +37,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
     """
     both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
     labels = cut(nodes.select(F.col("id"), F.col("id").alias("component")))
-    for _ in range(max_rounds):
+    while True:
         offered = both.join(labels, both["src"] == labels["id"]).groupBy("dst").agg(F.min("component").alias("_best"))
         near = labels.join(offered, labels["id"] == offered["dst"], "left").select(
             "id", "component", F.least("component", F.coalesce("_best", "component")).alias("_new"))
@@ -48,7 +48,6 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
         labels = after.select("id", "component")
         if after.filter("_moved").limit(1).count() == 0:
             return labels
-    raise RuntimeError("labels did not settle")
 
 
 class _Arcs:
@@ -121,16 +120,17 @@ def _batches(names: np.ndarray, arcs: _Arcs):
         yield names[a:a + size], at[a:a + size]
 
 
-def relax_geodesics(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def relax_geodesics(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """Geodesics by joins alone, for graphs of any size: (``src``, ``dst``, ``d``, ``hops``).
 
-    Only rows improved in the last round are extended; minima are combined before the shuffle.
+    Only rows improved in the last round are extended; minima are combined before the shuffle.  Rounds
+    go on until no row improves, which with lengths of 0 or more is after the longest way at the latest.
     """
     both = undirected(edges).select(F.col("src").alias("_u"), F.col("dst").alias("_v"), "w")
     state = cut(sources.select(F.col("id").alias("src"), F.col("id").alias("dst"),
                                F.struct(F.lit(0.0).alias("d"), F.lit(0).alias("hops")).alias("best"),
                                F.lit(True).alias("fresh")))
-    for _ in range(max_rounds):
+    while True:
         step = state.filter("fresh").join(both, F.col("dst") == F.col("_u")).select(
             "src", F.col("_v").alias("dst"),
             F.struct((F.col("best.d") + F.col("w")).alias("d"), (F.col("best.hops") + 1).alias("hops")).alias("best"),
@@ -140,8 +140,7 @@ def relax_geodesics(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_0
             F.min(F.struct("best", "fresh")).alias("m"))
         state = cut(merged.select("src", "dst", "m.best", "m.fresh"))
         if state.filter("fresh").limit(1).count() == 0:
-            break
-    return state.select("src", "dst", "best.d", "best.hops")
+            return state.select("src", "dst", "best.d", "best.hops")
 
 
 def geodesics_from(edges: DataFrame, sources: DataFrame, keep_upper: bool = False) -> DataFrame:

@@ -16,12 +16,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ROWS_PER_CHUNK = 500_000
-MAX_CHUNKS = 4096
 
 
 def _cuts(df: DataFrame, order: str, rows_per_chunk: int) -> list[float]:
-    """Cut points of the order column: narrow aggregations, at most MAX_CHUNKS numbers."""
-    chunks = min(MAX_CHUNKS, -(-df.count() // rows_per_chunk))
+    """Cut points of the order column: one number per chunk."""
+    chunks = -(-df.count() // rows_per_chunk)
     if chunks <= 1:
         return []
     points = [i / chunks for i in range(1, chunks)]

@@ -236,7 +236,6 @@ def nearest_neighbors(df: DataFrame, k: int, metric: Dissimilarity, prune: bool
     n = facts["n"]
     if prune is None:
         prune = metric.obeys_triangle and not facts["nan"] and n > 4 * rows_per_block
-    rows_per_block = max(rows_per_block, -(-n // 100_000))
     points = groups.select("vid", "f")
 
     if prune:

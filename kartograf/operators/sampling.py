@@ -10,7 +10,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kartograf.functions.scalars import pick
+from kartograf.functions.scalars import draw, pick
 from kartograf.operators.ordering import ROWS_PER_CHUNK, framed, with_position
 
 
@@ -68,7 +68,7 @@ def draw_triplets(df: DataFrame, time_range: float, recording_frequency: float,
 
 def sample_exact(df: DataFrame, fraction: float, key: str = "id", seed: int = 0,
                  rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
-    """Exactly int(n x fraction) rows without replacement: the first in the order of a hash."""
-    hashed = df.withColumn("_hash", F.xxhash64(key, F.lit(seed)))
+    """Exactly int(n x fraction) rows without replacement: the first in the order of a draw from their key."""
+    hashed = df.withColumn("_hash", draw(F.col(key), seed))
     kept = int(hashed.count() * fraction)
     return with_position(hashed, "_hash", (), "_at", rows_per_chunk).filter(F.col("_at") < kept).drop("_hash", "_at")

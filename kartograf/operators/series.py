@@ -25,7 +25,7 @@ def kernel_weights(size: int, mode: str) -> list[float]:
         alpha = 2.0 / (size + 1)
         raw = [alpha * (1 - alpha) ** n for n in range(size)]
         return [v / sum(raw) for v in raw]
-    raise ValueError(f"mode must be 'mean' or 'exponential', got '{mode}'")
+    raise ValueError(f"no such kernel: {mode}")
 
 
 def footprint(size: int) -> tuple[int, int]:
@@ -109,7 +109,7 @@ def kernel_moving_average(df: DataFrame, taps: int, kernel_size_mag: int, kernel
     weights_m = None if mode == "mean" else kernel_weights(kernel_size_mag, mode)
     weights_p = None if mode == "mean" else kernel_weights(kernel_size_phase, mode)
     if mode not in ("mean", "exponential"):
-        raise ValueError(f"mode must be 'mean' or 'exponential', got '{mode}'")
+        raise ValueError(f"no such kernel: {mode}")
     laid = laid.withColumn("_n_m", F.count(F.when(F.col("valid"), 1)).over(wm))
     laid = laid.withColumn("_n_p", F.count(F.when(F.col("valid"), 1)).over(wp))
     laid = _weighted(laid, wm, ["_mag"], taps, weights_m, bm, "_m")
@@ -218,7 +218,7 @@ def tdoa_filter(df: DataFrame, kernel_size: int, max_time_diff: float | None = N
     back, and the median is the upper one.
     """
     if filter_type not in ("mean", "median"):
-        raise ValueError(f"filter_type must be 'mean' or 'median', got '{filter_type}'")
+        raise ValueError(f"no such filter: {filter_type}")
     columns = df.columns
     keys = [*keys, "seg"]
     df = with_segments(df, "id", "ts", max_time_diff, keys[:-1], rows_per_chunk)

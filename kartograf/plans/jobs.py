@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kartograf.functions import arrays
 from kartograf.operators import evaluation, gaussian, graph, multilateration, networks, sampling, series, snapshots
-from kartograf.operators.ordering import stride, stride_to, with_position
+from kartograf.operators.ordering import stride, with_position
 from kartograf.operators.pairs import Dissimilarity, condensed_distances, distance_audit, features, nearest_neighbors
 from kartograf.plans import registry
 from kartograf.session import cut
@@ -100,7 +100,11 @@ def dissimilarity_job(df: DataFrame, config: dict, output: str | None = None) ->
     """Pairwise dissimilarities (and geodesics) of a split, with the diagnostics against the reference.
 
     Returns the plot tables; writes the distance file where ``output`` is given and ``eval_only``
-    is not set.  That file is quadratic by its nature; everything else here is not.
+    is not set.  Bands are drawn from that file or, with ``eval_only``, from pairs made for them
+    alone; they read all pairs unless ``band_fraction`` asks for a sample.  Pairs are quadratic by
+    their nature; everything else here is not.  Geodesic jobs also give bands and histogram of the
+    measured dissimilarities and the number of pairs that no path connects (``unreachable``), which
+    have no row.
     """
     _, antennas, taps = _shape(df)
     options = dict(config.get("dataset_config", {}))
@@ -119,29 +123,44 @@ def dissimilarity_job(df: DataFrame, config: dict, output: str | None = None) ->
         labels = graph.connected_components(points.select("id"), edges)
         out["components"] = labels.agg(F.countDistinct("component").alias("components"))
         out["edges"] = edges
-    if output and not config.get("eval_only"):
+    placed = at = None
+    if "reference" in df.columns:
+        at = df.select("id", F.col("reference").alias("p"))
+        placed = points.join(at, "id")
+        out["histogram"] = evaluation.pair_histogram_2d(placed, metric)
+
+    def with_truth(pairs: DataFrame) -> DataFrame:
+        fraction = config.get("band_fraction", 1.0)
+        drawn = pairs if fraction >= 1 else sampling.sample_exact(pairs.withColumn("_k", F.xxhash64("i", "j")), fraction, "_k")
+        both = drawn.join(at.select(F.col("id").alias("i"), F.col("p").alias("a")), "i").join(at.select(F.col("id").alias("j"), F.col("p").alias("b")), "j")
+        return both.select("d", arrays.euclidean(F.col("a"), F.col("b")).alias("e"))
+
+    measured = lambda: condensed_distances(points, metric).withColumn("d", F.coalesce("d", F.lit(1e10)))
+    if output or config.get("eval_only"):
         pairs = graph.geodesics_from(edges, points.select("id"), keep_upper=True).select(
             F.col("src").alias("i"), F.col("dst").alias("j"), F.col("d").cast("float").cast("double").alias("d")) \
-            if edges is not None else condensed_distances(points, metric).withColumn("d", F.coalesce("d", F.lit(1e10)))
-        takes.write_distances(df.join(points.select("id"), "id", "left_semi"), pairs, output, config)
-        written = takes.read_distances(df.sparkSession, output)
-        if "reference" in df.columns:
-            at = df.select(F.col("id"), F.col("reference").alias("p"))
-            both = sampling.sample_exact(written.withColumn("_k", F.xxhash64("i", "j")), 0.2, "_k") \
-                .join(at.select(F.col("id").alias("i"), F.col("p").alias("a")), "i") \
-                .join(at.select(F.col("id").alias("j"), F.col("p").alias("b")), "j")
-            out["bands"] = evaluation.dissimilarity_bands(both.select("d", arrays.euclidean(F.col("a"), F.col("b")).alias("e")))
-    if "reference" in df.columns and edges is None:
-        placed = points.join(df.select("id", F.col("reference").alias("p")), "id")
-        out["histogram"] = evaluation.pair_histogram_2d(placed, metric)
+            if edges is not None else measured()
+        if output and not config.get("eval_only"):
+            takes.write_distances(df.join(points.select("id"), "id", "left_semi"), pairs, output, config)
+            pairs = takes.read_distances(df.sparkSession, output)
+        else:
+            pairs = cut(pairs)
+        if at is not None:
+            out["bands"] = evaluation.dissimilarity_bands(with_truth(pairs))
+            if edges is not None:
+                out["geodesic_histogram"] = evaluation.histogram_2d(with_truth(pairs), "e", "d")
+                out["measured_bands"] = evaluation.dissimilarity_bands(with_truth(cut(measured())))
+        if edges is not None:
+            n = F.lit(points.count()).cast("bigint")
+            out["unreachable"] = pairs.agg((F.floor(n * (n - 1) / 2) - F.count("*")).alias("pairs"))
     return out
 
 
-def score(chart: DataFrame, charted: bool = True, limit: int = 5000) -> dict[str, DataFrame]:
+def score(chart: DataFrame, charted: bool = True, step: int = 1) -> dict[str, DataFrame]:
     """Scores of predictions (``id``, ``px``, ``py``, ``gx``, ``gy``, ``valid``).
 
     Charts are first aligned to the reference by an affine map fitted on all rows.  Errors use the
-    valid rows.  The neighbourhood scores use every k-th valid row, k = valid rows // ``limit``.
+    valid rows.  The neighbourhood scores use every ``step``-th valid row, by default all.
     """
     if charted:
         aligned = evaluation.align_affine(chart)
@@ -152,12 +171,12 @@ def score(chart: DataFrame, charted: bool = True, limit: int = 5000) -> dict[str
     metrics = evaluation.error_summary(aligned)
     out = {"predictions": aligned, "ecdf": evaluation.ecdf(usable, "error"),
            "hexbin": evaluation.hexbin_mean(usable, "gx", "gy", "error"),
-           "trajectory": stride_to(aligned, limit, "id").select("id", "ax", "ay", "gx", "gy")}
+           "trajectory": stride(aligned, step, "id").select("id", "ax", "ay", "gx", "gy")}
     if charted:
-        thinned = cut(stride_to(usable, limit, "id"))
+        thinned = cut(stride(usable, step, "id"))
         for part in (evaluation.trustworthiness(thinned), evaluation.continuity(thinned), evaluation.kruskal_stress(thinned)):
             metrics = metrics.withColumn(part.columns[0], part.scalar())
-        out["colors"] = evaluation.chart_colors(stride_to(aligned, limit, "id"))
+        out["colors"] = evaluation.chart_colors(stride(aligned, step, "id"))
     out["metrics"] = metrics
     return out
 
@@ -305,8 +324,11 @@ def positions_job(df: DataFrame, height: float = 0.86, threshold: float = 6.0, r
             "metrics": evaluation.error_summary(errors.filter("success"), valid=None)}
 
 
-def experiment_matrix(areas=("full", "corridor", "open"), methods=(
-        "FP", "PCA", "Isomap", "t-SNE", "UMAP", "AE", "Constrained_AE", "UAGeo", "PSSN", "Siamese", "Siamese_G", "Triplet"),
-        runs: int = 10):
+# Areas and methods of the study, in its order.  Fixed values.
+AREAS = ("full", "corridor", "open")
+METHODS = ("AE", "Constrained_AE", "FP", "PSSN", "Siamese_G", "Siamese", "Triplet", "UAGeo", "Isomap", "PCA", "t-SNE", "UMAP")
+
+
+def experiment_matrix(areas=AREAS, methods=METHODS, runs: int = 10):
     """All (area, method, run) of the study, in order."""
     return [(a, m, r) for a in areas for m in methods for r in range(1, runs + 1)]

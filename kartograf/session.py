@@ -20,6 +20,8 @@ def build_session(master: str | None = None, app: str = "kartograf", **conf) ->
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+        # a round's files go once the driver holds no reference to them
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     for key, value in settings.items():
@@ -48,7 +50,8 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
-        if configured is None and not context.master.startswith("local"):
+        alone = context.master.startswith("local") and not context.master.startswith("local-cluster")
+        if configured is None and not alone:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="kartograf-"))
     return df.checkpoint(eager)

@@ -91,7 +91,10 @@ def test_dissimilarity_job_writes_the_distance_file(spark, tmp_path):
         takes.write_distances(rows, rows, str(tmp_path / "cc"), {})
     config["metric"].update(geodesic=True, geodesic_neighbors=4)
     config["eval_only"] = True
-    assert jobs.dissimilarity_job(snapshot_rows(spark), config)["components"].first()[0] >= 1
+    judged = jobs.dissimilarity_job(snapshot_rows(spark), config)
+    assert judged["components"].first()[0] >= 1 and judged["bands"].count() == judged["measured_bands"].count() == 199
+    reached = judged["geodesic_histogram"].agg(F.sum("n")).first()[0]
+    assert judged["histogram"].agg(F.sum("n")).first()[0] == 66 == reached + judged["unreachable"].first()[0]
 
 
 def test_takes_are_appended_in_list_order(spark, tmp_path):
