@@ -59,7 +59,7 @@ def hollow(id_col: str = "id") -> Column:
 
 def typed(rows: list[tuple], columns: list[str], numbers: set[str]) -> pd.DataFrame:
     """A frame whose named columns are whole numbers with gaps, all digits kept."""
-    return pd.DataFrame({c: pd.array([r[i] for r in rows], dtype="Int64") if c in numbers else [r[i] for r in rows]
+    return pd.DataFrame({c: pd.array([r[i] for r in rows], dtype="Int64") if c in numbers else pd.Series([r[i] for r in rows], dtype=object)
                          for i, c in enumerate(columns)}, columns=columns)
 
 

@@ -4,6 +4,7 @@ A collection's Burrows-Wheeler transform cannot be built column by column over t
 longest document sets the number of rounds, and each round reads all that is there.  So it is built
 where it can tell something, and in bounded parts:
 
+0. Of equal texts only those of the smallest id are searched; the others repeat it whole.
 1. Every string of ``LEAST`` bytes has an anchor, the 18-byte gram in it with the smallest hash, and
    equal strings have the same anchor at the same place.  Grams are counted over all documents;
    strings whose anchor no other document has are done with.
@@ -12,17 +13,18 @@ where it can tell something, and in bounded parts:
    instead, so that what surrounds a common passage does not gather in one task.
 3. In each part the transform of all pieces is built column-wise: every round inserts one symbol of
    each piece and updates the transform and the common prefixes.  Runs of common prefixes of
-   ``LEAST`` or more are equal strings; each gets the smallest document id that has it.
+   ``LEAST`` or more are equal strings; each gets the smallest document id that has it.  A piece
+   whose anchor no other piece has is alone with its strings and needs no sorting.
 """
 
 from __future__ import annotations
 
+import bz2
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +38,8 @@ CHUNK = 60_000  # string starts of a chunk of a document: their places take 16 b
 BLOCK = 8_000_000  # bytes of a block
 HOT = 1_000  # documents from which on an anchor's strings are dealt out by themselves
 PART = 4_000  # pieces whose transform is built together
+#: A table of ids of up to this many rows is sent to all executors; a larger one is joined.
+MOST_BROADCAST_IDS = 1_000_000
 _A, _B, _C, _D = (np.uint64(v) for v in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
 
@@ -142,14 +146,6 @@ _DOC = "kind string, uid bigint, id bigint, n_bytes bigint, sha string, n_chunks
 _DOC_COLUMNS = [f.split()[0] for f in _DOC.split(", ")]
 
 
-def _zip(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=9).compress(data)
-
-
-def _unzip(data: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(data)
-
-
 def _blocks(chunk: int, block: int):
     """Documents, and compressed blocks of their chunks."""
 
@@ -159,15 +155,16 @@ def _blocks(chunk: int, block: int):
 
         def flush():
             lists = [[m[i] for m in meta] for i in range(5)]
-            rows = [*docs, ("block", None, None, None, None, None, (pid << 24) + number, _zip(b"".join(parts)), *lists)]
+            rows = [*docs, ("block", None, None, None, None, None, (pid << 24) + number, bz2.compress(b"".join(parts)), *lists)]
             return typed(rows, _DOC_COLUMNS, {"uid", "id", "n_bytes", "n_chunks", "block"})
 
         for batch in batches:
-            for doc, text in zip(batch["id"].tolist(), batch["text"]):
-                data = bytes(text)
+            for doc, text, sha, n in zip(batch["id"].tolist(), batch["text"], batch["sha"], batch["n"].tolist()):
+                copy = text is None  # of an earlier document
+                data = b"" if copy else bytes(text)
                 uid, count = (pid << 36) + count, count + 1
-                chunks = max(1, -(-max(0, len(data) - LEAST + 1) // chunk))
-                docs.append(("doc", uid, doc, len(data), hashlib.sha256(data).hexdigest(), chunks, *(None,) * 7))
+                chunks = 0 if copy else max(1, -(-max(0, len(data) - LEAST + 1) // chunk))
+                docs.append(("doc", uid, doc, n, sha, chunks, *(None,) * 7))
                 for c in range(chunks if len(data) >= LEAST else 0):
                     part = data[c * chunk : (c + 1) * chunk + LEAST - 1]
                     parts.append(part)
@@ -186,7 +183,7 @@ def _blocks(chunk: int, block: int):
 
 
 def _parts(blob: bytes, lens) -> Iterator[bytes]:
-    data, at = _unzip(blob), 0
+    data, at = bz2.decompress(blob), 0
     for n in lens:
         yield data[at : at + n]
         at += n
@@ -200,17 +197,28 @@ def _sharded(values: np.ndarray, hashes: np.ndarray, shards: int) -> Iterator[tu
         yield s, values[order[at[s] : at[s + 1]]]
 
 
+def _six(values: np.ndarray) -> bytes:
+    """48-bit numbers in six bytes each, byte by byte: first all lowest bytes, last all highest."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes()
+
+
+def _from_six(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(data, dtype=np.uint8).reshape(6, -1).T
+    return out.view("<u8").ravel()
+
+
 def _counted(shards: int):
-    """(shard, block, data): 48 bits of each anchor's hash and the number of documents of the block that have it, 16 bits."""
+    """(shard, block, data, counts): each anchor of a block and the number of its documents that have it (at most 255)."""
 
     def run(batches):
         for batch in batches:
             for block, blob, lens in zip(batch["block"], batch["blob"], batch["lens"]):
                 own = [np.unique(anchors(p)[0]) for p in _parts(blob, lens)]
                 hashes, counts = np.unique(np.concatenate([*own, np.empty(0, np.uint64)]), return_counts=True)
-                entry = (hashes << np.uint64(16)) | np.minimum(counts, 0xFFFF).astype(np.uint64)
-                rows = [(s, block, e.tobytes()) for s, e in _sharded(entry, hashes, shards)]
-                yield pd.DataFrame(rows, columns=["shard", "block", "data"])
+                counts = np.minimum(counts, 255).astype(np.uint8)
+                rows = [(s, block, _six(hashes[at]), counts[at].tobytes()) for s, at in _sharded(np.arange(len(hashes)), hashes, shards)]
+                yield pd.DataFrame(rows, columns=["shard", "block", "data", "counts"])
 
     return run
 
@@ -219,11 +227,11 @@ def _shared(hot: int):
     """Per block: its anchors that more than one document has; the lowest bit marks those of more than ``hot``."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        entries = [np.frombuffer(d, dtype=np.uint64) for d in frame["data"]]
+        entries = [_from_six(d) for d in frame["data"]]
         whole = np.concatenate(entries)
-        _, inverse = np.unique(whole >> np.uint64(16), return_inverse=True)
-        total = np.bincount(inverse, weights=(whole & np.uint64(0xFFFF)).astype(np.float64))[inverse]
-        marked = (whole >> np.uint64(16) << np.uint64(1)) | (total > hot).astype(np.uint64)
+        _, inverse = np.unique(whole, return_inverse=True)
+        total = np.bincount(inverse, weights=np.concatenate([np.frombuffer(c, dtype=np.uint8) for c in frame["counts"]]))[inverse]
+        marked = (whole << np.uint64(1)) | (total > hot).astype(np.uint64)
         ends = np.cumsum([len(e) for e in entries])[:-1]
         found = [v[t > 1].tobytes() for v, t in zip(np.split(marked, ends), np.split(total, ends))]
         return pd.DataFrame({"block": frame["block"], "data": found})
@@ -231,7 +239,7 @@ def _shared(hot: int):
     return run
 
 
-_CUT = "kind string, shard int, block bigint, uid bigint, chunk int, data binary, meta binary"
+_CUT = "kind string, shard int, block bigint, uid bigint, chunk int, data binary, meta binary, texts binary"
 _CUT_COLUMNS = [f.split()[0] for f in _CUT.split(", ")]
 #: Of a piece: hash of the anchor (or string), number in its block, smallest document of the block, length.
 _META = np.dtype([("hash", "<u8"), ("number", "<i4"), ("doc", "<i8"), ("size", "<u1")])
@@ -249,7 +257,7 @@ def _pieces(shards: int):
                 marked.sort()
                 shared, hot = marked >> np.uint64(1), (marked & np.uint64(1)).astype(bool)
                 seen: dict[bytes, int] = {}
-                metas, occurs, bodies, rows = [], [], [], []
+                metas, occurs, bodies, rows, texts, sizes = [], [], [], [], [], []
                 for k, part in enumerate(_parts(blob, lens)):
                     h, first, last = anchors(part)
                     at = np.searchsorted(shared, h) if len(shared) else np.zeros(len(h), dtype=np.int64)
@@ -270,15 +278,18 @@ def _pieces(shards: int):
                             elif doc < metas[number][2]:
                                 metas[number][2] = doc
                             occurs.append((number, k, s))
-                    if any_here or many[k] > 1:
+                    if many[k] > 1:  # all chunks of a long text will be needed if one loses anything
                         own = part if chunks[k] == many[k] - 1 else part[: 1 - LEAST]
-                        rows.append(("text", None, None, int(uids[k]), int(chunks[k]), _zip(own), None))
+                        rows.append(("text", None, None, int(uids[k]), int(chunks[k]), bz2.compress(own), None, None))
+                    elif any_here:
+                        texts.append(part)
+                    sizes.append(len(part) if any_here and many[k] == 1 else 0)
                 if metas:
                     meta = np.array([tuple(m) for m in metas], dtype=_META)
                     for s, own in _sharded(np.arange(len(meta)), meta["hash"], shards):
-                        rows.append(("pieces", s, block, None, None, b"".join(bodies[i] for i in own.tolist()), meta[own].tobytes()))
-                    rows.append(("occurs", None, block, None, None, np.array(occurs, dtype=_OCCURS).tobytes(), np.asarray(uids, dtype=np.int64).tobytes() +
-                                 np.asarray(ids, dtype=np.int64).tobytes() + np.asarray(chunks, dtype=np.int64).tobytes()))
+                        rows.append(("pieces", s, block, None, None, b"".join(bodies[i] for i in own.tolist()), meta[own].tobytes(), None))
+                    table = [np.asarray(v, dtype=np.int64) for v in (uids, ids, chunks, many, sizes)]
+                    rows.append(("occurs", None, block, None, None, np.array(occurs, dtype=_OCCURS).tobytes(), np.stack(table).tobytes(), bz2.compress(b"".join(texts))))
                 yield typed(rows, _CUT_COLUMNS, {"shard", "block", "uid", "chunk"})
 
     return run
@@ -310,8 +321,14 @@ def _sorted_strings(part: int):
             numbers.append(meta["number"])
         bodies, docs = list(seen), np.array(docs, dtype=np.int64)
         found: list = [None] * len(bodies)
-        order = np.argsort(np.array(keys, dtype=np.uint64), kind="stable").tolist()
-        start = 0
+        keys = np.array(keys, dtype=np.uint64)
+        order = np.argsort(keys, kind="stable")
+        lone = np.ones(len(order), dtype=bool)
+        lone[1:] &= keys[order[1:]] != keys[order[:-1]]
+        lone[:-1] &= keys[order[1:]] != keys[order[:-1]]
+        for k in order[lone].tolist():  # no other piece has its anchor, so none has a string of it
+            found[k] = [(0, len(bodies[k]) - LEAST, int(docs[k]))]
+        order, keys, start = order[~lone].tolist(), keys.tolist(), 0
         while start < len(order):
             end = min(start + part, len(order))
             while end < len(order) and keys[order[end]] == keys[order[end - 1]]:
@@ -328,12 +345,12 @@ def _sorted_strings(part: int):
 
 
 def _removed(chunk: int):
-    """(uid, spans): byte ranges of each document that an earlier one has, from the answers to its block."""
+    """Byte ranges that an earlier document has, from the answers to a block: documents of one chunk are finished, others give (uid, spans)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for data, raw, answers in zip(batch["data"], batch["meta"], batch["runs"]):
-                occurs, table = np.frombuffer(data, dtype=_OCCURS), np.frombuffer(raw, dtype=np.int64).reshape(3, -1)
+            for data, raw, texts, answers in zip(batch["data"], batch["meta"], batch["texts"], batch["runs"]):
+                occurs, table = np.frombuffer(data, dtype=_OCCURS), np.frombuffer(raw, dtype=np.int64).reshape(5, -1)
                 runs = np.concatenate([np.frombuffer(a, dtype=_RUNS) for a in answers])
                 runs = runs[np.argsort(runs["number"], kind="stable")]
                 low, high = np.searchsorted(runs["number"], occurs["number"]), np.searchsorted(runs["number"], occurs["number"], side="right")
@@ -348,11 +365,27 @@ def _removed(chunk: int):
                 order = np.argsort(part, kind="stable")
                 part, spans = part[order], spans[order]
                 at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.empty(0, dtype=np.int64)
-                yield pd.DataFrame({"uid": table[0][part[at]], "spans": [s.tobytes() for s in np.split(spans, at[1:])] if len(at) else []})
+                body, ends, rows = bz2.decompress(texts), np.cumsum(table[4]), []
+                for k, own in zip(part[at].tolist(), np.split(spans, at[1:]) if len(at) else []):
+                    if table[3][k] > 1:
+                        rows.append((int(table[0][k]), own.tobytes(), None, None, None, None))
+                    else:
+                        rows.append((int(table[0][k]), None, *_cut_out(body[ends[k] - table[4][k] : ends[k]], own)))
+                yield typed(rows, ["uid", "spans", "n_removed", "n_spans", "sha", "removed"], {"n_removed", "n_spans"})
 
     return run
 
 
+def _cut_out(data: bytes, spans: np.ndarray) -> tuple[int, int, str, list[int]]:
+    """Bytes removed, runs, digest of the rest, and the runs."""
+    gone, digest, last = merged(spans), hashlib.sha256(), 0
+    for a, b in gone.tolist():
+        digest.update(data[last:a])
+        last = b
+    digest.update(data[last:])
+    return int((gone[:, 1] - gone[:, 0]).sum()), len(gone), digest.hexdigest(), gone.ravel().tolist()
+
+
 def merged(spans: np.ndarray) -> np.ndarray:
     """Maximal runs of overlapping or touching ranges, in order."""
     spans = spans[np.argsort(spans[:, 0], kind="stable")]
@@ -365,14 +398,8 @@ def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for uid, texts, spans in zip(batch["uid"], batch["texts"], batch["spans"]):
-            data = b"".join(_unzip(t) for t in texts)
-            gone = merged(np.concatenate([np.frombuffer(s, dtype=np.int64).reshape(-1, 2) for s in spans]))
-            digest, last = hashlib.sha256(), 0
-            for a, b in gone.tolist():
-                digest.update(data[last:a])
-                last = b
-            digest.update(data[last:])
-            rows.append((uid, int((gone[:, 1] - gone[:, 0]).sum()), len(gone), digest.hexdigest(), gone.ravel().tolist()))
+            data = b"".join(bz2.decompress(t) for t in texts)
+            rows.append((uid, *_cut_out(data, np.concatenate([np.frombuffer(s, dtype=np.int64).reshape(-1, 2) for s in spans]))))
         yield pd.DataFrame(rows, columns=["uid", "n_removed", "n_spans", "sha", "removed"])
 
 
@@ -386,23 +413,36 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     counts as the smallest.  Texts shorter than a string stay whole.  Other columns are not read.
     """
     shards = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(solid(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    rows = docs.select(solid(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")).withColumn("sha", F.sha2("text", 256))
+    # of equal texts only those of the smallest id are searched: the others lose all their strings to it
+    first_ids = rows.groupBy("sha").agg(F.min("id").alias("_first"), F.count("*").alias("m")).filter("m > 1").select(F.col("sha").alias("_sha"), "_first")
+    later = stored(rows.select("id", "sha").join(stored(first_ids, "copies"), (F.col("sha") == F.col("_sha")) & (F.col("id") > F.col("_first"))).select(
+        F.col("id").alias("_id"), F.col("sha").alias("_sha")).distinct(), "later")
+    marked = F.broadcast(later) if later.count() <= MOST_BROADCAST_IDS else later
+    rows = rows.join(marked, (F.col("id") == F.col("_id")) & (F.col("sha") == F.col("_sha")), "left").select(
+        "id", F.when(F.col("_id").isNull(), F.col("text")).alias("text"), "sha", F.length("text").cast("bigint").alias("n"))
     first = stored(rows.mapInPandas(_blocks(chunk, block), _DOC), "blocks")
-    known = first.filter("kind = 'doc'").select("uid", "id", "n_bytes", "sha")
+    known = first.filter("kind = 'doc'").select("uid", "id", "n_bytes", "sha", (F.col("n_chunks") == 0).alias("copy"))
     blocks = first.filter("kind = 'block'").select("block", "blob", "uids", "ids", "chunks", "chunk_counts", "lens")
-    counted = blocks.select("block", "blob", "lens").mapInPandas(_counted(shards), "shard int, block bigint, data binary")
+    counted = blocks.select("block", "blob", "lens").mapInPandas(_counted(shards), "shard int, block bigint, data binary, counts binary")
     answers = counted.groupBy("shard").applyInPandas(_shared(hot), "block bigint, data binary").groupBy("block").agg(F.collect_list("data").alias("known"))
     answers = answers.withColumnRenamed("block", "_block")
     cut = stored(blocks.join(answers, F.col("block") == F.col("_block")).mapInPandas(_pieces(shards), _CUT), "pieces")
     runs = cut.filter("kind = 'pieces'").select("shard", "block", "data", "meta").groupBy("shard").applyInPandas(_sorted_strings(part), "block bigint, runs binary")
     runs = runs.groupBy("block").agg(F.collect_list("runs").alias("runs")).withColumnRenamed("block", "_block")
-    spans = cut.filter("kind = 'occurs'").select("block", "data", "meta").join(runs, F.col("block") == F.col("_block")).mapInPandas(_removed(chunk), "uid bigint, spans binary")
-    spans = stored(spans, "spans").groupBy("uid").agg(F.collect_list("spans").alias("spans"))
+    result = "uid bigint, n_removed bigint, n_spans bigint, sha string, removed array<bigint>"
+    found = cut.filter("kind = 'occurs'").select("block", "data", "meta", "texts").join(runs, F.col("block") == F.col("_block")).mapInPandas(
+        _removed(chunk), result.replace("uid bigint,", "uid bigint, spans binary,"))
+    found = stored(found, "spans")
+    spans = found.filter("spans IS NOT NULL").groupBy("uid").agg(F.collect_list("spans").alias("spans"))
     texts = cut.filter("kind = 'text'").groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("chunk", "data"))).alias("t"))
     texts = texts.select(F.col("uid").alias("_uid"), F.col("t.data").alias("texts"))
-    changed = spans.join(texts, F.col("uid") == F.col("_uid")).select("uid", "texts", "spans").mapInPandas(
-        _kept, "uid bigint, n_removed bigint, n_spans bigint, sha string, removed array<bigint>")
-    changed = changed.select(F.col("uid").alias("_uid"), "n_removed", "n_spans", F.col("sha").alias("_sha"), "removed")
+    long = spans.join(texts, F.col("uid") == F.col("_uid")).select("uid", "texts", "spans").mapInPandas(_kept, result)
+    changed = found.filter("spans IS NULL").drop("spans").unionByName(long).select(
+        F.col("uid").alias("_uid"), "n_removed", "n_spans", F.col("sha").alias("_sha"), "removed")
+    gone = F.col("copy") & (F.col("n_bytes") >= LEAST)
     return known.join(changed, F.col("uid") == F.col("_uid"), "left").select(
-        hollow().alias(id_col), "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("bigint").alias("n_removed"),
-        F.coalesce("n_spans", F.lit(0)).cast("bigint").alias("n_spans"), F.coalesce("_sha", "sha").alias("kept_sha256"), "removed")
+        hollow().alias(id_col), "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("bigint").alias("n_removed"),
+        F.when(gone, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("bigint").alias("n_spans"),
+        F.when(gone, F.lit(hashlib.sha256().hexdigest())).otherwise(F.coalesce("_sha", "sha")).alias("kept_sha256"),
+        F.when(gone, F.array(F.lit(0).cast("bigint"), F.col("n_bytes"))).otherwise(F.col("removed")).alias("removed"))
