@@ -283,7 +283,7 @@ def test_separate_parts_are_bridged(spark):
 
 def test_tsne_and_umap_keep_neighbourhoods(spark, sheet):
     assert judged(R.tsne(sheet[1], 15, n_iter=6), sheet[2])[1] > 0.9
-    assert judged(R.umap(sheet[1], 10, 0.1, Dissimilarity("cityblock"), n_epochs=20), sheet[2])[1] > 0.9
+    assert judged(R.umap(sheet[1], 10, 0.1, Dissimilarity("cityblock"), n_epochs=10), sheet[2])[1] > 0.85
 
 
 def test_curve_parameters():
