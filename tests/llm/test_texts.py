@@ -283,6 +283,34 @@ def test_junk_is_rejected_and_clean_text_kept(ready):
     assert rates[1] > 0.95 and rates[0] < 0.5
 
 
+def test_all_trusted_documents_set_thresholds(odd, ready):
+    """Each under the model without its fold; every language has its own limit however few they are."""
+    trusted = [4, 7, 9, 10, 13, 18, 100, 101, 102, 103]
+    folds = {r.doc_id: r.fold for r in ready.createDataFrame([(i,) for i in trusted], "doc_id bigint").select("doc_id", quality.fold_of("doc_id").alias("fold")).collect()}
+    by_id = dict(odd_rows())
+    got = {r.doc_id: r for r in quality.judge_quality(odd, ready.createDataFrame([(i,) for i in trusted], "doc_id bigint"), quantile=1.0).collect()}
+    x = defaultdict(list)
+    for i in trusted:
+        x[got[i].lang].append(math.log(kneser_ney([by_id[j] for j in trusted if folds[j] != folds[i]])(by_id[i])))
+    middle = {k: sorted(v)[(len(v) - 1) // 2] for k, v in x.items()}
+    spread = max(a - middle[k] for k, v in x.items() for a in v)
+    assert set(x) == {None, "en"}
+    for k, v in x.items():
+        want = math.exp(middle[k] + (len(v) * (max(v) - middle[k]) + quality.SHRINK * spread) / (len(v) + quality.SHRINK))
+        assert all(abs(r.threshold / want - 1) < 1e-4 for r in got.values() if r.lang == k)
+
+
+def test_few_trusted_documents_of_a_language_reject_its_junk(ready):
+    """About 20 trusted documents each in German, French and Spanish."""
+    docs = ready.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = ready.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    good = labels.filter("quality = 1 AND doc_id % 2 = 0").select("doc_id")
+    judged = quality.judge_quality(docs, good)
+    assert judged.select("lang", "threshold").distinct().count() == 4 == judged.select("threshold").distinct().count()
+    rates = {r.quality: r.kept for r in judged.join(labels, "doc_id").filter("quality = 0 OR doc_id % 2 = 1").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
+    assert rates[1] > 0.97 and rates[0] < 0.1
+
+
 def test_giant_texts_are_scored_in_pieces():
     text = "".join(random.Random(8).choice("abc ") for _ in range(1000))
     codes = quality._codes("\x02" * 3 + text)
