@@ -53,8 +53,9 @@ def rule_table(spark: SparkSession, path_rules=PATH_RULES, glob_rules=GLOB_RULES
 def compiled(rules: DataFrame) -> DataFrame:
     """Adds the regular expression of each rule and the tokens that every match contains whole."""
     quoted = F.regexp_replace("rule", r"([^A-Za-z0-9*])", r"\\$1")
-    on_path = F.concat(F.lit(r"(?s)^(?:.*\.)?"), F.regexp_replace(quoted, r"\*", r"\\*"))
+    on_path = F.concat(F.lit(r"(?s)^(?:[^/]*\.)?"), F.regexp_replace(quoted, r"\*", r"\\*"))
     glob = F.concat(F.lit("(?s)^"), F.regexp_replace(quoted, r"\*", ".*"), F.lit("$"))
+    # no "/" before the host of a prefix rule: a host name in the path is not the address's host
     # the end of a prefix rule may stand within a token, the end of a glob may not
     text = F.when(F.col("on_path"), ascii_lower(F.col("rule"))).otherwise(F.concat(ascii_lower(F.col("rule")), F.lit("$")))
     wild = F.when(F.col("on_path"), F.lit(r"(?<![a-z0-9])([a-z0-9]+)(?=[^a-z0-9])")).otherwise(F.lit(r"(?<![a-z0-9*])([a-z0-9]+)(?=[^a-z0-9*])"))

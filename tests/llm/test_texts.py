@@ -392,6 +392,15 @@ def test_addresses(ready):
     assert urls.judge_urls(df.filter("false"), urls.rule_table(ready)).count() == 0
 
 
+def test_host_names_in_the_path_are_not_hosts(ready):
+    names = ["web.archive.org/web/http://www.example.com/en/a", "mirror.org/sites/foo.net/es/x", "track.io/r/shop.com/", "b.org/.net/fr/", "b.org/a/net/fr/",
+             "track.io/www.example.com/en/", "a.b.net/es/x.com/", "www.example.com/en/foo.net/es/"]
+    rows = [(i, "https://" + u) for i, u in enumerate(names)]
+    got = {r.page_id: r for r in urls.judge_urls(ready.createDataFrame(rows, "page_id bigint, url string"), urls.rule_table(ready)).collect()}
+    assert [tuple(got[i])[1:5] for i, _ in rows] == [judged(u) for _, u in rows]
+    assert [got[i].verdict for i in (1, 2)] == ["allow", "block"] and got[1].rule is got[2].rule is None and got[2].pattern == "track.*"
+
+
 def test_rules_are_fetched_by_their_rarest_token(ready):
     pages = ready.createDataFrame([(i, f"http://site{i}.com/en/{i}") for i in range(50)] + [(99, "http://a.com/rare/")], "page_id bigint, url string")
     rules = ready.createDataFrame([("block", "*/en/rare/*", False), ("block", "com/en/", True), ("block", "*", False)], "verdict string, rule string, on_path boolean")
