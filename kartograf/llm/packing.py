@@ -84,23 +84,25 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     ``length`` counts a row's tokens (default: its words).  A document longer than the largest
     permitted length is cut into full sequences and a rest; full ones are bins of their own and the
-    rests are packed in shards of about ``SHARD_PIECES`` by a hash of the whole row, so no task sees
-    more than a shard.  Empty documents and NULL texts have one piece of length 0 without bin and
+    rests are packed in shards of about ``SHARD_PIECES`` by a hash of the whole row and its number, so
+    no task sees more than a shard.  The number (partition and place in it) is written once with the
+    length and tells repeated rows apart; which rows share a shard depends on how the input is split.
+    Empty documents and NULL texts have one piece of length 0 without bin and
     with capacity 0.  Repeated rows are packed like any others; ties go by id, NULL first.  Columns
     besides id and text are not read unless ``length`` reads them.
     """
     largest = max(capacities)
-    counted = docs.select(solid(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"),
+    counted = docs.select(solid(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.monotonically_increasing_id().alias("number"),
                           (words(text_col) if length is None else length).cast("bigint").alias("n"))
     counted = stored(counted, "lengths")
     shards = max(1, -(-counted.filter("n > 0").count() // SHARD_PIECES))
     full, rest = F.floor(F.col("n") / largest).cast("bigint"), F.col("n") % largest
-    whole = counted.filter(F.col("n") >= largest).select("id", "h", F.explode(F.sequence(F.lit(0).cast("bigint"), full - 1)).alias("piece")).select(
+    whole = counted.filter(F.col("n") >= largest).select("id", "h", "number", F.explode(F.sequence(F.lit(0).cast("bigint"), full - 1)).alias("piece")).select(
         "id", "piece", (F.col("piece") * largest).alias("start"), F.lit(largest).cast("bigint").alias("length"),
-        F.concat_ws("-", F.lit("full"), F.coalesce(hollow().cast("string"), F.lit("")), F.hex("h"), F.col("piece")).alias("bin_id"),
+        F.concat_ws("-", F.lit("full"), F.coalesce(hollow().cast("string"), F.lit("")), F.hex("h"), F.hex("number"), F.col("piece")).alias("bin_id"),
         F.lit(largest).cast("int").alias("capacity"), F.lit(0).cast("bigint").alias("place"))
     parts = counted.filter(rest > 0).select("id", full.alias("piece"), (full * largest).alias("start"), rest.alias("length"),
-                                            F.pmod("h", F.lit(shards)).alias("shard"))
+                                            F.pmod(F.xxhash64("h", "number"), F.lit(shards)).alias("shard"))
     packed = parts.groupBy("shard").applyInPandas(
         _pack(tuple(capacities)), "id bigint, piece bigint, start bigint, length bigint, bin_id string, capacity int, place bigint")
     nothing = counted.filter("n = 0").select("id", F.lit(0).cast("bigint").alias("piece"), F.lit(0).cast("bigint").alias("start"),

@@ -363,6 +363,21 @@ def test_packing(odd, nothing):
     assert packing.pack_documents(nothing).count() == 0
 
 
+def test_repeated_rows_have_bins_of_their_own_and_spread_over_shards(ready, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_PIECES", 50)
+    text = "w " * 40
+    df = ready.createDataFrame([(1, text)] * 300 + [(None, text)] * 3 + [(i, f"w{i} " * 40) for i in range(2, 602)], "doc_id bigint, text string").repartition(3)
+    rows = packing.pack_documents(df, capacities=(4, 16)).collect()
+    held = defaultdict(list)
+    for r in rows:
+        held[r.bin_id].append(r)
+    assert sum(r.length for r in rows) == 903 * 40 and sum(r.doc_id == 1 and r.piece < 2 for r in rows) == 600
+    assert all(sum(r.length for r in b) <= b[0].capacity and sorted(r.place for r in b)[0] == 0 and len({r.place for r in b}) == len(b) for b in held.values())
+    shards = Counter(b.split("-")[0] for b in held for r in held[b] if not b.startswith("full"))
+    repeated = Counter(r.bin_id.split("-")[0] for r in rows if r.doc_id == 1 and r.piece == 2)
+    assert len(shards) == 19 and max(shards.values()) < 100 and max(repeated.values()) < 50
+
+
 # --- addresses and revisits -------------------------------------------------------------------------------
 
 
