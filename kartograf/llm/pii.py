@@ -26,7 +26,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 #: Candidates of the added kinds.
-_SECRET = re.compile(r"(?i)\b(?:password|passwd|pwd|secret|api[_-]?key|token|pin)\s?[:=]\s?(\S{4,128})")
+_SECRET = re.compile(r"(?i)\b(?:password|passwd|pwd|secret|api[_-]?key|token|pin)\s?[:=]\s?(\S{4,})")
 _NUMBER = re.compile(r"(?<![0-9.+-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|\(?[0-9]{2,4}\)?[ -][0-9]{3,4}[ -][0-9]{4})(?![0-9-])")
 _ADDRESS = re.compile(r"(?i)\b[a-z0-9._]{2,64} ?[\[(]at[\])] ?[a-z0-9-]{2,64}(?: ?[\[(]dot[\])] ?[a-z]{2,24}|\.[a-z]{2,24})")
 
@@ -36,6 +36,7 @@ SECRET_NAMES = frozenset("password passwd pwd secret api_key api-key apikey".spl
 CONTEXT = frozenset("call phone tel telephone fax mobile contact mail email e-mail write card account ssn social login user credentials".split())
 AGAINST = frozenset("isbn issn version page figure table serial order invoice".split())
 REACH = 40  # characters of context on either side
+SECRET_HEAD = 128  # a base span that begins within so many characters of a secret stands alone
 
 YES, NO, NONE = 1, 0, 2
 LABELERS = ("shape", "digits", "gazetteer", "context", "variety")
@@ -84,8 +85,13 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return found
 
 
-def candidates(text: str, taken: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
-    """Spans of the added kinds that overlap no base span, leftmost first per kind."""
+def candidates(text: str, taken: list[tuple[int, int]]) -> list[tuple[str, int, int, int, int]]:
+    """Spans of the added kinds that overlap no base span, leftmost first per kind, each with the span that is voted on.
+
+    A secret runs to the next white space.  Where base spans begin within it, after SECRET_HEAD characters
+    or more, its parts beside them are spans and the votes are on the whole; other candidates that
+    overlap a base span are none.
+    """
     out, low = [], None
     taken = sorted(taken)
     starts, shapes = [a for a, _ in taken], []
@@ -101,9 +107,16 @@ def candidates(text: str, taken: list[tuple[int, int]]) -> list[tuple[str, int,
         for m in shape.finditer(text):
             start, end = m.span(m.lastindex or 0)
             at = bisect_right(starts, start)
-            if (at and taken[at - 1][1] > start) or (at < len(taken) and taken[at][0] < end):
+            if (at and taken[at - 1][1] > start) or (at < len(taken) and taken[at][0] < (min(end, start + SECRET_HEAD) if kind == "secret" else end)):
                 continue
-            out.append((kind, start, end))
+            free = start
+            while at < len(taken) and taken[at][0] < end:
+                if taken[at][0] > free:
+                    out.append((kind, free, taken[at][0], start, end))
+                free = max(free, taken[at][1])
+                at += 1
+            if free < end:
+                out.append((kind, free, end, start, end))
     return out
 
 
@@ -190,7 +203,7 @@ def _find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             added = candidates(text, [(a, b) for _, a, b in flat])
             ids.append(doc)
             base.append([{"kind": k, "start": a, "end": b, "marks": []} for k, a, b in flat])
-            more.append([{"kind": k, "start": a, "end": b, "marks": list(features(k, b - a, votes(text, k, a, b)))} for k, a, b in added])
+            more.append([{"kind": k, "start": a, "end": b, "marks": list(features(k, d - c, votes(text, k, c, d)))} for k, a, b, c, d in added])
         yield pd.DataFrame({"id": ids, "base": base, "more": more})
 
 
@@ -282,8 +295,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
                 out.append(None)
                 continue
             own = [(kind, a, b) for kind, spans in base_spans(text).items() for a, b in spans]
-            more = [(k, a, b) for k, a, b in candidates(text, [(a, b) for _, a, b in own])
-                    if chances.get(features(k, b - a, votes(text, k, a, b)), 0.0) >= least]
+            more = [(k, a, b) for k, a, b, c, d in candidates(text, [(a, b) for _, a, b in own])
+                    if chances.get(features(k, d - c, votes(text, k, c, d)), 0.0) >= least]
             out.append(redacted_text(text, _listed(own + more)) if own or more else text)
         return pd.Series(out, dtype=object)
 

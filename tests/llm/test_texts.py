@@ -167,6 +167,20 @@ def test_secrets_are_added_and_redacted(ready):
     assert text[3] == "my password=<SECRET> is here, mail <EMAIL>" and text[100] == "nothing at all" and text[101] is None
 
 
+def test_long_secrets_are_redacted_whole(ready):
+    rng = random.Random(13)
+    key = lambda n: "x7" + "".join(rng.choice("abcdefghijkABCDEFGHIJK_/") for _ in range(n - 2))
+    rows = [(i, f"my api_key={key(n)} ends") for i, n in enumerate([10, 127, 128, 129, 300, 700, 5000] * 5)]
+    rows.append((100, f"my api_key={key(200)},a@b.com;{key(200)}/10.0.0.1/{key(3)} ends"))
+    df = ready.createDataFrame(rows, "doc_id bigint, text string")
+    spans = {r.doc_id: r.spans for r in pii.personal_data(df).collect()}
+    assert all(spans[i] == f"secret:11:{len(t) - 5}" for i, t in rows[:-1])
+    text = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert all(text[i] == "my api_key=<SECRET> ends" for i, _ in rows[:-1])
+    assert text[100] == "my api_key=<SECRET><EMAIL><SECRET><IP><SECRET> ends"
+    assert len(pii.candidates("token:" * 200_000, [])) == 1 and pii.candidates("token: abcd,a@b.com", [(12, 19)]) == []
+
+
 # --- fingerprints -----------------------------------------------------------------------------------------
 
 
