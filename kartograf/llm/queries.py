@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kartograf.llm import exact_dedup, jaccard, packing, pieces, pii, prefixes, quality, revisits, suffixes, urls
+from kartograf.llm import exact_dedup, forest, jaccard, manifest, packing, pieces, pii, prefixes, quality, revisits, suffixes, urls, vantage
 from kartograf.llm.base import prepared, table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -134,3 +134,81 @@ def op9(spark, d):
 def op10(spark, d):
     """Groups of near copies among all documents."""
     return jaccard.near_components(table(spark, d, "documents")).drop("text_hash")
+
+
+@query("op11_embedding_near_dedup", """WITH RECURSIVE v AS (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS q FROM embeddings),
+fine AS (SELECT * FROM v WHERE len(q) > 0 AND len(list_filter(q, lambda x: x IS NOT NULL AND isfinite(x))) = len(q) AND len(list_filter(q, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (SELECT a.n AS i, b.n AS j, b.vec_id FROM fine a JOIN fine b ON a.n <> b.n AND len(a.q) = len(b.q)
+  WHERE list_dot_product(a.q, b.q) / sqrt(list_dot_product(a.q, a.q)) / sqrt(list_dot_product(b.q, b.q)) >= 0.9),
+reach AS (SELECT n, n AS r, vec_id FROM v UNION SELECT reach.n, j, links.vec_id FROM reach JOIN links ON links.i = reach.r),
+own AS (SELECT n, min(vec_id) AS component_id FROM reach GROUP BY n)
+SELECT vec_id, (SELECT count(*) FROM links WHERE i = v.n) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN own USING (n)""")
+def op11(spark, d):
+    """Near copies among all vectors."""
+    return forest.near_vectors(table(spark, d, "embeddings"))
+
+
+def _field(value: str) -> str:
+    return f"coalesce(CAST(strlen(CAST({value} AS VARCHAR)) AS VARCHAR) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(1, length(d) + 1), lambda i: CAST(ascii(d[i]) AS BIGINT))), lambda c, b:
+  list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda a, z: xor(a >> 1, (a & 1) * 3988292384))))"""
+
+
+def _tree(name: str, leaves: str) -> str:
+    """All nodes (tree, level, i, h) over the numbered leaves, and of each node the others of its run."""
+    return f"""{name} AS (SELECT tree, 0 AS level, i, h FROM {leaves} UNION ALL SELECT tree, any_value(level) + 1, i // 3, sha256(string_agg(h, '' ORDER BY i))
+  FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM {name}) WHERE n > 1 GROUP BY tree, i // 3),
+{name}_top AS (SELECT tree, max(level) AS top, arg_max(h, level) AS h FROM {name} GROUP BY tree),
+{name}_run AS (SELECT a.tree, a.level, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+  FROM {name} a JOIN {name} b ON b.tree = a.tree AND b.level = a.level AND b.i // 3 = a.i // 3 JOIN {name}_top t ON t.tree = a.tree WHERE a.level < t.top GROUP BY 1, 2, 3)"""
+
+
+@query("op12_merkle_manifest", f"""WITH RECURSIVE docs AS (SELECT *, CAST(doc_id AS VARCHAR) AS d FROM documents),
+lf AS (SELECT doc_id, source, {_leaf('text')} AS leaf, {_leaf("CASE WHEN " + _CRC + " % 2 = 0 THEN replace(text, chr(10), '') ELSE text END")} AS later FROM docs),
+own AS (SELECT *, coalesce('s' || source, '') AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf AS h FROM lf),
+{_tree('low', 'own')},
+tops AS (SELECT 0 AS tree, row_number() OVER (ORDER BY tree) - 1 AS i, h, tree AS name FROM low_top),
+{_tree('high', 'tops')},
+way AS (SELECT o.tree, o.i, r.level, r.l, r.r FROM own o JOIN low_run r ON r.tree = o.tree AND r.i = o.i // CAST(3 ** r.level AS BIGINT)
+  UNION ALL SELECT o.tree, o.i, 1000 + r.level, r.l, r.r FROM own o JOIN tops t ON t.name = o.tree JOIN high_run r ON r.i = t.i // CAST(3 ** r.level AS BIGINT)),
+steps AS (SELECT tree, i, l, r, row_number() OVER (PARTITION BY tree, i ORDER BY level) AS k FROM way),
+proofs AS (SELECT tree, i, sha256(string_agg(l || r, '' ORDER BY k)) AS proof_sha256 FROM steps GROUP BY 1, 2),
+walk AS (SELECT tree, i, 0 AS k, later AS h FROM own UNION ALL SELECT w.tree, w.i, s.k, sha256(s.l || w.h || s.r) FROM walk w JOIN steps s ON s.tree = w.tree AND s.i = w.i AND s.k = w.k + 1),
+ends AS (SELECT tree, i, arg_max(h, k) AS folded_root FROM walk GROUP BY 1, 2)
+SELECT o.doc_id, o.leaf, t.h AS subroot, (SELECT h FROM high_top) AS root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256, e.folded_root,
+  e.folded_root = (SELECT h FROM high_top) AS verified FROM own o JOIN low_top t ON t.tree = o.tree JOIN ends e ON e.tree = o.tree AND e.i = o.i LEFT JOIN proofs p ON p.tree = o.tree AND p.i = o.i""")
+def op12(spark, d):
+    """Proofs of all documents; every other one, by its checksum, is found later without its line ends."""
+    found = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return manifest.manifest(table(spark, d, "documents"), tampered={"text": found}).drop("proof")
+
+
+def _nearest(k: int) -> str:
+    return f"""a{k} AS MATERIALIZED (SELECT n, vec_id, q, c, d FROM (SELECT n, vec_id, v.q, c, list_sum(list_transform(range(1, 65), lambda j: (v.q[j] - m.q[j]) * (v.q[j] - m.q[j]))) AS d
+  FROM kept v, c{k} m) QUALIFY row_number() OVER (PARTITION BY n ORDER BY d, c) = 1)"""
+
+
+def _moved(k: int) -> str:
+    return f"""c{k + 1} AS MATERIALIZED (SELECT o.c, coalesce(m.q, o.q) AS q FROM c{k} o LEFT JOIN (SELECT c, list((s - (s % m + m) % m) // m ORDER BY j) AS q FROM
+  (SELECT c, j, sum(q[j]) AS s, count(*) AS m FROM a{k}, range(1, 65) r(j) GROUP BY c, j) GROUP BY c) m ON m.c = o.c)"""
+
+
+_ROUNDS_SQL = ",\n".join(f"{_nearest(k)}, {_moved(k)}" for k in range(vantage.ROUNDS))
+
+
+@query("op13_centroid_clustering", f"""WITH kept AS (SELECT vec_id, row_number() OVER () AS n, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), q) - 1 AS c, q FROM kept WHERE vec_id IS NOT NULL QUALIFY c < {vantage.CENTROIDS}),
+{_ROUNDS_SQL}, {_nearest(vantage.ROUNDS)},
+f AS (SELECT vec_id, c, d, sum(d) OVER (PARTITION BY c) AS own, sum(d) OVER () AS everything FROM a{vantage.ROUNDS})
+SELECT vec_id, CAST(f.c AS INT) AS cluster, CAST(d AS BIGINT) AS distance, CAST(own AS BIGINT) AS cluster_inertia, CAST(everything AS BIGINT) AS inertia,
+  sha256(array_to_string(m.q, ',')) AS centroid_sha256 FROM f JOIN c{vantage.ROUNDS} m ON m.c = f.c""")
+def op13(spark, d):
+    """All vectors in 40 clusters."""
+    return vantage.exact_clusters(table(spark, d, "embeddings"))
