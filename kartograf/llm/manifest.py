@@ -139,7 +139,8 @@ def manifest(docs: DataFrame, id_col: str = "doc_id", tree_col: str = "source",
     found = [(tampered or {}).get(c, F.col(c)) for c in columns]
     rows = docs.select(F.col(id_col).alias("_id"), F.col(tree_col).cast("string").alias("_source"), leaf_digest([F.col(c) for c in columns]).alias("node"),
                        leaf_digest(found).alias("_found"))
-    rows = rows.withColumn("_found", F.when(F.col("_found") != F.col("node"), F.col("_found")))
+    # written first: finding the ranges would read and hash all texts a second time
+    rows = stored(rows.withColumn("_found", F.when(F.col("_found") != F.col("node"), F.col("_found"))), "leaves")
     placed = numbered(rows, "_source", "_id", "node", "_found")
     rounds = _grow(placed, "_source", ["_id", "_found"])
     subroots = None
