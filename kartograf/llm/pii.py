@@ -28,7 +28,8 @@ _DIGIT = re.compile("[0-9]")
 #: Candidates of the added kinds.
 _SECRET = re.compile(r"(?i)\b(?:password|passwd|pwd|secret|api[_-]?key|token|pin)\s?[:=]\s?(\S{4,})")
 _NUMBER = re.compile(r"(?<![0-9.+-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|\(?[0-9]{2,4}\)?[ -][0-9]{3,4}[ -][0-9]{4})(?![0-9-])")
-_ADDRESS = re.compile(r"(?i)\b[a-z0-9._]{2,64} ?[\[(]at[\])] ?[a-z0-9-]{2,64}(?: ?[\[(]dot[\])] ?[a-z]{2,24}|\.[a-z]{2,24})")
+_ADDRESS = re.compile(r"(?i) ?[\[(]at[\])] ?[a-z0-9-]{2,}+(?: ?[\[(]dot[\])] ?[a-z0-9-]{2,}+|\.[a-z0-9-]{2,}+)+")
+_SPELLED = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._")  # before the sign of an _ADDRESS
 
 #: Word lists of the gazetteer and context labelers.
 DOMAINS = frozenset("com org net edu gov info example mail gmail yahoo hotmail outlook".split())
@@ -36,7 +37,7 @@ SECRET_NAMES = frozenset("password passwd pwd secret api_key api-key apikey".spl
 CONTEXT = frozenset("call phone tel telephone fax mobile contact mail email e-mail write card account ssn social login user credentials".split())
 AGAINST = frozenset("isbn issn version page figure table serial order invoice".split())
 REACH = 40  # characters of context on either side
-SECRET_HEAD = 128  # a base span that begins within so many characters of a secret stands alone
+CLOSING = re.compile(r"[.,;:!?)\]}>\"']*")  # what is left of a secret after a base span, if it is this and no more, ends the sentence
 
 YES, NO, NONE = 1, 0, 2
 LABELERS = ("shape", "digits", "gazetteer", "context", "variety")
@@ -85,38 +86,51 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return found
 
 
+def addresses(text: str) -> list[tuple[int, int]]:
+    """Spelled-out addresses of any length: from each sign ``[at]`` back over what can stand before it, two characters at least."""
+    found, free = [], 0
+    for m in _ADDRESS.finditer(text):
+        start = m.start()
+        while start > free and text[start - 1] in _SPELLED:
+            start -= 1
+        while start < m.start() and text[start] == ".":
+            start += 1
+        if m.start() - start >= 2:
+            found.append((start, m.end()))
+            free = m.end()
+    return found
+
+
 def candidates(text: str, taken: list[tuple[int, int]]) -> list[tuple[str, int, int, int, int]]:
-    """Spans of the added kinds that overlap no base span, leftmost first per kind, each with the span that is voted on.
+    """Spans of the added kinds beside the base spans, leftmost first per kind, each with the span that is voted on.
 
-    A secret runs to the next white space.  Where base spans begin within it, after SECRET_HEAD characters
-    or more, its parts beside them are spans and the votes are on the whole; other candidates that
-    overlap a base span are none.
+    A secret runs to the next white space.  Base spans within it stay, its parts beside them are spans and
+    the votes are on the whole; other candidates that overlap a base span are none.
     """
-    out, low = [], None
+    out = []
     taken = sorted(taken)
-    starts, shapes = [a for a, _ in taken], []
+    starts, found = [a for a, _ in taken], []
     if "=" in text or ":" in text:
-        shapes.append(("secret", _SECRET))
+        found += [("secret", *m.span(1)) for m in _SECRET.finditer(text)]
     if _DIGIT.search(text):
-        shapes.append(("number", _NUMBER))
+        found += [("number", *m.span()) for m in _NUMBER.finditer(text)]
     if "[" in text or "(" in text:
-        low = text.lower()
-        if "[at]" in low or "(at)" in low:
-            shapes.append(("address", _ADDRESS))
-    for kind, shape in shapes:
-        for m in shape.finditer(text):
-            start, end = m.span(m.lastindex or 0)
-            at = bisect_right(starts, start)
-            if (at and taken[at - 1][1] > start) or (at < len(taken) and taken[at][0] < (min(end, start + SECRET_HEAD) if kind == "secret" else end)):
-                continue
-            free = start
-            while at < len(taken) and taken[at][0] < end:
-                if taken[at][0] > free:
-                    out.append((kind, free, taken[at][0], start, end))
-                free = max(free, taken[at][1])
-                at += 1
-            if free < end:
-                out.append((kind, free, end, start, end))
+        found += [("address", *span) for span in addresses(text)]
+    for kind, start, end in found:
+        at = bisect_right(starts, start)
+        free = start
+        while at and taken[at - 1][1] > free:  # base spans may lie within each other
+            free, at = taken[at - 1][1], at - 1
+        at = bisect_right(starts, start)
+        if kind != "secret" and (free > start or (at < len(taken) and taken[at][0] < end)):
+            continue
+        beside = free > start
+        while at < len(taken) and taken[at][0] < end:
+            if taken[at][0] > free:
+                out.append((kind, free, taken[at][0], start, end))
+            free, beside, at = max(free, taken[at][1]), True, at + 1
+        if free < end and not (beside and CLOSING.fullmatch(text, free, end)):
+            out.append((kind, free, end, start, end))
     return out
 
 
