@@ -6,13 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kartograf.llm import exact_dedup, jaccard, packing, pii, quality
-from kartograf.llm.base import prepared, stored, table
+from kartograf.llm.base import ascii_lower, prepared, stored, table
+
+
+def _apart(docs: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of the documents has them."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """Rows of the documents (doc_id, text_hash) in ``kept``; NULL ids match NULL ids."""
-    kept = kept.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hash"))
+    own, digest = _apart(docs, "_id", "_hash")
+    kept = kept.select(F.col("doc_id").alias(own), F.col("text_hash").alias(digest))
+    same = F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(digest))
     return docs.join(kept, same, "left_semi")
 
 
@@ -27,15 +40,16 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest id; of wholly repeated ones, one."""
     prepared(spark)
-    rows = docs.withColumn("_sha", F.sha2(F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256))
-    kept = exact_dedup.exact_duplicates(docs).filter("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("rows"))
-    kept = stored(kept.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_kept"), "rows"), "kept")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_kept"))
-    again = kept.filter("rows > 1")
-    left = rows.join(kept.filter("rows = 1"), same, "left_semi")
+    sha, own, found, rows = _apart(docs, "_sha", "_id", "_kept", "_rows")
+    named = docs.withColumn(sha, F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256))
+    kept = exact_dedup.exact_duplicates(docs).filter("kept").groupBy(F.col("doc_id").alias(own), F.col("text_sha256").alias(found)).agg(F.count("*").alias(rows))
+    kept = stored(kept, "kept")
+    same = F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(sha) == F.col(found))
+    again = kept.filter(F.col(rows) > 1)
+    left = named.join(kept.filter(F.col(rows) == 1), same, "left_semi")
     if not again.isEmpty():
-        left = left.union(rows.join(again, same, "left_semi").dropDuplicates(["doc_id", "_sha"]))
-    return left.drop("_sha")
+        left = left.union(named.join(again, same, "left_semi").dropDuplicates(["doc_id", sha]))
+    return left.drop(sha)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
