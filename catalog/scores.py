@@ -8,6 +8,7 @@ from catalog.base import MAG_SQL, PAIR_SQL, POS_SQL, drawn_pairs, magnitudes, po
 from kartograf.functions import arrays
 from kartograf.operators import evaluation as E
 from kartograf.operators import multilateration as M
+from kartograf.operators.ordering import stride
 from kartograf.plans import jobs
 from kartograf.session import cut
 
@@ -103,14 +104,43 @@ def _bands_out(b):
     return b.select("bin", *[r(c).alias(c) for c in ("left", "p25", "p50", "p75")])
 
 
-@query("dissimilarity_bands", f"WITH {_BAND_PAIRS}, " + _BANDS.format(z="coalesce(", y=", 0)"))
+_ALL_PAIRS = f"""{MAG_SQL}, {POS_SQL}, p AS (SELECT sqrt((a.gx-b.gx)**2+(a.gy-b.gy)**2) AS e, list_sum(list_transform(range(1,5), lambda k:
+  list_sum(list_transform(range(1,9), lambda t: abs(m.vec[k][t]-n.vec[k][t])))))/4 AS d FROM {{rows}} a JOIN {{rows}} b ON {{on}} JOIN mag m ON m.id = a.id JOIN mag n ON n.id = b.id)"""
+
+
+def _placed(spark, d):
+    return points(spark, d).join(snapshots(spark, d).select("id", F.col("reference").alias("p")), "id")
+
+
+@query("dissimilarity_bands", f"WITH {_ALL_PAIRS.format(rows='pos', on='a.id < b.id')}, " + _BANDS.format(z="coalesce(", y=", 0)"))
 def dissimilarity_bands(spark, d):
-    return _bands_out(E.dissimilarity_bands(cut(_band_pairs(spark, d))))
+    """Over all pairs; empty bins hold 0."""
+    return _bands_out(E.pair_bands(_placed(spark, d), CIRA))
 
 
-@query("dissimilarity_bands_gaps", f"WITH {_BAND_PAIRS}, " + _BANDS.format(z="", y=""))
+@query("dissimilarity_bands_gaps", f"WITH {_ALL_PAIRS.format(rows='pos', on='a.id < b.id')}, " + _BANDS.format(z="", y=""))
 def dissimilarity_bands_gaps(spark, d):
-    return _bands_out(E.dissimilarity_bands(cut(_band_pairs(spark, d)), empty=None))
+    """Over all pairs; empty bins are NULL."""
+    return _bands_out(E.pair_bands(_placed(spark, d), CIRA, empty=None))
+
+
+@query("dissimilarity_bands_matrix", f"WITH {_ALL_PAIRS.format(rows='pos', on='true')}, " + _BANDS.format(z="", y=""))
+def dissimilarity_bands_matrix(spark, d):
+    """Over the square matrix: both triangles and the diagonal."""
+    return _bands_out(E.pair_bands(_placed(spark, d), CIRA, empty=None, whole=True))
+
+
+@query("dissimilarity_bands_strided", f"""WITH {_ALL_PAIRS.format(rows="(SELECT * FROM pos QUALIFY (row_number() OVER (ORDER BY id) - 1) % 10 = 0)", on='true')}, """
+       + _BANDS.format(z="", y=""))
+def dissimilarity_bands_strided(spark, d):
+    """Over every tenth row and column of the square matrix."""
+    return _bands_out(E.pair_bands(stride(_placed(spark, d), 10, "id"), CIRA, empty=None, whole=True))
+
+
+@query("dissimilarity_bands_sample", f"WITH {_BAND_PAIRS}, " + _BANDS.format(z="coalesce(", y=", 0)"))
+def dissimilarity_bands_sample(spark, d):
+    """Over one drawn partner of each row."""
+    return _bands_out(E.dissimilarity_bands(cut(_band_pairs(spark, d))))
 
 
 def _trust_sql(near, far, name):

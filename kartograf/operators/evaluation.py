@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -173,6 +175,139 @@ def pair_histogram_2d(df: DataFrame, metric: Dissimilarity, bins: int = 100,
     return counted.groupBy("bx", "by").agg(F.sum("n").alias("n"))
 
 
+class _Cells:
+    """Intervals of values inside bins, disjoint within a bin, each to be counted in ``parts`` equal parts."""
+
+    def __init__(self, cells: list[tuple[int, float, float]], parts: int):
+        cells = sorted(cells)
+        self.parts = parts
+        self.bins = np.array([b for b, _, _ in cells], np.int64)
+        self.low = np.array([lo for _, lo, _ in cells])
+        self.high = np.array([hi for _, _, hi in cells])
+        self.at = {b: (int(np.searchsorted(self.bins, b)), int(np.searchsorted(self.bins, b, side="right"))) for b in set(self.bins.tolist())}
+
+    def count(self, bins: np.ndarray, values: np.ndarray, weight: int, total: dict) -> None:
+        """Adds (weight, least, largest) of the values that fall into each part of each cell."""
+        order = np.argsort(bins, kind="stable")
+        bins, values = bins[order], values[order]
+        for b, (first, last) in self.at.items():
+            own = values[np.searchsorted(bins, b):np.searchsorted(bins, b, side="right")]
+            cell = first + np.searchsorted(self.low[first:last], own, side="right") - 1
+            inside = (cell >= first) & (own <= self.high[np.maximum(cell, first)])
+            own, cell = own[inside], cell[inside]
+            if not len(own):
+                continue
+            width = np.where(self.high[cell] > self.low[cell], self.high[cell] - self.low[cell], 1.0)
+            part = np.minimum((own - self.low[cell]) / width * self.parts, self.parts - 1).astype(np.int64)
+            key = cell * self.parts + part
+            by = np.argsort(key, kind="stable")
+            key, own = key[by], own[by]
+            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            sizes = np.diff(np.append(start, len(key))) * weight
+            for k, n, lo, hi in zip(key[start].tolist(), sizes.tolist(), np.minimum.reduceat(own, start).tolist(), np.maximum.reduceat(own, start).tolist()):
+                had = total.get(k)
+                total[k] = (n, lo, hi) if had is None else (had[0] + n, min(had[1], lo), max(had[2], hi))
+
+
+def pair_bands(df: DataFrame, metric: Dissimilarity, edges: int = 200, levels=(0.25, 0.5, 0.75), empty: float | None = 0.0,
+               whole: bool = False, rows_per_block: int = ROWS_PER_BLOCK, parts: int = 128) -> DataFrame:
+    """``dissimilarity_bands`` over all pairs, without a list of them: (``bin``, ``left``, ``p25``, ``p50``, ``p75``).
+
+    ``df`` has ``id``, ``f`` and the position ``p`` ARRAY<DOUBLE>.  Pairs are i < j, or with ``whole``
+    the square matrix: both triangles and the diagonal.  Undefined dissimilarities count as 1e10.
+
+    Quantiles are exact, by refinement: the grid of pairs is computed anew in every pass, and tasks
+    return counts and extremes of parts of the cells that still hold a wanted rank.  A rank is known
+    once its cell holds one value or it is the first or last in it.  Each pass narrows a cell
+    ``parts`` times, so passes grow with the logarithm of the pairs; no more than
+    bins x ranks x ``parts`` counts reach the driver.
+    """
+
+    def values(x, y, keep):
+        d = np.nan_to_num(metric.between(_matrix(x["f"]), _matrix(y["f"]))[keep], nan=1e10)
+        return EUCLIDEAN.between(_matrix(x["p"]), _matrix(y["p"]))[keep], d
+
+    def met(left, right, same):
+        """(distance, dissimilarity, weight) of the pairs of a cell, a tile at a time."""
+        for x, y, keep in tiles(left, right, same):
+            if keep.any():
+                yield *values(x, y, keep), 2 if whole else 1
+        if same and whole:
+            for a in range(0, len(left), 256):
+                x = left.iloc[a:a + 256]
+                yield *values(x, x, np.eye(len(x), dtype=bool)), 1
+
+    def extremes(left, right, same):
+        ends = [(e.max(), d.min(), d.max()) for e, d, _ in met(left, right, same)]
+        return pd.DataFrame({"e1": [max(v[0] for v in ends)], "d0": [min(v[1] for v in ends)], "d1": [max(v[2] for v in ends)]} if ends else {"e1": [], "d0": [], "d1": []})
+
+    spark = df.sparkSession
+    ends = fold_pairs(df, extremes, "e1 double, d0 double, d1 double", rows_per_block).agg(
+        F.max("e1").alias("e1"), F.min("d0").alias("d0"), F.max("d1").alias("d1")).first()
+    top = ends["e1"]
+    names = [f"p{round(100 * p)}" for p in levels]
+    schema = "bin int, left double, " + ", ".join(f"{c} double" for c in names)
+    if top is None:
+        return spark.createDataFrame([], schema)
+    step = top / (edges - 1)
+
+    def counted(cells: _Cells) -> dict[int, tuple[int, float, float]]:
+        def run(left, right, same):
+            total: dict = {}
+            for e, d, weight in met(left, right, same):
+                short = e < top
+                bins = np.floor(e[short] / step).astype(np.int64) + 1
+                cells.count(bins, d[short], weight, total)
+            return pd.DataFrame([(k, *v) for k, v in total.items()], columns=["k", "n", "lo", "hi"])
+
+        folded = fold_pairs(df, run, "k bigint, n bigint, lo double, hi double", rows_per_block).groupBy("k")
+        return {r["k"]: (r["n"], r["lo"], r["hi"]) for r in folded.agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()}
+
+    known: dict[tuple[int, int], float] = {}
+    wanted: dict[tuple[int, float, float], list[tuple[int, int]]] = {}  # cell to (rank in it, rank in its bin)
+    cells, sizes = _Cells([(b, ends["d0"], ends["d1"]) for b in range(1, edges)] if top > 0 else [], parts), {}
+    found = counted(cells) if top > 0 else {}
+    for k, (n, _, _) in found.items():
+        b = int(cells.bins[k // parts])
+        sizes[b] = sizes.get(b, 0) + n
+    for b, n in sizes.items():
+        ranks = {f(p * (n - 1)) for p in levels for f in (math.floor, math.ceil)}
+        wanted[(b, ends["d0"], ends["d1"])] = [(r, r) for r in sorted(ranks)]
+    while wanted:
+        after: dict[tuple[int, float, float], list[tuple[int, int]]] = {}
+        by_cell: dict[int, list[tuple[int, tuple]]] = {}
+        for k in sorted(found):
+            by_cell.setdefault(k // parts, []).append((k, found[k]))
+        for c, split in by_cell.items():
+            b = int(cells.bins[c])
+            asked, below = wanted.get((b, float(cells.low[c]), float(cells.high[c])), []), 0
+            for _, (n, lo, hi) in split:
+                for rank, name in asked:
+                    at = rank - below
+                    if 0 <= at < n:
+                        if at == 0 or at == n - 1 or lo == hi:
+                            known[b, name] = lo if at == 0 else hi
+                        else:
+                            after.setdefault((b, lo, hi), []).append((at, name))
+                below += n
+        wanted = after
+        if wanted:
+            cells = _Cells(list(wanted), parts)
+            found = counted(cells)
+    rows = []
+    for b in range(1, edges):
+        n, line = sizes.get(b, 0), []
+        for p in levels:
+            if not n:
+                line.append(empty)
+                continue
+            at = p * (n - 1)
+            low, high = known[b, math.floor(at)], known[b, math.ceil(at)]
+            line.append(low + (high - low) * (at - math.floor(at)))
+        rows.append((b, (b - 1) * top / (edges - 1), *line))
+    return spark.createDataFrame(rows, schema)
+
+
 def hexbin_mean(df: DataFrame, x: str, y: str, value: str, gridsize: int = 100) -> DataFrame:
     """Mean value per hexagon: (``lattice``, ``hx``, ``hy``, ``cx``, ``cy``, ``mean``, ``n``).
 
