@@ -167,6 +167,18 @@ def geodesic_pairs(spark, d):
     return out.select("i", "j", r("d", 9).alias("d"))
 
 
+@query("geodesic_square", f"""WITH RECURSIVE {PATH_SQL.replace("<= 20", "<= 2")}
+SELECT a.id AS i, count(s.d) AS reached, count(*) - count(s.d) AS unreached, ROUND(coalesce(sum(s.d), 0), 6) + 0.0 AS total
+FROM mag a JOIN mag b ON a.id <> b.id LEFT JOIN sp s ON s.src = a.id AND s.dst = b.id GROUP BY a.id""")
+def geodesic_square(spark, d):
+    """Rows of the square matrix of a graph in several parts: pairs without a path lie at infinity."""
+    far = graph.geodesics_from(neighbor_graph(spark, d, 2), vectors(spark, d).select("id"), keep_upper=True, unreached=True)
+    both = sampling.square(far.select(F.col("src").alias("i"), F.col("dst").alias("j"), "d"))
+    near = F.when(F.col("d") < float("inf"), F.col("d"))
+    return both.groupBy("i").agg(F.count(near).alias("reached"), (F.count("*") - F.count(near)).alias("unreached"),
+                                 r(F.coalesce(F.sum(near), F.lit(0.0))).alias("total"))
+
+
 @query("geodesic_summary", f"WITH RECURSIVE {PATH_SQL} SELECT src, count(*) AS reached, ROUND(avg(d), 6) + 0.0 AS mean_d, ROUND(max(d), 9) + 0.0 AS max_d FROM sp WHERE src <> dst GROUP BY src")
 def geodesic_summary(spark, d):
     """All-pairs geodesics folded to one row per source."""

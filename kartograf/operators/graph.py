@@ -7,17 +7,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kartograf.operators.pairs import _tasks
+from kartograf.operators.geodesics import Geodesics
 from kartograf.session import cut
 
-MAX_BROADCAST_EDGES = 2_000_000  # 24 bytes each: below 50 MB per executor
-
 
 def undirected(edges: DataFrame) -> DataFrame:
     """Each edge in both directions; of parallel edges the lightest."""
@@ -50,144 +45,18 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-class _Arcs:
-    """Arcs sorted by head, for relaxing all of them at once with NumPy."""
-
-    def __init__(self, src, dst, w):
-        self.nodes = np.unique(np.concatenate([src, dst]))
-        s, d = np.searchsorted(self.nodes, src), np.searchsorted(self.nodes, dst)
-        order = np.lexsort((s, d))
-        self.src, self.w, heads = s[order], w[order].astype(np.float64), d[order]
-        self.heads, self.starts = np.unique(heads, return_index=True)
-
-    def distances(self, rows: np.ndarray) -> np.ndarray:
-        """Shortest distances from each source row number to every node."""
-        dist = np.full((len(rows), len(self.nodes)), np.inf)
-        dist[np.arange(len(rows)), rows] = 0.0
-        while True:
-            reached = np.minimum.reduceat(dist[:, self.src] + self.w, self.starts, axis=1)
-            better = reached < dist[:, self.heads]
-            if not better.any():
-                return dist
-            dist[:, self.heads] = np.where(better, reached, dist[:, self.heads])
-
-    def trees(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distances, hop counts and predecessors (-1 at the source, -2 where unreachable).
-
-        Of equally short paths the one with fewest hops is taken, then the smallest predecessor.
-        """
-        dist = self.distances(rows)
-        through = dist[:, self.src] + self.w
-        counts = np.diff(np.append(self.starts, len(self.src)))
-        head_of = np.repeat(self.heads, counts)
-        tight = (through == dist[:, head_of]) & np.isfinite(through)
-        far = np.iinfo(np.int64).max // 2
-        hops = np.full(dist.shape, far)
-        hops[np.arange(len(rows)), rows] = 0
-        while True:
-            step = np.minimum.reduceat(np.where(tight, hops[:, self.src] + 1, far), self.starts, axis=1)
-            better = step < hops[:, self.heads]
-            if not better.any():
-                break
-            hops[:, self.heads] = np.where(better, step, hops[:, self.heads])
-        usable = tight & (hops[:, self.src] + 1 == hops[:, head_of])
-        none = len(self.nodes)
-        first = np.minimum.reduceat(np.where(usable, self.src, none), self.starts, axis=1)
-        pred = np.full(dist.shape, -2)
-        pred[:, self.heads] = np.where(first < none, first, -2)
-        pred[np.arange(len(rows)), rows] = -1
-        return dist, hops, pred
-
-
-def _broadcast_arcs(edges: DataFrame):
-    """Arcs as a broadcast, or None when the graph is over the proven bound."""
-    both = undirected(edges).select("src", "dst", "w")
-    held = cut(both)
-    if held.count() > MAX_BROADCAST_EDGES:
-        return None, held
-    got = held.toPandas()
-    arcs = _Arcs(got["src"].to_numpy(np.int64), got["dst"].to_numpy(np.int64), got["w"].to_numpy(np.float64))
-    return edges.sparkSession.sparkContext.broadcast(arcs), held
-
-
-def _batches(names: np.ndarray, arcs: _Arcs):
-    """Known sources in batches whose working arrays stay near 64 MB."""
-    size = max(1, 8_000_000 // max(len(arcs.src), 1))
-    at = np.searchsorted(arcs.nodes, names)
-    known = (at < len(arcs.nodes)) & (arcs.nodes[np.minimum(at, len(arcs.nodes) - 1)] == names)
-    names, at = names[known], at[known]
-    for a in range(0, len(names), size):
-        yield names[a:a + size], at[a:a + size]
-
-
-def relax_geodesics(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """Geodesics by joins alone, for graphs of any size: (``src``, ``dst``, ``d``, ``hops``).
-
-    Only rows improved in the last round are extended; minima are combined before the shuffle.  Rounds
-    go on until no row improves, which with lengths of 0 or more is after the longest way at the latest.
-    """
-    both = undirected(edges).select(F.col("src").alias("_u"), F.col("dst").alias("_v"), "w")
-    state = cut(sources.select(F.col("id").alias("src"), F.col("id").alias("dst"),
-                               F.struct(F.lit(0.0).alias("d"), F.lit(0).alias("hops")).alias("best"),
-                               F.lit(True).alias("fresh")))
-    while True:
-        step = state.filter("fresh").join(both, F.col("dst") == F.col("_u")).select(
-            "src", F.col("_v").alias("dst"),
-            F.struct((F.col("best.d") + F.col("w")).alias("d"), (F.col("best.hops") + 1).alias("hops")).alias("best"),
-            F.lit(True).alias("fresh"))
-        step = step.groupBy("src", "dst").agg(F.min("best").alias("best"), F.lit(True).alias("fresh"))
-        merged = state.withColumn("fresh", F.lit(False)).union(step).groupBy("src", "dst").agg(
-            F.min(F.struct("best", "fresh")).alias("m"))
-        state = cut(merged.select("src", "dst", "m.best", "m.fresh"))
-        if state.filter("fresh").limit(1).count() == 0:
-            return state.select("src", "dst", "best.d", "best.hops")
-
-
-def geodesics_from(edges: DataFrame, sources: DataFrame, keep_upper: bool = False) -> DataFrame:
+def geodesics_from(edges: DataFrame, sources: DataFrame, keep_upper: bool = False, unreached: bool = False) -> DataFrame:
     """Distances from every source to every node it reaches: (``src``, ``dst``, ``d``).
 
-    With all nodes as sources and ``keep_upper`` this is the condensed geodesic file (src < dst).
+    With all nodes as sources and ``keep_upper`` this is the condensed geodesic file (src < dst);
+    ``unreached`` adds the pairs that no path connects, at a distance of infinity.
     """
-    held, both = _broadcast_arcs(edges)
-    if held is None:
-        out = relax_geodesics(both, sources).select("src", "dst", "d")
-        return out.filter("src < dst") if keep_upper else out
-
-    def run(batches):
-        arcs = held.value
-        for rows in batches:
-            for names, at in _batches(rows["id"].to_numpy(np.int64), arcs):
-                dist = arcs.distances(at)
-                for name, line in zip(names, dist):
-                    keep = np.isfinite(line) & ((arcs.nodes > name) if keep_upper else True)
-                    yield pd.DataFrame({"src": name, "dst": arcs.nodes[keep], "d": line[keep]})
-
-    spread = sources.select("id").repartition(_tasks(sources, 1 << 20), "id")
-    return spread.mapInPandas(run, "src bigint, dst bigint, d double")
+    return Geodesics(cut(undirected(edges).select("src", "dst", "w"))).distances(sources, keep_upper, unreached)
 
 
 def geodesic_summary(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """Per source the number of nodes reached, the mean and the largest geodesic distance."""
-    held, both = _broadcast_arcs(edges)
-    if held is None:
-        far = relax_geodesics(both, sources).filter("src <> dst").groupBy("src")
-        return far.agg(F.count("*").alias("reached"), F.avg("d").alias("mean_d"), F.max("d").alias("max_d"))
-
-    def run(batches):
-        arcs = held.value
-        for rows in batches:
-            for names, at in _batches(rows["id"].to_numpy(np.int64), arcs):
-                dist = arcs.distances(at)
-                dist[np.arange(len(at)), at] = np.nan
-                dist[np.isinf(dist)] = np.nan
-                n = (~np.isnan(dist)).sum(axis=1)
-                with np.errstate(all="ignore"):
-                    mean = np.where(n > 0, np.nansum(dist, axis=1) / np.maximum(n, 1), np.nan)
-                    top = np.fmax.reduce(dist, axis=1)
-                yield pd.DataFrame({"src": names, "reached": n, "mean_d": mean, "max_d": top})
-
-    spread = sources.select("id").repartition(_tasks(sources, 1 << 20), "id")
-    return spread.mapInPandas(run, "src bigint, reached bigint, mean_d double, max_d double")
+    return Geodesics(cut(undirected(edges).select("src", "dst", "w"))).summary(sources)
 
 
 def geodesics_between(edges: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -195,119 +64,26 @@ def geodesics_between(edges: DataFrame, pairs: DataFrame) -> DataFrame:
 
     This is what pair training reads: the distances of the pairs it drew, not all of them.
     """
-    held, both = _broadcast_arcs(edges)
-    wanted = pairs.select("i", "j").distinct()
-    if held is None:
-        reached = relax_geodesics(both, wanted.select(F.col("i").alias("id")).distinct())
-        return wanted.join(reached, (wanted["i"] == reached["src"]) & (wanted["j"] == reached["dst"]), "left") \
-            .select("i", "j", F.when(F.col("i") == F.col("j"), F.lit(0.0)).otherwise(F.col("d")).alias("d"))
-
-    def run(batches):
-        arcs = held.value
-        for rows in batches:
-            i, j = rows["i"].to_numpy(np.int64), rows["j"].to_numpy(np.int64)
-            d = np.where(i == j, 0.0, np.nan)
-            goal = np.minimum(np.searchsorted(arcs.nodes, j), len(arcs.nodes) - 1)
-            found = arcs.nodes[goal] == j
-            for names, at in _batches(np.unique(i), arcs):
-                dist = arcs.distances(at)
-                mine = np.flatnonzero(np.isin(i, names) & found)
-                d[mine] = dist[np.searchsorted(names, i[mine]), goal[mine]]
-            yield pd.DataFrame({"i": i, "j": j, "d": np.where(np.isinf(d), np.nan, d)})
-
-    # range order puts pairs of one source side by side, and splits a source with very many pairs
-    spread = wanted.repartitionByRange(_tasks(pairs, 1 << 20), "i", "j")
-    return spread.mapInPandas(run, "i bigint, j bigint, d double").withColumn("d", F.nanvl("d", F.lit(None).cast("double")))
+    return Geodesics(cut(undirected(edges).select("src", "dst", "w"))).between(pairs)
 
 
 def shortest_path_trees(edges: DataFrame, targets: DataFrame) -> DataFrame:
     """Predecessor of every node on its way to each target: (``target``, ``node``, ``pred``, ``d``, ``hops``).
 
-    ``pred`` is -1 at the target itself.  Nodes that cannot reach the target have no row.
+    ``pred`` is -1 at the target itself.  Of equally short ways the one with fewest hops is taken,
+    then the smallest predecessor.  Nodes that cannot reach the target have no row.
     """
-    held, both = _broadcast_arcs(edges)
-    if held is None:
-        return _trees_by_joins(both, targets)
-
-    def run(batches):
-        arcs = held.value
-        for rows in batches:
-            for names, at in _batches(rows["id"].to_numpy(np.int64), arcs):
-                dist, hops, pred = arcs.trees(at)
-                for s, name in enumerate(names):
-                    keep = np.isfinite(dist[s])
-                    p = pred[s][keep]
-                    yield pd.DataFrame({"target": name, "node": arcs.nodes[keep],
-                                        "pred": np.where(p < 0, -1, arcs.nodes[np.maximum(p, 0)]),
-                                        "d": dist[s][keep], "hops": hops[s][keep]})
-
-    spread = targets.select("id").distinct().repartition(_tasks(targets, 1 << 20), "id")
-    return spread.mapInPandas(run, "target bigint, node bigint, pred bigint, d double, hops bigint")
-
-
-def _trees_by_joins(both: DataFrame, targets: DataFrame) -> DataFrame:
-    reached = cut(relax_geodesics(both, targets.select("id").distinct())
-                  .select(F.col("src").alias("target"), F.col("dst").alias("node"), "d", "hops"))
-    near = reached.select(F.col("target").alias("_t"), F.col("node").alias("_u"), F.col("d").alias("_du"),
-                          F.col("hops").alias("_hu"))
-    steps = reached.join(both.select(F.col("src").alias("_from"), F.col("dst").alias("_to"), "w"),
-                         F.col("node") == F.col("_to"))
-    fits = steps.join(near, (F.col("target") == F.col("_t")) & (F.col("_from") == F.col("_u"))
-                      & (F.col("_du") + F.col("w") == F.col("d")) & (F.col("_hu") + 1 == F.col("hops")))
-    preds = fits.groupBy("target", "node").agg(F.min("_from").alias("pred"), F.first("d").alias("d"),
-                                               F.first("hops").cast("bigint").alias("hops"))
-    roots = reached.filter("target = node").select("target", "node", F.lit(-1).cast("bigint").alias("pred"), "d",
-                                                   F.col("hops").cast("bigint").alias("hops"))
-    return roots.union(preds)
+    return Geodesics(cut(undirected(edges).select("src", "dst", "w"))).trees(targets)
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """Nodes on the way from ``source`` to ``target`` for each requested pair: adds ``nodes``.
 
-    ``pairs`` has (``path_id``, ``source``, ``target``).  Unreachable pairs give no row.  Follows
-    the predecessors of the target's tree one hop per round beyond the broadcast bound, and inside
-    the task that grew the tree below it.
+    ``pairs`` has (``path_id``, ``source``, ``target``).  Unreachable pairs give no row.
     """
-    held, both = _broadcast_arcs(edges)
     wanted = pairs.select("path_id", "source", "target")
-    if held is None:
-        trees = cut(_trees_by_joins(both, wanted.select(F.col("target").alias("id")))).select(
-            F.col("target").alias("_t"), F.col("node").alias("_n"), "pred")
-        walk = wanted.withColumn("nodes", F.array("source")).withColumn("_at", F.col("source"))
-        done = None
-        while True:
-            walk = cut(walk)
-            ended = walk.filter("_at = target").select("path_id", "source", "target", "nodes")
-            done = ended if done is None else done.union(ended)
-            walk = walk.filter("_at <> target")
-            if walk.limit(1).count() == 0:
-                return done
-            walk = walk.join(trees, (F.col("target") == F.col("_t")) & (F.col("_at") == F.col("_n"))).select(
-                "path_id", "source", "target", F.concat("nodes", F.array("pred")).alias("nodes"),
-                F.col("pred").alias("_at"))
-
-    def run(batches):
-        arcs = held.value
-        for rows in batches:
-            source = np.searchsorted(arcs.nodes, rows["source"].to_numpy(np.int64))
-            target = rows["target"].to_numpy(np.int64)
-            for names, at in _batches(np.unique(target), arcs):
-                dist, _, pred = arcs.trees(at)
-                mine = np.flatnonzero(np.isin(target, names))
-                out = []
-                for r in mine:
-                    t, here = np.searchsorted(names, target[r]), source[r]
-                    if here >= len(arcs.nodes) or arcs.nodes[here] != rows["source"].iat[r] or not np.isfinite(dist[t, here]):
-                        continue
-                    nodes = [here]
-                    while pred[t, here] >= 0:
-                        here = pred[t, here]
-                        nodes.append(here)
-                    out.append((rows["path_id"].iat[r], rows["source"].iat[r], target[r], arcs.nodes[nodes]))
-                yield pd.DataFrame(out, columns=["path_id", "source", "target", "nodes"])
-
-    spread = wanted.repartitionByRange(_tasks(pairs, 1 << 20), "target", "path_id")
-    return spread.mapInPandas(run, "path_id bigint, source bigint, target bigint, nodes array<bigint>")
+    paths = Geodesics(cut(undirected(edges).select("src", "dst", "w"))).paths(wanted)
+    return wanted.join(paths, "path_id").select("path_id", "source", "target", "nodes")
 
 
 def longest_path_hops(trees: DataFrame) -> int:

@@ -8,11 +8,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType
 
-from kartograf.functions.arrays import doubles, replace_missing
+from kartograf.functions.arrays import replace_missing
+from kartograf.operators import blocks
 from kartograf.operators.ordering import ROWS_PER_CHUNK, framed, with_position, with_segments
 
 
@@ -33,10 +38,6 @@ def footprint(size: int) -> tuple[int, int]:
     return (size - 1) // 2, size // 2
 
 
-def _taps(column: str, taps: int) -> list[Column]:
-    return [F.get(F.col(column), F.lit(t)) for t in range(taps)]
-
-
 def _polar(df: DataFrame, taps: int, values=("re", "im")) -> DataFrame:
     re, im = values
     df = df.withColumn(re, F.transform(re, lambda v: replace_missing(v)))
@@ -47,31 +48,36 @@ def _polar(df: DataFrame, taps: int, values=("re", "im")) -> DataFrame:
     return df.withColumn("_sin", F.zip_with(im, "_mag", lambda b, m: F.when(m == 0, 0.0).otherwise(b / m)))
 
 
-def _weighted(df: DataFrame, w, columns: list[str], taps: int, weights: list[float] | None,
-              before: int, tag: str) -> DataFrame:
-    """Masked weighted window means of tap arrays; NULL where the window holds no valid row."""
-    valid = F.col("valid")
-    if weights is None:
-        for c in columns:
-            averaged = [F.avg(F.when(valid, x)).over(w) for x in _taps(c, taps)]
-            df = df.withColumn(f"{c}{tag}", F.when(F.count(F.when(valid, 1)).over(w) > 0, F.array(*averaged)))
-        return df
-    packed = F.struct("pos", "valid", *columns)
-    df = df.withColumn("_rows", F.collect_list(packed).over(w))
-    table = doubles(weights)
+def _means(columns: list[str], taps: int, total, ratio: float | None):
+    """Window means of tap arrays; NULL where the window holds no valid row.
 
-    def weight(row):
-        return F.when(row["valid"], F.get(table, (row["pos"] - F.col("pos") + before).cast("int"))).otherwise(0.0)
+    ``total`` sums a matrix over the windows.  Plain means skip missing taps; weighted ones (``ratio``)
+    divide by the weights of the valid rows, and a missing tap leaves its mean missing.
+    """
+
+    def work(table: pa.Table, windows: blocks.Windows, valid: np.ndarray) -> list[pa.Array]:
+        out, none = [], _empty(windows, valid, total)
+        for c in columns:
+            x = blocks.matrix(table.column(c), taps)
+            ok = valid[:, None] & ~np.isnan(x)
+            summed = total(windows, np.where(ok, x, 0.0))
+            with np.errstate(all="ignore"):
+                if ratio is None:
+                    count = np.rint(total(windows, ok.astype(np.float64)))
+                    mean = np.where(count > 0, summed / count, np.nan)
+                else:
+                    gone = (valid[:, None] & np.isnan(x)).astype(np.float64)
+                    mean = summed / total(windows, valid[:, None].astype(np.float64))
+                    if gone.any():
+                        mean = np.where(total(windows, gone) > 0, np.nan, mean)
+            out.append(blocks.lists(mean, none))
+        return out
 
-    df = df.withColumn("_weight", F.aggregate("_rows", F.lit(0.0), lambda acc, r: acc + weight(r)))
+    return work
 
-    def weighted(c, t):
-        return F.aggregate("_rows", F.lit(0.0), lambda acc, r: acc + weight(r) * F.get(r[c], F.lit(t))) / F.col("_weight")
 
-    for c in columns:
-        summed = [weighted(c, t) for t in range(taps)]
-        df = df.withColumn(f"{c}{tag}", F.when(F.col("_weight") > 0, F.array(*summed)))
-    return df.drop("_rows", "_weight")
+def _empty(windows: blocks.Windows, valid: np.ndarray, total) -> np.ndarray:
+    return total(windows, valid[:, None].astype(np.float64))[:, 0] <= 0
 
 
 def _back_to_cartesian(df: DataFrame) -> DataFrame:
@@ -103,19 +109,24 @@ def kernel_moving_average(df: DataFrame, taps: int, kernel_size_mag: int, kernel
         df = _polar(df, taps)
     bm, am = footprint(kernel_size_mag)
     bp, ap = footprint(kernel_size_phase)
-    laid, _, home = framed(df, keys, max(bm, bp), max(am, ap), "seg_start", rows_per_block=rows_per_block)
-    order = W.partitionBy(*keys, "_block").orderBy("pos")
-    wm, wp = order.rowsBetween(-bm, am), order.rowsBetween(-bp, ap)
-    weights_m = None if mode == "mean" else kernel_weights(kernel_size_mag, mode)
-    weights_p = None if mode == "mean" else kernel_weights(kernel_size_phase, mode)
     if mode not in ("mean", "exponential"):
         raise ValueError(f"no such kernel: {mode}")
-    laid = laid.withColumn("_n_m", F.count(F.when(F.col("valid"), 1)).over(wm))
-    laid = laid.withColumn("_n_p", F.count(F.when(F.col("valid"), 1)).over(wp))
-    laid = _weighted(laid, wm, ["_mag"], taps, weights_m, bm, "_m")
-    if not single:
-        laid = _weighted(laid, wp, ["_cos", "_sin"], taps, weights_p, bp, "_p")
-    out = laid.filter(home)
+    laid, _, home = framed(df, keys, max(bm, bp), max(am, ap), "seg_start", rows_per_block=rows_per_block)
+    parts = []
+    for names, size, before, after in ((["_mag"], kernel_size_mag, bm, am), (["_cos", "_sin"], kernel_size_phase, bp, ap))[: 1 if single else 2]:
+        ratio = None if mode == "mean" else 1.0 - 2.0 / (size + 1)
+        parts.append((_means(names, taps, lambda w, x, b=before, a=after, q=ratio: w.total(x, b, a, 1.0 if q is None else q), ratio), before, after))
+    reach = max(bm, bp) + max(am, ap)
+
+    def work(table: pa.Table, block: np.ndarray) -> list[pa.Array]:
+        windows = blocks.Windows(block, reach)
+        valid = pc.fill_null(table.column("valid").combine_chunks(), False).to_numpy(zero_copy_only=False)
+        counts = [pa.array(np.rint(windows.total(valid[:, None].astype(np.float64), b, a)[:, 0]).astype(np.int64)) for _, b, a in parts]
+        return counts + [column for means, _, _ in parts for column in means(table, windows, valid)]
+
+    doubles = ArrayType(DoubleType())
+    new = [("_n_m", LongType()), ("_n_p", LongType())][: len(parts)] + [("_mag_m", doubles), ("_cos_p", doubles), ("_sin_p", doubles)][: 1 if single else 3]
+    out = blocks.over_blocks(laid, [*keys, "_block"], "pos", home, work, new)
     out = out.withColumn("re", F.col("_mag_m")) if single else _back_to_cartesian(out)
     enough = F.least("_n_m", "_n_p") if not single else F.col("_n_m")
     out = out.withColumn("valid", enough >= min_valid_samples)
@@ -143,19 +154,27 @@ def temporal_moving_average(df: DataFrame, taps: int, window_seconds: float = 0.
     def half(seconds):
         return math.ceil(seconds * sampling_frequency * drift_margin) // 2
 
-    def decay(h, a, seconds):
+    def decay(a, seconds):
         a = a if a is not None else 2.0 / (seconds + 1.0)
-        return [math.exp(-a * abs(o) / sampling_frequency) for o in range(-h, h + 1)]
+        return math.exp(-a / sampling_frequency)
 
     hm, hp = half(window_seconds), half(window_seconds_phase)
     exponential = mode == "exponential"
     laid, _, home = framed(df, ["antenna"], max(hm, hp), max(hm, hp), "_zero", rows_per_block=rows_per_block)
-    order = W.partitionBy("antenna", "_block").orderBy("pos")
-    laid = _weighted(laid, order.rowsBetween(-hm, hm), ["_mag"], taps,
-                     decay(hm, alpha, window_seconds) if exponential else None, hm, "_m")
-    laid = _weighted(laid, order.rowsBetween(-hp, hp), ["_cos", "_sin"], taps,
-                     decay(hp, alpha_phase, window_seconds_phase) if exponential else None, hp, "_p")
-    out = _back_to_cartesian(laid.filter(home))
+    parts = []
+    for names, half_, ratio in ((["_mag"], hm, decay(alpha, window_seconds)), (["_cos", "_sin"], hp, decay(alpha_phase, window_seconds_phase))):
+        if exponential:
+            parts.append(_means(names, taps, lambda w, x, h=half_, q=ratio: w.centred(x, h, q), ratio))
+        else:
+            parts.append(_means(names, taps, lambda w, x, h=half_: w.total(x, h, h), None))
+
+    def work(table: pa.Table, block: np.ndarray) -> list[pa.Array]:
+        windows = blocks.Windows(block, 2 * max(hm, hp))
+        valid = pc.fill_null(table.column("valid").combine_chunks(), False).to_numpy(zero_copy_only=False)
+        return [column for means in parts for column in means(table, windows, valid)]
+
+    new = [(c, ArrayType(DoubleType())) for c in ("_mag_m", "_cos_p", "_sin_p")]
+    out = _back_to_cartesian(blocks.over_blocks(laid, ["antenna", "_block"], "pos", home, work, new))
     for c in ("re", "im"):
         out = out.withColumn(c, F.when(F.col("valid"), F.col(c)))
     return out.select(*columns, "pos", "valid", "re", "im")
@@ -229,14 +248,22 @@ def tdoa_filter(df: DataFrame, kernel_size: int, max_time_diff: float | None = N
         before, after = kernel_size // 2, (kernel_size - 1) // 2
     padded = mirror_pad(df, before, after)
     padded = padded.withColumn("_lowest", F.lit(-before))
-    laid, w, home = framed(padded, keys, before, after, "_lowest", "padded", rows_per_block)
-    if filter_type == "mean":
-        filtered = F.avg(value).over(w)
-    else:
-        filtered = F.get(F.array_sort(F.collect_list(value).over(w)), F.lit(kernel_size // 2))
-    laid = laid.withColumn("_filtered", filtered)
+    laid, _, home = framed(padded, keys, before, after, "_lowest", "padded", rows_per_block)
+
+    def work(table: pa.Table, block: np.ndarray) -> list[pa.Array]:
+        x = pc.cast(table.column(value).combine_chunks(), pa.float64()).to_numpy(zero_copy_only=False)
+        if filter_type == "median":
+            out = blocks.medians(x, block, before, after, kernel_size // 2)
+        else:
+            known, windows = ~np.isnan(x[:, None]), blocks.Windows(block, before + after)
+            count = np.rint(windows.total(known.astype(np.float64), before, after)[:, 0])
+            with np.errstate(all="ignore"):
+                out = np.where(count > 0, windows.total(np.where(known, x[:, None], 0.0), before, after)[:, 0] / count, np.nan)
+        return [pa.array(out, mask=np.isnan(out))]
+
     own = home & (F.col("padded") == F.col("pos") - F.col("seg_start"))
-    return laid.filter(own).withColumn(value, F.col("_filtered")).select(*columns, "seg", "pos")
+    kept = blocks.over_blocks(laid, [*keys, "_block"], "padded", own, work, [("_filtered", DoubleType())])
+    return kept.withColumn(value, F.col("_filtered")).select(*columns, "seg", "pos")
 
 
 def cumulative_displacement(df: DataFrame, velocity: float, order: str = "id", ts: str = "ts",

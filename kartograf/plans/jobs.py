@@ -100,11 +100,11 @@ def dissimilarity_job(df: DataFrame, config: dict, output: str | None = None) ->
     """Pairwise dissimilarities (and geodesics) of a split, with the diagnostics against the reference.
 
     Returns the plot tables; writes the distance file where ``output`` is given and ``eval_only``
-    is not set.  Bands are drawn from that file or, with ``eval_only``, from pairs made for them
-    alone; they read all pairs unless ``band_fraction`` asks for a sample.  Pairs are quadratic by
-    their nature; everything else here is not.  Geodesic jobs also give bands and histogram of the
-    measured dissimilarities and the number of pairs that no path connects (``unreachable``), which
-    have no row.
+    is not set.  Bands and histograms of measured dissimilarities are folded over all pairs, which are
+    not listed; with ``band_fraction`` below 1 the bands are of a sample.  Geodesic jobs also give bands
+    and histogram of the geodesics, read from that file (with ``eval_only``, from a table made for
+    them), and the number of pairs that no path connects (``unreachable``), which the file holds at
+    infinity and the plots leave out.
     """
     _, antennas, taps = _shape(df)
     options = dict(config.get("dataset_config", {}))
@@ -135,24 +135,31 @@ def dissimilarity_job(df: DataFrame, config: dict, output: str | None = None) ->
         both = drawn.join(at.select(F.col("id").alias("i"), F.col("p").alias("a")), "i").join(at.select(F.col("id").alias("j"), F.col("p").alias("b")), "j")
         return both.select("d", arrays.euclidean(F.col("a"), F.col("b")).alias("e"))
 
+    write = output and not config.get("eval_only")
     measured = lambda: condensed_distances(points, metric).withColumn("d", F.coalesce("d", F.lit(1e10)))
-    if output or config.get("eval_only"):
-        pairs = graph.geodesics_from(edges, points.select("id"), keep_upper=True).select(
+    sampled = config.get("band_fraction", 1.0) < 1
+    pairs = None
+    if write or (config.get("eval_only") and (edges is not None or sampled)):
+        # the geodesic file has all pairs, at infinity where no path leads
+        pairs = graph.geodesics_from(edges, points.select("id"), keep_upper=True, unreached=True).select(
             F.col("src").alias("i"), F.col("dst").alias("j"), F.col("d").cast("float").cast("double").alias("d")) \
             if edges is not None else measured()
-        if output and not config.get("eval_only"):
+        if write:
             takes.write_distances(df.join(points.select("id"), "id", "left_semi"), pairs, output, config)
             pairs = takes.read_distances(df.sparkSession, output)
         else:
             pairs = cut(pairs)
-        if at is not None:
-            out["bands"] = evaluation.dissimilarity_bands(with_truth(pairs))
-            if edges is not None:
-                out["geodesic_histogram"] = evaluation.histogram_2d(with_truth(pairs), "e", "d")
-                out["measured_bands"] = evaluation.dissimilarity_bands(with_truth(cut(measured())))
+    if at is not None and (output or config.get("eval_only")):
+        folded = lambda: evaluation.pair_bands(placed, metric)
         if edges is not None:
-            n = F.lit(points.count()).cast("bigint")
-            out["unreachable"] = pairs.agg((F.floor(n * (n - 1) / 2) - F.count("*")).alias("pairs"))
+            judged = with_truth(pairs.filter(F.col("d") < float("inf")))
+            out["bands"] = evaluation.dissimilarity_bands(judged)
+            out["geodesic_histogram"] = evaluation.histogram_2d(judged, "e", "d")
+            out["measured_bands"] = folded()
+        else:
+            out["bands"] = evaluation.dissimilarity_bands(with_truth(pairs)) if sampled else folded()
+    if edges is not None and pairs is not None:
+        out["unreachable"] = pairs.filter(F.col("d") == float("inf")).agg(F.count("*").alias("pairs"))
     return out
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kartograf.operators import graph
+from kartograf.operators import geodesics, graph
 from kartograf.operators.pairs import (Dissimilarity, condensed_distances, distance_audit, nearest_neighbors, ranks_among_all)
 from kartograf.operators.quantiles import ecdf, exact_quantiles
 
@@ -117,10 +117,13 @@ def network(spark):
     return arcs, edges
 
 
-@pytest.fixture(params=["broadcast", "joins"])
+@pytest.fixture(params=["one block", "small blocks", "small passes"])
 def bound(request, monkeypatch):
-    if request.param == "joins":
-        monkeypatch.setattr(graph, "MAX_BROADCAST_EDGES", 0)
+    if request.param != "one block":
+        monkeypatch.setattr(geodesics, "NODES", 7)
+        monkeypatch.setattr(geodesics, "SOURCES", 3)
+    if request.param == "small passes":
+        monkeypatch.setattr(geodesics, "PASS_BYTES", 40 * 20 * 12)
 
 
 def test_geodesics(spark, network, bound):
@@ -130,9 +133,15 @@ def test_geodesics(spark, network, bound):
     got = graph.geodesics_from(edges, nodes, keep_upper=True).toPandas()
     assert len(got) == sum(j > i for i in want for j in want[i])
     np.testing.assert_allclose(got["d"], [want[r.src][r.dst] for r in got.itertuples()], atol=1e-12)
-    pairs = spark.createDataFrame([(i, (i * 11 + 5) % 40) for i in range(40)], "i bigint, j bigint")
+    every = graph.geodesics_from(edges, nodes, unreached=True).toPandas()
+    assert len(every) == len(arcs) ** 2 and all(d == pytest.approx(want[i].get(j, np.inf)) for i, j, d in every.itertuples(index=False))
+    assert graph.geodesics_from(edges, spark.createDataFrame([(99,)], "id bigint")).count() == 0
+    pairs = spark.createDataFrame([(i, (i * 11 + 5) % 40) for i in range(40)] + [(99, 3), (98, 98)], "i bigint, j bigint")
     for r in graph.geodesics_between(edges, pairs).collect():
-        assert r["d"] == pytest.approx(want[r["i"]][r["j"]]) if r["j"] in want[r["i"]] else r["d"] is None
+        if r["i"] == 98:
+            assert r["d"] == 0.0
+        else:
+            assert r["d"] == pytest.approx(want[r["i"]][r["j"]]) if r["j"] in want.get(r["i"], {}) else r["d"] is None
     for r in graph.geodesic_summary(edges, nodes).collect():
         others = [v for k, v in want[r["src"]].items() if k != r["src"]]
         assert r["reached"] == len(others)
@@ -173,3 +182,31 @@ def test_contraction_follows_stretches_of_one_kind(spark):
     got = {r["node"]: r["pred"] for r in graph.contract_trees(trees, 1).collect()}
     # the hop that leaves node 3 is of another kind: 6,5,4 reach 3, and 2 reaches the root
     assert got == {0: -1, 1: 0, 2: 0, 3: 2, 4: 3, 5: 3, 6: 3}
+
+
+@pytest.mark.parametrize("whole", [False, True])
+@pytest.mark.parametrize("parts", [2, 128])
+def test_bands_over_all_pairs(spark, whole, parts):
+    """Against the percentiles of all pairs, with ties, equal places, a missing feature and values far apart."""
+    from kartograf.operators.evaluation import pair_bands
+
+    rng = np.random.default_rng(4)
+    f, p = np.round(rng.normal(size=(60, 3)), 1), np.round(rng.random((60, 2)), 1)
+    f[7], f[8], p[9] = np.nan, 1e6, p[10]
+    df = spark.createDataFrame([(i, f[i].tolist(), p[i].tolist()) for i in range(60)], "id bigint, f array<double>, p array<double>")
+    metric = Dissimilarity("cityblock", 1, "mean")
+    d = np.nan_to_num(metric.between(f, f), nan=1e10)
+    e = np.sqrt(((p[:, None] - p[None]) ** 2).sum(axis=2))
+    keep = np.ones((60, 60), bool) if whole else np.triu(np.ones((60, 60), bool), 1)
+    d, e = d[keep], e[keep]
+    bins = np.floor(e / (e.max() / 19)).astype(int) + 1
+    got = {r["bin"]: r for r in pair_bands(df, metric, edges=20, empty=None, whole=whole, rows_per_block=17, parts=parts).collect()}
+    assert sorted(got) == list(range(1, 20))
+    for b in range(1, 20):
+        own = d[(bins == b) & (e < e.max())]
+        assert got[b]["left"] == pytest.approx((b - 1) * e.max() / 19)
+        for name, q in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75)):
+            assert got[b][name] == (pytest.approx(np.quantile(own, q)) if len(own) else None)
+    same = df.withColumn("p", F.array(F.lit(1.0), F.lit(2.0)))
+    assert [r["p50"] for r in pair_bands(same, metric, edges=5).collect()] == [0.0] * 4
+    assert pair_bands(df.limit(0), metric).count() == 0
