@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from kartograf.llm.base import hollow, solid, stored
 
 ORDER = 4
-BLOCK = 16_000_000  # characters of a block
+BLOCK = 32_000_000  # characters of a block: the larger, the fewer blocks ask for the same n-gram
 PIECE = 1_000_000  # characters of a document that stay together
 START = 2  # stands before the first character
 #: A table of trusted ids of up to this many rows is sent to all executors; a larger one is joined.
@@ -206,9 +206,10 @@ def perplexities(rows: DataFrame) -> tuple[DataFrame, list[int]]:
     totals = stored(asked.groupBy("gram").agg(*[F.sum(n).alias(n) for n in numbers]), "counts")
     logs, models = chances(totals)
     logs = stored(logs, "chances")
-    has = F.array(F.lit(True), *[F.col(n) > 0 for n in numbers[1:]])
+    # one number says which folds have the n-gram
+    has = sum((F.when(F.col(n) > 0, 1 << k).otherwise(0) for k, n in enumerate(numbers) if k), F.lit(1))
     answered = asked.select("gram", "block", has.alias("has")).join(logs, "gram")
-    own = [F.when(F.col("has")[k], F.col(f"log{k}")).otherwise(F.lit(0.0).cast("float")).alias(f"log{k}") for k in range(FOLDS)]
+    own = [F.when(F.col("has").bitwiseAND(1 << k) > 0, F.col(f"log{k}")).otherwise(F.lit(0.0).cast("float")).alias(f"log{k}") for k in range(FOLDS)]
     answers = answered.groupBy("block").agg(F.collect_list(F.struct("gram", *own)).alias("l"))
     answers = answers.select(F.col("block").alias("_block"), F.col("l.gram").alias("grams"), *[F.col(f"l.log{k}").alias(f"logs{k}") for k in range(FOLDS)])
     scored = blocks.join(answers, F.col("block") == F.col("_block"), "left").mapInPandas(_scored, "row_id bigint, total double, crossed double, n bigint")
