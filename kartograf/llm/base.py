@@ -40,6 +40,21 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str = "table") -> DataFrame:
+    """``stored`` in buckets of ``key``, as many as a shuffle has partitions: a join by the key moves the other side only.
+
+    Rows are written where they are.  The table's name leaves the catalog at once; its files are what is read.
+    """
+    spark = df.sparkSession
+    unique = f"{name}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{unique}").bucketBy(buckets, key).saveAsTable(unique)
+    rows = spark.table(unique)
+    rows.schema  # resolved while the name is known
+    spark.sql(f"DROP TABLE {unique}")
+    return rows
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, all other characters as they are."""
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kartograf.llm.base import hollow, solid, stored
+from kartograf.llm.base import bucketed, hollow, solid, stored
 
 ORDER = 4
 BLOCK = 32_000_000  # characters of a block: the larger, the fewer blocks ask for the same n-gram
@@ -199,8 +199,8 @@ def perplexities(rows: DataFrame) -> tuple[DataFrame, list[int]]:
     ``fold`` is -1 for documents without trust.  ``perplexity`` is under the model without fold 0, and
     ``crossed`` under that without the document's fold.
     """
-    blocks = stored(rows.select("row_id", "text", "fold").mapInPandas(
-        _blocks, "block bigint, blob binary, rows array<bigint>, lens array<bigint>, folds array<int>"), "blocks")
+    blocks = bucketed(rows.select("row_id", "text", "fold").mapInPandas(
+        _blocks, "block bigint, blob binary, rows array<bigint>, lens array<bigint>, folds array<int>"), "block", "blocks")
     numbers = [f"n{k}" for k in range(FOLDS)]
     asked = stored(blocks.mapInPandas(_asked, "gram bigint, block bigint, " + ", ".join(f"{n} bigint" for n in numbers)), "asked")
     totals = stored(asked.groupBy("gram").agg(*[F.sum(n).alias(n) for n in numbers]), "counts")
