@@ -17,11 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kartograf.operators.shells import lay_shells
 from kartograf.session import cut
 
 MISSING_DISTANCE = 1e10
 ROWS_PER_BLOCK = 8192
 TILE = 1024
+BROADCAST_CHUNKS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -35,7 +37,33 @@ class Dissimilarity:
 
     @property
     def obeys_triangle(self) -> bool:
-        return self.metric in ("cityblock", "euclidean", "chebyshev") and self.aggregation != "median"
+        """Whether ``bent`` distances of rows that ``fit`` obey the triangle inequality."""
+        if self.aggregation == "median" and self.antennas > 1 or self.metric == "minkowski" and self.params.get("p", 2.0) < 1:
+            return False
+        return self.metric in _STRAIGHT or self.metric in _SQUARED
+
+    def bent(self, d):
+        """Distances in the space where the triangle inequality holds: cosine and correlation are half the squared distance of
+        unit vectors, so their root is searched as euclidean."""
+        return np.sqrt(np.maximum(d, 0)) if self.metric in _SQUARED else d
+
+    @property
+    def blur(self) -> float:
+        """What rounding can add to a bent distance."""
+        return 1e-6 if self.metric in _SQUARED else 1e-8
+
+    def fit(self, x: np.ndarray) -> np.ndarray:
+        """Rows whose distances are defined on every antenna."""
+        x = x.reshape(len(x), self.antennas, -1)
+        good = np.isfinite(x).all(axis=(1, 2))
+        with np.errstate(all="ignore"):
+            if self.metric == "cosine":
+                good &= (np.linalg.norm(x, axis=2) > 0).all(axis=1)
+            if self.metric == "correlation":
+                good &= (np.linalg.norm(x - x.mean(axis=2, keepdims=True), axis=2) > 1e-9 * np.linalg.norm(x, axis=2)).all(axis=1)
+            if self.metric == "jensenshannon":
+                good &= (x >= 0).all(axis=(1, 2)) & (x.sum(axis=2) > 0).all(axis=1)
+        return good
 
     def between(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Distance matrix of feature rows x (n, A*T) and y (m, A*T); NaN where undefined."""
@@ -107,6 +135,8 @@ _METRICS: dict[str, Callable] = {
     "hamming": lambda x, y: _by_tap(lambda a, b: np.where(np.isnan(a + b), np.nan, a != b))(x, y) / x.shape[1],
     "jensenshannon": _jensenshannon,
 }
+_STRAIGHT = {"cityblock", "euclidean", "chebyshev", "minkowski", "canberra", "hamming", "jensenshannon"}
+_SQUARED = {"sqeuclidean", "cosine", "correlation"}
 
 
 def features(df: DataFrame, column: str = "vec", id: str = "id", antennas: int | None = None,
@@ -212,17 +242,26 @@ def _smallest(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(n), k), part.ravel()
 
 
+def _any_unfit(points: DataFrame, metric: Dissimilarity) -> bool:
+    def look(batches):
+        for rows in batches:
+            yield pd.DataFrame({"unfit": [bool((~metric.fit(_matrix(rows["f"]))).any())] if len(rows) else []})
+
+    return bool(points.select("f").mapInPandas(look, "unfit boolean").agg(F.max("unfit")).first()[0])
+
+
 def nearest_neighbors(df: DataFrame, k: int, metric: Dissimilarity, prune: bool | None = None,
-                      rows_per_block: int = ROWS_PER_BLOCK, pivots: int = 64,
+                      rows_per_block: int = ROWS_PER_BLOCK, pivots: int | None = None,
                       decimals: int = 9) -> DataFrame:
     """Exact k nearest neighbours of every row, itself excluded: (``src``, ``dst``, ``d``, ``rank``).
 
     1. Equal feature rows are joined into one (with their k+1 smallest ids), so a large group of
        copies costs one comparison instead of its square.
-    2. Rows go to the nearest of a few pivots; large cells are split into chunks of bounded size.
-    3. A first pass inside chunks bounds each row's k-th distance.  By the triangle inequality a
-       row then visits only chunks that can hold something nearer (metrics without that property
-       visit all).  The bound only skips work; results are exact.
+    2. Rows go to the nearest of sqrt(n) pivots; crowded pivots are split into shells of distance.
+    3. A first pass inside chunks, and the pivots themselves, bound each row's k-th distance.  By the
+       triangle inequality a row then visits only chunks that can hold something nearer (the median of
+       antennas, Bray-Curtis, and tables with undefined distances visit all).  The bound only skips
+       work; results are exact.  Visits are lists of ids; vectors join them last.
     Equal distances (at ``decimals``) are ordered by id.  Undefined distances count as 1e10.
     """
     spark = df.sparkSession
@@ -232,84 +271,48 @@ def nearest_neighbors(df: DataFrame, k: int, metric: Dissimilarity, prune: bool
     groups = firsts.groupBy("_h", "f").agg(F.min("id").alias("vid"), F.sort_array(F.collect_list("id")).alias("ids"))
     groups = cut(groups)
     copies = df.count()
-    facts = groups.agg(F.count("*").alias("n"), F.max(F.exists("f", lambda v: F.isnan(v))).alias("nan")).first()
-    n = facts["n"]
-    if prune is None:
-        prune = metric.obeys_triangle and not facts["nan"] and n > 4 * rows_per_block
+    n = groups.count()
     points = groups.select("vid", "f")
-
-    if prune:
-        sample = points.orderBy(F.xxhash64("vid"), "vid").limit(pivots).toPandas()
-        centers = _matrix(sample["f"])
-
-        def nearest_pivot(batches):
-            for rows in batches:
-                d = metric.between(_matrix(rows["f"]), centers)
-                rows["_pivot"] = d.argmin(axis=1)
-                rows["_dp"] = d.min(axis=1)
-                yield rows
-
-        points = cut(points.mapInPandas(nearest_pivot, "vid bigint, f array<double>, _pivot int, _dp double"))
-        per_pivot = {row["_pivot"]: row["n"] for row in points.groupBy("_pivot").agg(F.count("*").alias("n")).collect()}
-        splits = {p: max(-(-c // rows_per_block), 1) for p, c in per_pivot.items()}
-        starts, at = {}, 0
-        for p in sorted(splits):
-            starts[p], at = at, at + splits[p]
-        layout = spark.createDataFrame([(p, starts[p], splits[p]) for p in splits], "_pivot int, _start int, _splits int")
-        points = points.join(F.broadcast(layout), "_pivot").withColumn(
-            "_chunk", F.col("_start") + F.pmod(F.xxhash64("vid"), F.col("_splits")).cast("int"))
-        points = points.select("vid", "f", "_pivot", "_dp", "_chunk")
-        extent = points.groupBy("_chunk").agg(F.first("_pivot").alias("p"), F.min("_dp").alias("lo"),
-                                              F.max("_dp").alias("hi")).toPandas()
-        chunk_no = extent["_chunk"].to_numpy(np.int64)
-        chunk_pivot, lo, hi = extent["p"].to_numpy(np.int64), extent["lo"].to_numpy(), extent["hi"].to_numpy()
-    else:
-        centers = None
-        least = min(4, -(-n // 128))
-        chunk_no = np.arange(max(-(-n // rows_per_block), least, 1))
-        points = points.withColumn("_chunk", F.pmod(F.xxhash64("vid"), F.lit(len(chunk_no))).cast("int"))
+    if prune is None:
+        prune = metric.obeys_triangle and n > 4 * rows_per_block
+    prune = prune and n > 0 and not _any_unfit(points, metric)
 
     def distance(x, y):
         return np.round(np.nan_to_num(metric.between(x, y), nan=MISSING_DISTANCE), decimals)
 
     def kth_inside(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         f = _matrix(rows["f"])
-        bound = np.full(len(rows), np.inf)
+        bound = rows["_reach"].to_numpy().copy()
         if len(rows) > k:
             for a in range(0, len(rows), TILE):
                 # k+1 counts the row itself at distance zero
-                bound[a:a + TILE] = np.partition(distance(f[a:a + TILE], f), k, axis=1)[:, k]
+                bound[a:a + TILE] = np.fmin(bound[a:a + TILE], np.partition(distance(f[a:a + TILE], f), k, axis=1)[:, k])
         return rows[["vid", "f"]].assign(_bound=bound)
 
-    def route(batches):
-        step = max(1, 4_000_000 // len(chunk_no))
-        for whole in batches:
-            for a in range(0, len(whole), step):
-                rows = whole.iloc[a:a + step]
-                dq = metric.between(_matrix(rows["f"]), centers)[:, chunk_pivot]
-                lower = np.maximum(np.maximum(dq - hi, lo - dq), 0)
-                r, c = np.nonzero(lower * (1 - 1e-9) - 1e-8 <= rows["_bound"].to_numpy()[:, None])
-                for b in range(0, len(r), 65536):
-                    picked = rows.iloc[r[b:b + 65536]]
-                    yield pd.DataFrame({"_chunk": chunk_no[c[b:b + 65536]], "query": picked["vid"].to_numpy(),
-                                        "q": picked["f"].to_numpy()})
-
     if prune:
-        bounded = points.repartition(_tasks(df, len(chunk_no)), "_chunk").groupBy("_chunk") \
+        laid = lay_shells(points, metric, k, rows_per_block, pivots)
+        chunks, points = laid.chunks, laid.points
+        bounded = points.repartition(_tasks(df, chunks), "_chunk").groupBy("_chunk") \
             .applyInPandas(kth_inside, "vid bigint, f array<double>, _bound double")
-        visits = cut(bounded.mapInPandas(route, "_chunk int, query bigint, q array<double>"))
+        visits = cut(laid.visits(bounded, metric, 10.0 ** -decimals))
         load = visits.groupBy("_chunk").agg(F.count("*").alias("n"))
-        load = load.select("_chunk", F.ceil(F.col("n") / (4 * rows_per_block)).cast("int").alias("_parts"))
+        load = load.select("_chunk", F.ceil(F.col("n") / (4 * rows_per_block)).alias("_parts"))
     else:
-        every = F.sequence(F.lit(0), F.lit(len(chunk_no) - 1))
+        least = min(4, -(-n // 128))
+        chunks = max(-(-n // rows_per_block), least, 1)
+        points = points.withColumn("_chunk", F.pmod(F.xxhash64("vid"), F.lit(chunks)))
+        every = F.sequence(F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint"))
         visits = points.select(F.explode(every).alias("_chunk"), F.col("vid").alias("query"), F.col("f").alias("q"))
         parts = max(-(-n // (4 * rows_per_block)), least)
-        load = spark.range(len(chunk_no)).select(F.col("id").cast("int").alias("_chunk"), F.lit(parts).alias("_parts"))
-    load = F.broadcast(load)  # one row per chunk, at most 100,000 + pivots
+        load = spark.range(chunks).select(F.col("id").alias("_chunk"), F.lit(parts).cast("bigint").alias("_parts"))
+    if chunks <= BROADCAST_CHUNKS:
+        load = F.broadcast(load)  # one row per chunk
     asked = visits.join(load, "_chunk").withColumn("_part", F.pmod(F.xxhash64("query"), F.col("_parts"))).drop("_parts")
+    if prune:
+        asked = asked.join(groups.select(F.col("vid").alias("query"), F.col("f").alias("q")), "query")
     held = points.select("_chunk", "vid", "f").join(load, "_chunk").withColumn(
-        "_part", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("_parts") - 1).cast("bigint")))).drop("_parts")
-    cells = _tasks(df, len(chunk_no) * 8)
+        "_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1))).drop("_parts")
+    cells = _tasks(df, chunks * 8)
 
     def compare(key: tuple, queries: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -355,44 +358,62 @@ def ranks_among_all(df: DataFrame, thresholds: DataFrame, metric: Dissimilarity,
                     rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """For given pairs (``src``, ``dst``), how many rows are nearer to src than dst is.
 
-    Ties (at 9 decimals) are ordered by id and src itself is not counted, so nearest = 0.  Each
-    (query block, row block) cell returns one partial count per pair; counts are then summed.
+    Ties (at 9 decimals) are ordered by id and src itself is not counted, so nearest = 0.  A source goes once to
+    each block of rows with all it asks (sources that ask much, in pieces of about ``rows_per_block``): its
+    distances are taken once and placed among its sorted thresholds by search, so the work does not grow with
+    their number.  Each cell returns one partial count per pair; counts are then summed.
     """
     n = df.count()
     blocks = max(-(-n // rows_per_block), min(4, -(-n // 128)), 1)
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    base = df.withColumn("_b", block("id")).withColumn("_q", every)
+    base = df.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("_q", every)
     left = df.select(F.col("id").alias("src"), F.col("f").alias("fs"))
     right = df.select(F.col("id").alias("dst"), F.col("f").alias("fd"))
 
     def measure(batches):
         for p in batches:
             a, b = _matrix(p["fs"]), _matrix(p["fd"])
-            own = np.array([metric.between(a[i:i + 1], b[i:i + 1])[0, 0] for i in range(len(p))])
-            yield pd.DataFrame({"src": p["src"], "dst": p["dst"], "fs": p["fs"],
-                                "own": np.round(np.nan_to_num(own, nan=MISSING_DISTANCE), 9)})
+            # pairs in small squares, of which the diagonal counts
+            own = [np.diagonal(metric.between(a[i:i + 16], b[i:i + 16])) for i in range(0, len(p), 16)]
+            own = np.concatenate(own) if own else np.zeros(0)
+            yield pd.DataFrame({"src": p["src"], "dst": p["dst"], "own": np.round(np.nan_to_num(own, nan=MISSING_DISTANCE), 9)})
 
     asked = thresholds.select("src", "dst").join(left, "src").join(right, "dst")
-    asked = asked.mapInPandas(measure, "src bigint, dst bigint, fs array<double>, own double")
-    # pairs are split by (src, dst), so a row with very many pairs is spread over all query blocks
-    asked = asked.withColumn("_q", F.pmod(F.xxhash64("src", "dst"), F.lit(blocks)).cast("int")).withColumn("_b", every)
-
-    def count(key: tuple, pairs: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        if not len(pairs) or not len(rows):
+    asked = cut(asked.mapInPandas(measure, "src bigint, dst bigint, own double"))
+    most = asked.groupBy("src").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    piece = F.pmod(F.xxhash64("dst"), F.lit(max(-(-most // rows_per_block), 1)))
+    lists = asked.groupBy("src", piece.alias("_piece")).agg(F.sort_array(F.collect_set(F.struct("own", "dst"))).alias("asks"))
+    lists = lists.select("src", "_piece", F.col("asks.own").alias("own"), F.col("asks.dst").alias("dst")).join(left, "src")
+    lists = lists.withColumn("_q", F.pmod(F.xxhash64("src", "_piece"), F.lit(blocks)).cast("int")).withColumn("_b", every)
+
+    def count(key: tuple, lines: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(lines) or not len(rows):
             return pd.DataFrame({"src": [], "dst": [], "nearer": []})
         names, y = rows["id"].to_numpy(), _matrix(rows["f"])
-        out = np.zeros(len(pairs), np.int64)
-        for a in range(0, len(pairs), TILE):
-            p = pairs.iloc[a:a + TILE]
-            src, dst, own = (p[c].to_numpy()[:, None] for c in ("src", "dst", "own"))
-            d = np.round(np.nan_to_num(metric.between(_matrix(p["fs"]), y), nan=MISSING_DISTANCE), 9)
-            nearer = (d < own) | ((d == own) & (names[None] < dst))
-            out[a:a + TILE] = (nearer & (names[None] != src)).sum(axis=1)
-        return pd.DataFrame({"src": pairs["src"], "dst": pairs["dst"], "nearer": out})
+        counts = []
+        for a in range(0, len(lines), TILE):
+            part = lines.iloc[a:a + TILE]
+            near = np.round(np.nan_to_num(metric.between(_matrix(part["fs"]), y), nan=MISSING_DISTANCE), 9)
+            for d, src, own, dst in zip(near, part["src"], part["own"], part["dst"]):
+                counts.append(_among(d[names != src], names[names != src], np.asarray(own), np.asarray(dst)))
+        sizes = [len(c) for c in counts]
+        return pd.DataFrame({"src": np.repeat(lines["src"].to_numpy(), sizes), "dst": np.concatenate(list(lines["dst"])),
+                             "nearer": np.concatenate(counts)})
 
     tasks = _tasks(df, blocks * blocks)
-    partial = asked.repartition(tasks, "_b", "_q").groupBy("_b", "_q").cogroup(
+    partial = lists.repartition(tasks, "_b", "_q").groupBy("_b", "_q").cogroup(
         base.repartition(tasks, "_b", "_q").groupBy("_b", "_q")
     ).applyInPandas(count, "src bigint, dst bigint, nearer bigint")
     return partial.groupBy("src", "dst").agg(F.sum("nearer").alias("nearer"))
+
+
+def _among(d: np.ndarray, names: np.ndarray, own: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """How many of (d, name) come before each threshold (own, dst); thresholds are sorted."""
+    at = np.searchsorted(own, d, side="left")
+    level = np.flatnonzero((at < len(own)) & (own[np.minimum(at, len(own) - 1)] == d))
+    level = level[np.argsort(at[level], kind="stable")]
+    starts, begins = np.unique(at[level], return_index=True)
+    for s, rows in zip(starts, np.split(level, begins[1:])):  # equal distances: before those thresholds whose id is larger
+        end = np.searchsorted(own, own[s], side="right")
+        at[rows] += np.searchsorted(dst[s:end], names[rows], side="right")
+    return np.cumsum(np.bincount(at, minlength=len(own) + 1))[:len(own)]

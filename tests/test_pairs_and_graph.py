@@ -4,9 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kartograf.operators import geodesics, graph
+from kartograf.operators import geodesics, graph, losses
 from kartograf.operators.pairs import (Dissimilarity, condensed_distances, distance_audit, nearest_neighbors, ranks_among_all)
 from kartograf.operators.quantiles import ecdf, exact_quantiles
+from kartograf.operators.shells import lay_shells
 
 RNG = np.random.default_rng(5)
 
@@ -44,6 +45,50 @@ def test_neighbors_with_missing_antennas(spark):
     assert collected(nearest_neighbors(frame(spark, x), 3, m, rows_per_block=25)) == brute(d, 3)
 
 
+@pytest.mark.parametrize("metric, aggregation", [("cosine", "sum"), ("correlation", "mean"), ("sqeuclidean", "max"), ("canberra", "sum"),
+                                                 ("jensenshannon", "mean"), ("chebyshev", "median"), ("braycurtis", "sum")])
+def test_neighbors_through_shells_are_exact(spark, metric, aggregation):
+    x = np.abs(RNG.normal(size=(160, 6))) + np.repeat(RNG.normal(size=(8, 6)) ** 2 * 9, 20, axis=0)
+    x[30:70] = x[3]
+    x[80:120] = x[80] * (1 + np.arange(40) * 1e-7)[:, None]
+    m = Dissimilarity(metric, 2, aggregation)
+    d = np.round(m.between(x, x), 9)
+    got = collected(nearest_neighbors(frame(spark, x), 5, m, prune=m.obeys_triangle, rows_per_block=12))
+    for src, want in brute(d, 5).items():
+        assert [v for v, _ in got[src]] == pytest.approx([v for v, _ in want], abs=2e-9)
+    if metric == "canberra":  # no matrix product in it: ties are the same bit by bit
+        assert got == brute(d, 5)
+
+
+def test_undefined_rows_stop_pruning(spark):
+    x = RNG.normal(size=(60, 6))
+    x[4], x[9, :3] = 0, 0
+    m = Dissimilarity("cosine", 2, "sum")
+    d = np.round(np.nan_to_num(m.between(x, x), nan=1e10), 9)
+    got = collected(nearest_neighbors(frame(spark, x), 3, m, prune=True, rows_per_block=10))
+    for src, want in brute(d, 3).items():
+        assert [v for v, _ in got[src]] == pytest.approx([v for v, _ in want], abs=2e-9)
+    assert nearest_neighbors(frame(spark, x).limit(0), 3, m, prune=True).count() == 0
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_rows_visit_few_chunks_of_clustered_data(spark, metric):
+    x = np.repeat(RNG.normal(size=(20, 8)) * 50, 50, axis=0) + RNG.normal(size=(1000, 8))
+    m = Dissimilarity(metric)
+    points = frame(spark, x).withColumnRenamed("id", "vid")
+    laid = lay_shells(points, m, 5, 20)
+    held = laid.points.groupBy("_chunk").count().toPandas()
+    assert held["count"].sum() == 1000 and held["count"].max() <= 40 and laid.chunks >= len(held)
+    kth = np.partition(m.between(x, x), 5, axis=1)[:, 5]
+    bounded = laid.points.select("vid", "f").join(spark.createDataFrame([(i, float(v)) for i, v in enumerate(kth)], "vid bigint, _bound double"), "vid")
+    visits = laid.visits(bounded, m, 1e-9).toPandas()
+    assert len(visits) < 1000 * laid.chunks / 5
+    home = laid.points.select("vid", "_chunk").toPandas().set_index("vid")["_chunk"]
+    visited = set(zip(visits["query"], visits["_chunk"]))
+    for i, near in enumerate(np.argsort(m.between(x, x), axis=1)[:, :6]):
+        assert all((i, home[j]) in visited for j in near)
+
+
 def test_condensed_distances_and_audit(spark):
     x = RNG.normal(size=(70, 4))
     x[2], x[3, :2] = np.nan, np.nan
@@ -66,6 +111,43 @@ def test_ranks(spark):
         assert r["nearer"] == (line < d[r["src"], r["dst"]]).sum()
 
 
+def test_ranks_of_many_thresholds_with_ties(spark):
+    x = RNG.integers(0, 4, size=(90, 2)).astype(float)
+    x[20:50] = x[7]
+    m = Dissimilarity("euclidean")
+    d = np.round(m.between(x, x), 9)
+    asked = [(0, j) for j in range(1, 90)] + [(7, j) for j in range(30, 60)] + [(60, 3), (60, 3), (61, 89)]
+    pairs = spark.createDataFrame(asked, "src bigint, dst bigint")
+    got = {(r["src"], r["dst"]): r["nearer"] for r in ranks_among_all(frame(spark, x), pairs, m, rows_per_block=25).collect()}
+    assert set(got) == set(asked)
+    for (s, t), nearer in got.items():
+        assert nearer == sum((d[s, j], j) < (d[s, t], t) for j in range(90) if j != s)
+    assert ranks_among_all(frame(spark, x), pairs.limit(0), m).count() == 0
+
+
+@pytest.mark.parametrize("rows_per_block", [8192, 20])
+@pytest.mark.parametrize("kind", ["FRD", "MRD"])
+def test_time_band_in_batches_of_any_size(spark, kind, rows_per_block):
+    ts = np.sort(RNG.uniform(0, 60, 400)).round(2)
+    ts[100:160] = ts[100]  # one moment with many rows
+    z = RNG.normal(size=(400, 2)) * 2
+    z[110:150] = z[110]  # and copies
+    batch = np.where(np.arange(400) < 330, 1, 2)
+    rows = [(int(b), float(t), [float(v) for v in p]) for b, t, p in zip(batch, ts, z)]
+    rows += [(1, None, [0.0, 0.0]), (1, 3.0, None), (3, 5.0, [1.0, 1.0]), (4, None, None), (None, 1.0, [0.0, 0.0]), (None, 1.5, [3.0, 4.0])]
+    df = spark.createDataFrame(rows, "batch bigint, ts double, z array<double>").repartition(4)
+    got = {r["batch"]: r for r in losses.time_regularization(df, kind, 1.5, rows_per_block=rows_per_block).collect()}
+    assert set(got) == {1, 2, 3, 4, None} and got[3]["pairs"] == got[4]["pairs"] == 0 and got[3]["loss"] == 0 and got[None]["pairs"] == 1
+    for b in (1, 2):
+        at = np.flatnonzero(batch == b)
+        i, j = np.triu_indices(len(at), 1)
+        dt = np.abs(ts[at[i]] - ts[at[j]])
+        d = np.linalg.norm(z[at[i]] - z[at[j]], axis=1)[dt <= 1.5]
+        r = np.abs(d - dt[dt <= 1.5])
+        want = np.where(r <= 1, r * r / 2, r - 0.5) if kind == "FRD" else np.maximum(d - dt[dt <= 1.5], 0) ** 2
+        assert got[b]["pairs"] == len(d) and got[b]["loss"] == pytest.approx(want.mean(), rel=1e-9)
+
+
 def test_quantiles_per_group_with_a_hot_value(spark):
     g = RNG.integers(0, 3, 3000)
     v = np.round(RNG.normal(size=3000), 3)
