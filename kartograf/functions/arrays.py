@@ -1,16 +1,19 @@
 """Column functions over ``ARRAY<DOUBLE>`` signals.
 
-Everything here stays inside the JVM: ``zip_with``/``transform``/``aggregate`` over the taps of one
-row.  A missing antenna is a NULL array, and NULL flows through every function to a NULL result.
+Everything but the Fourier transforms stays inside the JVM: ``zip_with``/``transform``/``aggregate`` over the
+taps of one row.  A missing antenna is a NULL array, and NULL flows through every function to a NULL result.
 """
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kartograf.operators.blocks import lists, matrix
+
 
 def doubles(values) -> Column:
     """Array literal of doubles."""
@@ -218,48 +221,57 @@ def signature(re: Column, im: Column, taps: int) -> Column:
 
 
 # --- discrete Fourier transform --------------------------------------------------------------------
-# The twiddle factors of the (taps x bins) transform are literals, so a transform is a plain
-# matrix-vector product over one row's array.
+# A transform of a whole Arrow batch at once; the plan holds no matrix, and the cost per row is that of an FFT.
+
+_COMPLEX = "struct<re: array<double>, im: array<double>>"
+_COMPLEX_ROWS = "struct<re: array<array<double>>, im: array<array<double>>>"
+
 
+def _complex(re: pa.Array, im: pa.Array, taps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of two list arrays as a complex matrix, NaN where a value is missing, and the rows that are missing."""
+    z = matrix(pa.chunked_array([re]), taps) + 1j * matrix(pa.chunked_array([im]), taps)
+    return z, pc.or_(pc.is_null(re), pc.is_null(im)).to_numpy(zero_copy_only=False)
 
-def _matvec(rows: list[list[float]], x: Column) -> Column:
-    return F.array(*[dot(doubles(row), x) for row in rows])
+
+def _parts(z: np.ndarray, missing: np.ndarray) -> list[pa.Array]:
+    return [lists(np.ascontiguousarray(part), missing) for part in (z.real, z.imag)]
 
 
 def dft(re: Column, im: Column, taps: int, bins: int | None = None) -> Column:
-    """Forward DFT as a struct (re, im); more ``bins`` pad with zeros, fewer truncate the input."""
-    bins = bins or taps
-    used = min(taps, bins)
-    cos = [[math.cos(2 * math.pi * k * n / bins) for n in range(used)] for k in range(bins)]
-    sin = [[math.sin(2 * math.pi * k * n / bins) for n in range(used)] for k in range(bins)]
-    if used < taps:
-        re, im = F.slice(re, 1, used), F.slice(im, 1, used)
+    """Forward DFT as a struct (re, im); more ``bins`` pad with zeros, fewer truncate the input; a NULL tap makes all bins NULL."""
+
+    @F.arrow_udf(_COMPLEX)
+    def run(re: pa.Array, im: pa.Array) -> pa.Array:
+        z, missing = _complex(re, im, taps)
+        return pa.StructArray.from_arrays(_parts(np.fft.fft(z, n=bins or taps), missing), ["re", "im"])
 
-    def transform(z):
-        return F.struct(
-            F.zip_with(_matvec(cos, z["re"]), _matvec(sin, z["im"]), lambda a, b: a + b).alias("re"),
-            F.zip_with(_matvec(cos, z["im"]), _matvec(sin, z["re"]), lambda a, b: a - b).alias("im"))
+    return run(re, im)
 
-    return let(F.struct(re.alias("re"), im.alias("im")), transform)
 
+def dft_rows(re: Column, im: Column, taps: int, bins: int | None = None) -> Column:
+    """``dft`` of every antenna of two (antenna, tap) columns; both hold the same antennas, a NULL one stays NULL."""
 
-def signed_frequencies(taps: int) -> list[float]:
-    """Frequencies in cycles per tap, the upper half negative."""
-    return [(k if k < (taps + 1) // 2 else k - taps) / taps for k in range(taps)]
+    @F.arrow_udf(_COMPLEX_ROWS)
+    def run(re: pa.Array, im: pa.Array) -> pa.Array:
+        z, missing = _complex(re.flatten(), im.flatten(), taps)
+        sizes = pc.fill_null(pc.list_value_length(re), 0).to_numpy(zero_copy_only=False)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        rows = [pa.ListArray.from_arrays(offsets, part, mask=re.is_null()) for part in _parts(np.fft.fft(z, n=bins or taps), missing)]
+        return pa.StructArray.from_arrays(rows, ["re", "im"])
+
+    return run(re, im)
 
 
 def delay_taps(re: Column, im: Column, delay: Column, taps: int) -> Column:
     """Circular delay by a fractional number of taps, as a struct (re, im); NULL delay gives NULL."""
 
-    def turn(z, angle):
-        both = F.arrays_zip(z["re"].alias("a"), z["im"].alias("b"), angle.alias("w"))
-        return F.struct(F.transform(both, lambda e: e["a"] * F.cos(e["w"]) + e["b"] * F.sin(e["w"])).alias("re"),
-                        # the inverse transform is a forward transform between two conjugations
-                        F.transform(both, lambda e: e["a"] * F.sin(e["w"]) - e["b"] * F.cos(e["w"])).alias("im"))
-
-    angle = F.transform(doubles(signed_frequencies(taps)), lambda f: f * delay * (2 * math.pi))
-    turned = let(angle, lambda w: let(dft(re, im, taps), lambda z: turn(z, w)))
-    back = let(turned, lambda z: dft(z["re"], z["im"], taps))
-    moved = let(back, lambda z: F.struct(F.transform(z["re"], lambda v: v / taps).alias("re"),
-                                         F.transform(z["im"], lambda v: -v / taps).alias("im")))
-    return F.when(delay.isNotNull() & re.isNotNull(), moved)
+    @F.arrow_udf(_COMPLEX)
+    def run(re: pa.Array, im: pa.Array, delay: pa.Array) -> pa.Array:
+        z, missing = _complex(re, im, taps)
+        by = pc.fill_null(delay, float("nan")).to_numpy(zero_copy_only=False)
+        turn = np.exp(-2j * np.pi * by[:, None] * np.fft.fftfreq(taps)[None])
+        moved = np.fft.ifft(np.fft.fft(z) * turn)
+        missing = missing | delay.is_null().to_numpy(zero_copy_only=False)
+        return pa.StructArray.from_arrays(_parts(moved, missing), ["re", "im"], mask=pa.array(missing))
+
+    return run(re, im, delay.cast("double"))

@@ -126,8 +126,8 @@ def time_to_frequency(df: DataFrame, taps: int, n_fft: int | None = None, normal
     bins = n_fft or taps
     factor = F.lit(1.0 / bins ** 0.5 if normalize else 1.0)
     for c in [c for c in df.columns if c.startswith("inputs")]:
-        df = df.withColumn("_cfr", F.zip_with(F.col(c)[0], F.col(c)[1], lambda re, im: arrays.dft(re, im, taps, bins)))
-        part = lambda name: F.transform("_cfr", lambda z: F.transform(z[name], lambda v: v * factor))
+        df = df.withColumn("_cfr", arrays.dft_rows(F.col(c)[0], F.col(c)[1], taps, bins))
+        part = lambda name: F.transform(F.col("_cfr")[name], lambda z: F.transform(z, lambda v: v * factor))
         df = df.withColumn(c, F.array(part("re"), part("im"))).drop("_cfr")
     return df
 

@@ -65,6 +65,22 @@ def test_whole_delay_is_rotation_and_delay_back_is_identity(vectors):
         np.testing.assert_allclose(np.stack(back.toPandas().sort_values("id")["x"]), x[:, :5], atol=1e-9)
 
 
+def test_transforms_keep_missing_antennas_and_taps(spark):
+    rows = [(1, [[1.0, 2.0, 3.0], None], [[0.5, 0.0, -1.0], None], 1.0), (2, [[1.0, None, 3.0], [4.0, 5.0, 6.0]], [[0.0, 0.0, 0.0], [1.0, 1.0, 1.0]], None),
+            (3, None, None, 0.5), (4, [[7.0, 8.0, 9.0]], [[0.0, 0.0, 0.0]], 0.5)]
+    df = spark.createDataFrame(rows, "id int, x array<array<double>>, y array<array<double>>, delay double").repartition(2)
+    got = {r["id"]: r["z"] for r in df.select("id", arrays.dft_rows(F.col("x"), F.col("y"), 3, 5).alias("z")).collect()}
+    want = np.fft.fft(np.array([1 + 0.5j, 2, 3 - 1j]), n=5)
+    np.testing.assert_allclose(np.array(got[1]["re"][0]) + 1j * np.array(got[1]["im"][0]), want, atol=1e-12)
+    assert got[1]["re"][1] is None and got[2]["re"][0] == [None] * 5 and got[3]["re"] is None and len(got[4]["im"]) == 1
+    np.testing.assert_allclose(np.array(got[2]["im"][1]), np.fft.fft(np.array([4, 5, 6]) + 1j, n=5).imag, atol=1e-12)
+    first = df.select("id", F.get("x", F.lit(0)).alias("x"), F.get("y", F.lit(0)).alias("y"), "delay")
+    moved = {r["id"]: r["z"] for r in first.select("id", arrays.delay_taps(F.col("x"), F.col("y"), F.col("delay"), 3).alias("z")).collect()}
+    assert moved[2] is None and moved[3] is None
+    np.testing.assert_allclose(moved[1]["re"], [3.0, 1.0, 2.0], atol=1e-12)
+    assert first.limit(0).select(arrays.dft(F.col("x"), F.col("y"), 3).alias("z")).count() == 0
+
+
 def test_condensed_index_counts_the_upper_triangle(spark):
     n = 4
     pairs = [(i, j) for i in range(n) for j in range(i + 1, n)]
