@@ -40,6 +40,15 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``stored`` wrote and nothing reads any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bucketed(df: DataFrame, key: str, name: str = "table") -> DataFrame:
     """``stored`` in buckets of ``key``, as many as a shuffle has partitions: a join by the key moves the other side only.
 

@@ -19,17 +19,17 @@ where it can tell something, and in bounded parts:
 
 from __future__ import annotations
 
-import bz2
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kartograf.llm.base import hollow, solid, stored, typed
+from kartograf.llm.base import bucketed, dropped, hollow, solid, stored, typed
 
 LEAST = 50  # bytes of a string
 GRAM = 18  # bytes of an anchor
@@ -38,6 +38,7 @@ CHUNK = 60_000  # string starts of a chunk of a document: their places take 16 b
 BLOCK = 8_000_000  # bytes of a block
 HOT = 1_000  # documents from which on an anchor's strings are dealt out by themselves
 PART = 4_000  # pieces whose transform is built together
+SALTS = 32  # tasks that share the copies of a text, where they are joined
 #: A table of ids of up to this many rows is sent to all executors; a larger one is joined.
 MOST_BROADCAST_IDS = 1_000_000
 _A, _B, _C, _D = (np.uint64(v) for v in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
@@ -146,8 +147,16 @@ _DOC = "kind string, uid bigint, id bigint, n_bytes bigint, sha string, n_chunks
 _DOC_COLUMNS = [f.split()[0] for f in _DOC.split(", ")]
 
 
+def _packed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def _unpacked(blob: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(blob)
+
+
 def _blocks(chunk: int, block: int):
-    """Documents, and compressed blocks of their chunks."""
+    """Documents, and compressed blocks of their chunks; both carry the block's number."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pid, number, count = TaskContext.get().partitionId(), 0, 0
@@ -155,7 +164,8 @@ def _blocks(chunk: int, block: int):
 
         def flush():
             lists = [[m[i] for m in meta] for i in range(5)]
-            rows = [*docs, ("block", None, None, None, None, None, (pid << 24) + number, bz2.compress(b"".join(parts)), *lists)]
+            at = (pid << 24) + number
+            rows = [*((*d, at, *(None,) * 6) for d in docs), ("block", None, None, None, None, None, at, _packed(b"".join(parts)), *lists)]
             return typed(rows, _DOC_COLUMNS, {"uid", "id", "n_bytes", "n_chunks", "block"})
 
         for batch in batches:
@@ -164,7 +174,7 @@ def _blocks(chunk: int, block: int):
                 data = b"" if copy else bytes(text)
                 uid, count = (pid << 36) + count, count + 1
                 chunks = 0 if copy else max(1, -(-max(0, len(data) - LEAST + 1) // chunk))
-                docs.append(("doc", uid, doc, n, sha, chunks, *(None,) * 7))
+                docs.append(("doc", uid, doc, n, sha, chunks))
                 for c in range(chunks if len(data) >= LEAST else 0):
                     part = data[c * chunk : (c + 1) * chunk + LEAST - 1]
                     parts.append(part)
@@ -183,7 +193,7 @@ def _blocks(chunk: int, block: int):
 
 
 def _parts(blob: bytes, lens) -> Iterator[bytes]:
-    data, at = bz2.decompress(blob), 0
+    data, at = _unpacked(blob), 0
     for n in lens:
         yield data[at : at + n]
         at += n
@@ -239,7 +249,7 @@ def _shared(hot: int):
     return run
 
 
-_CUT = "kind string, shard int, block bigint, uid bigint, chunk int, data binary, meta binary, texts binary"
+_CUT = "kind string, shard int, block bigint, uid bigint, chunk int, data binary, meta binary"
 _CUT_COLUMNS = [f.split()[0] for f in _CUT.split(", ")]
 #: Of a piece: hash of the anchor (or string), number in its block, smallest document of the block, length.
 _META = np.dtype([("hash", "<u8"), ("number", "<i4"), ("doc", "<i8"), ("size", "<u1")])
@@ -248,7 +258,7 @@ _OCCURS = np.dtype([("number", "<i4"), ("part", "<i4"), ("start", "<i4")])
 
 
 def _pieces(shards: int):
-    """Distinct pieces of each block by shard, where they occur, and the texts in which they do."""
+    """Distinct pieces of each block by shard, where they occur, and the chunks of long texts."""
 
     def run(batches):
         for batch in batches:
@@ -257,16 +267,15 @@ def _pieces(shards: int):
                 marked.sort()
                 shared, hot = marked >> np.uint64(1), (marked & np.uint64(1)).astype(bool)
                 seen: dict[bytes, int] = {}
-                metas, occurs, bodies, rows, texts, sizes = [], [], [], [], [], []
+                metas, occurs, bodies, rows = [], [], [], []
                 for k, part in enumerate(_parts(blob, lens)):
                     h, first, last = anchors(part)
                     at = np.searchsorted(shared, h) if len(shared) else np.zeros(len(h), dtype=np.int64)
                     hit = (at < len(shared)) & (shared[np.minimum(at, len(shared) - 1)] == h) if len(shared) else np.zeros(len(h), dtype=bool)
-                    doc, any_here = int(ids[k]), False
+                    doc = int(ids[k])
                     for i in np.flatnonzero(hit).tolist():
                         a, b = int(first[i]), int(last[i])
                         cut = [(s, s + LEAST) for s in range(a, b + 1)] if hot[at[i]] else [(a, b + LEAST)]
-                        any_here = True
                         for s, e in cut:
                             body = part[s:e]
                             number = seen.get(body)
@@ -280,16 +289,13 @@ def _pieces(shards: int):
                             occurs.append((number, k, s))
                     if many[k] > 1:  # all chunks of a long text will be needed if one loses anything
                         own = part if chunks[k] == many[k] - 1 else part[: 1 - LEAST]
-                        rows.append(("text", None, None, int(uids[k]), int(chunks[k]), bz2.compress(own), None, None))
-                    elif any_here:
-                        texts.append(part)
-                    sizes.append(len(part) if any_here and many[k] == 1 else 0)
+                        rows.append(("text", None, None, int(uids[k]), int(chunks[k]), _packed(own), None))
                 if metas:
                     meta = np.array([tuple(m) for m in metas], dtype=_META)
                     for s, own in _sharded(np.arange(len(meta)), meta["hash"], shards):
-                        rows.append(("pieces", s, block, None, None, b"".join(bodies[i] for i in own.tolist()), meta[own].tobytes(), None))
-                    table = [np.asarray(v, dtype=np.int64) for v in (uids, ids, chunks, many, sizes)]
-                    rows.append(("occurs", None, block, None, None, np.array(occurs, dtype=_OCCURS).tobytes(), np.stack(table).tobytes(), bz2.compress(b"".join(texts))))
+                        rows.append(("pieces", s, block, None, None, b"".join(bodies[i] for i in own.tolist()), meta[own].tobytes()))
+                    table = [np.asarray(v, dtype=np.int64) for v in (uids, ids, chunks, many, lens)]
+                    rows.append(("occurs", None, block, None, None, np.array(occurs, dtype=_OCCURS).tobytes(), np.stack(table).tobytes()))
                 yield typed(rows, _CUT_COLUMNS, {"shard", "block", "uid", "chunk"})
 
     return run
@@ -349,7 +355,7 @@ def _removed(chunk: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for data, raw, texts, answers in zip(batch["data"], batch["meta"], batch["texts"], batch["runs"]):
+            for data, raw, blob, answers in zip(batch["data"], batch["meta"], batch["blob"], batch["runs"]):
                 occurs, table = np.frombuffer(data, dtype=_OCCURS), np.frombuffer(raw, dtype=np.int64).reshape(5, -1)
                 runs = np.concatenate([np.frombuffer(a, dtype=_RUNS) for a in answers])
                 runs = runs[np.argsort(runs["number"], kind="stable")]
@@ -365,7 +371,7 @@ def _removed(chunk: int):
                 order = np.argsort(part, kind="stable")
                 part, spans = part[order], spans[order]
                 at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.empty(0, dtype=np.int64)
-                body, ends, rows = bz2.decompress(texts), np.cumsum(table[4]), []
+                body, ends, rows = _unpacked(blob), np.cumsum(table[4]), []
                 for k, own in zip(part[at].tolist(), np.split(spans, at[1:]) if len(at) else []):
                     if table[3][k] > 1:
                         rows.append((int(table[0][k]), own.tobytes(), None, None, None, None))
@@ -398,7 +404,7 @@ def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for uid, texts, spans in zip(batch["uid"], batch["texts"], batch["spans"]):
-            data = b"".join(bz2.decompress(t) for t in texts)
+            data = b"".join(_unpacked(t) for t in texts)
             rows.append((uid, *_cut_out(data, np.concatenate([np.frombuffer(s, dtype=np.int64).reshape(-1, 2) for s in spans]))))
         yield pd.DataFrame(rows, columns=["uid", "n_removed", "n_spans", "sha", "removed"])
 
@@ -415,23 +421,35 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     shards = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(solid(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")).withColumn("sha", F.sha2("text", 256))
     # of equal texts only those of the smallest id are searched: the others lose all their strings to it
-    first_ids = rows.groupBy("sha").agg(F.min("id").alias("_first"), F.count("*").alias("m")).filter("m > 1").select(F.col("sha").alias("_sha"), "_first")
-    later = stored(rows.select("id", "sha").join(stored(first_ids, "copies"), (F.col("sha") == F.col("_sha")) & (F.col("id") > F.col("_first"))).select(
-        F.col("id").alias("_id"), F.col("sha").alias("_sha")).distinct(), "later")
+    digests = stored(rows.select("id", "sha"), "digests")
+    copied = stored(digests.groupBy("sha").agg(F.min("id").alias("_first"), F.count("*").alias("m")).filter("m > 1").select(
+        F.col("sha").alias("_sha"), "_first"), "copies")
+    same = (F.col("sha") == F.col("_sha")) & (F.col("id") > F.col("_first"))
+    if copied.count() <= MOST_BROADCAST_IDS:
+        found = digests.join(F.broadcast(copied), same)
+    else:  # a text of very many copies meets its row in several tasks
+        salt = F.pmod(F.col("id"), F.lit(SALTS))
+        found = digests.withColumn("_salt", salt).join(
+            copied.withColumn("_at", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), same & (F.col("_salt") == F.col("_at")))
+    later = stored(found.select(F.col("id").alias("_id"), F.col("sha").alias("_sha")).distinct(), "later")
+    dropped(digests, copied)
     marked = F.broadcast(later) if later.count() <= MOST_BROADCAST_IDS else later
     rows = rows.join(marked, (F.col("id") == F.col("_id")) & (F.col("sha") == F.col("_sha")), "left").select(
         "id", F.when(F.col("_id").isNull(), F.col("text")).alias("text"), "sha", F.length("text").cast("bigint").alias("n"))
-    first = stored(rows.mapInPandas(_blocks(chunk, block), _DOC), "blocks")
+    # blocks lie in buckets of their number: what is found for them goes to them
+    first = bucketed(rows.mapInPandas(_blocks(chunk, block), _DOC), "block", "blocks")
+    dropped(later)
     known = first.filter("kind = 'doc'").select("uid", "id", "n_bytes", "sha", (F.col("n_chunks") == 0).alias("copy"))
     blocks = first.filter("kind = 'block'").select("block", "blob", "uids", "ids", "chunks", "chunk_counts", "lens")
     counted = blocks.select("block", "blob", "lens").mapInPandas(_counted(shards), "shard int, block bigint, data binary, counts binary")
     answers = counted.groupBy("shard").applyInPandas(_shared(hot), "block bigint, data binary").groupBy("block").agg(F.collect_list("data").alias("known"))
     answers = answers.withColumnRenamed("block", "_block")
-    cut = stored(blocks.join(answers, F.col("block") == F.col("_block")).mapInPandas(_pieces(shards), _CUT), "pieces")
+    cut = stored(blocks.hint("merge").join(answers, F.col("block") == F.col("_block")).mapInPandas(_pieces(shards), _CUT), "pieces")
     runs = cut.filter("kind = 'pieces'").select("shard", "block", "data", "meta").groupBy("shard").applyInPandas(_sorted_strings(part), "block bigint, runs binary")
     runs = runs.groupBy("block").agg(F.collect_list("runs").alias("runs")).withColumnRenamed("block", "_block")
     result = "uid bigint, n_removed bigint, n_spans bigint, sha string, removed array<bigint>"
-    found = cut.filter("kind = 'occurs'").select("block", "data", "meta", "texts").join(runs, F.col("block") == F.col("_block")).mapInPandas(
+    places = cut.filter("kind = 'occurs'").select(F.col("block").alias("_of"), "data", "meta")
+    found = blocks.select("block", "blob").hint("merge").join(runs, F.col("block") == F.col("_block")).join(places, F.col("block") == F.col("_of")).mapInPandas(
         _removed(chunk), result.replace("uid bigint,", "uid bigint, spans binary,"))
     found = stored(found, "spans")
     spans = found.filter("spans IS NOT NULL").groupBy("uid").agg(F.collect_list("spans").alias("spans"))
