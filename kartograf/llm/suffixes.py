@@ -9,7 +9,7 @@ where it can tell something, and in bounded parts:
    equal strings have the same anchor at the same place.  Grams are counted over all documents;
    strings whose anchor no other document has are done with.
 2. Consecutive strings of one anchor are one piece, 82 bytes at most.  Pieces are merged per block of
-   documents and dealt out by anchor.  An anchor of very many documents is dealt out by its strings
+   documents and dealt out by anchor.  An anchor of very many different pieces is dealt out by its strings
    instead, so that what surrounds a common passage does not gather in one task.
 3. In each part the transform of all pieces is built column-wise: every round inserts one symbol of
    each piece and updates the transform and the common prefixes.  Runs of common prefixes of
@@ -36,7 +36,7 @@ GRAM = 18  # bytes of an anchor
 SPREAD = LEAST - GRAM + 1  # grams of a string
 CHUNK = 60_000  # string starts of a chunk of a document: their places take 16 bits
 BLOCK = 8_000_000  # bytes of a block
-HOT = 1_000  # documents from which on an anchor's strings are dealt out by themselves
+HOT = 1_000  # different pieces from which on an anchor's strings are dealt out by themselves
 PART = 4_000  # pieces whose transform is built together
 SALTS = 32  # tasks that share the copies of a text, where they are joined
 #: A table of ids of up to this many rows is sent to all executors; a larger one is joined.
@@ -44,14 +44,15 @@ MOST_BROADCAST_IDS = 1_000_000
 _A, _B, _C, _D = (np.uint64(v) for v in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
 
-def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pieces of up to ``CHUNK`` string starts: 48-bit hash of the anchor, first and last string start.
+def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of up to ``CHUNK`` string starts: 48-bit hash of the anchor, first and last string start, 16 bits of what the piece says.
 
     Of equal grams the leftmost is the anchor, so it depends on the string alone.
     """
     n = len(data)
     if n < LEAST:
-        return (np.empty(0, dtype=np.uint64),) + (np.empty(0, dtype=np.int64),) * 2
+        none, at = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+        return none, at, at, none
     words = np.empty(n - 7, dtype=np.uint64)
     for k in range(8):
         words[k::8] = np.frombuffer(data, dtype="<u8", count=(n - k) // 8, offset=k)
@@ -64,7 +65,10 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         width *= 2
     best = np.minimum(best[: n - LEAST + 1], v[SPREAD - 1 :])
     first = np.flatnonzero(np.concatenate([[True], best[1:] != best[:-1]]))
-    return best[first] >> np.uint64(16), first, np.append(first[1:], len(best)) - 1
+    last = np.append(first[1:], len(best)) - 1
+    sums = np.append(np.zeros(1, dtype=np.uint64), np.cumsum(h * _B))
+    says = ((sums[last + SPREAD] - sums[first]) * _C) >> np.uint64(48)  # of all grams of the piece
+    return best[first] >> np.uint64(16), first, last, says
 
 
 # --- the transform ----------------------------------------------------------------------------------------
@@ -219,29 +223,41 @@ def _from_six(data: bytes) -> np.ndarray:
 
 
 def _counted(shards: int):
-    """(shard, block, data, counts): each anchor of a block and the number of its documents that have it (at most 255)."""
+    """(shard, block, data, counts): each anchor of a block, and the numbers of its documents and of its different pieces that have it.
+
+    Documents count up to 255, pieces up to 65,535; of pieces the low bytes come first, then the high ones.
+    """
 
     def run(batches):
         for batch in batches:
             for block, blob, lens in zip(batch["block"], batch["blob"], batch["lens"]):
-                own = [np.unique(anchors(p)[0]) for p in _parts(blob, lens)]
-                hashes, counts = np.unique(np.concatenate([*own, np.empty(0, np.uint64)]), return_counts=True)
-                counts = np.minimum(counts, 255).astype(np.uint8)
-                rows = [(s, block, _six(hashes[at]), counts[at].tobytes()) for s, at in _sharded(np.arange(len(hashes)), hashes, shards)]
+                none, found = np.empty(0, np.uint64), [anchors(p) for p in _parts(blob, lens)]
+                hashes, counts = np.unique(np.concatenate([*(np.unique(f[0]) for f in found), none]), return_counts=True)
+                pieces = np.unique(np.concatenate([*((f[0] << np.uint64(16)) | f[3] for f in found), none])) >> np.uint64(16)
+                pieces = np.minimum(np.unique(pieces, return_counts=True)[1], 65_535)
+                counts = np.stack([np.minimum(counts, 255), pieces & 255, pieces >> 8]).astype(np.uint8)
+                rows = [(s, block, _six(hashes[at]), counts[:, at].tobytes()) for s, at in _sharded(np.arange(len(hashes)), hashes, shards)]
                 yield pd.DataFrame(rows, columns=["shard", "block", "data", "counts"])
 
     return run
 
 
 def _shared(hot: int):
-    """Per block: its anchors that more than one document has; the lowest bit marks those of more than ``hot``."""
+    """Per block: its anchors that more than one document has; the lowest bit marks the hot ones.
+
+    A passage that is the same in all documents is one piece in each block and merges; what makes an
+    anchor hot is different pieces in a block (more than ``hot`` besides the first of each), or that
+    very many blocks have it (64 ``hot``).
+    """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         entries = [_from_six(d) for d in frame["data"]]
         whole = np.concatenate(entries)
         _, inverse = np.unique(whole, return_inverse=True)
-        total = np.bincount(inverse, weights=np.concatenate([np.frombuffer(c, dtype=np.uint8) for c in frame["counts"]]))[inverse]
-        marked = (whole << np.uint64(1)) | (total > hot).astype(np.uint64)
+        counts = np.concatenate([np.frombuffer(c, dtype=np.uint8).reshape(3, -1) for c in frame["counts"]], axis=1).astype(np.float64)
+        summed = lambda values: np.bincount(inverse, weights=values)[inverse]
+        total, others, blocks = summed(counts[0]), summed(counts[1] + 256 * counts[2] - 1), summed(np.ones(len(whole)))
+        marked = (whole << np.uint64(1)) | ((others > hot) | (blocks > 64 * hot)).astype(np.uint64)
         ends = np.cumsum([len(e) for e in entries])[:-1]
         found = [v[t > 1].tobytes() for v, t in zip(np.split(marked, ends), np.split(total, ends))]
         return pd.DataFrame({"block": frame["block"], "data": found})
@@ -269,7 +285,7 @@ def _pieces(shards: int):
                 seen: dict[bytes, int] = {}
                 metas, occurs, bodies, rows = [], [], [], []
                 for k, part in enumerate(_parts(blob, lens)):
-                    h, first, last = anchors(part)
+                    h, first, last, _ = anchors(part)
                     at = np.searchsorted(shared, h) if len(shared) else np.zeros(len(h), dtype=np.int64)
                     hit = (at < len(shared)) & (shared[np.minimum(at, len(shared) - 1)] == h) if len(shared) else np.zeros(len(h), dtype=bool)
                     doc = int(ids[k])

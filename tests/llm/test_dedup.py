@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from kartograf.llm import connect, exact_dedup, jaccard, suffixes
@@ -226,3 +227,17 @@ def test_transform_and_common_prefixes():
         assert bwt.tolist() == left
         common = [next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) for (a, _), (b, _) in zip(want, want[1:])]
         assert lcp.tolist() == [0, *common]
+
+
+def test_different_pieces_make_an_anchor_hot():
+    """One template line very often in few documents is hot; a passage that is one piece in every block is not."""
+    line = lambda n: b"the same words stand at the head of every line %04d and something after them\n" % n
+    often = b"".join(line(n) for n in range(300))
+    copied = b"".join(hashlib.sha256(b"%d" % n).hexdigest().encode() for n in range(40))
+    blocks = [[often, copied], [often[: len(often) // 2], copied]]
+    frame = pd.DataFrame([{"block": b, "blob": suffixes._packed(b"".join(parts)), "lens": [len(p) for p in parts]} for b, parts in enumerate(blocks)])
+    counted = pd.concat(list(suffixes._counted(1)(iter([frame]))))
+    marked = np.concatenate([np.frombuffer(d, dtype=np.uint64) for d in suffixes._shared(100)(counted)["data"]])
+    hot = set((marked[marked & np.uint64(1) == 1] >> np.uint64(1)).tolist())
+    assert hot & set(suffixes.anchors(often)[0].tolist())
+    assert not hot & set(suffixes.anchors(copied)[0].tolist())
