@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kartograf.operators import evaluation as E
 from kartograf.operators import pairs
-from kartograf.operators.gaussian import thin_path
+from kartograf.operators.gaussian import thin_path, with_hops
 from kartograf.operators.pairs import Dissimilarity
 
 
@@ -82,3 +82,12 @@ def test_thinned_path_reads_its_nodes_once(spark):
     assert [r["t"] for r in out.collect()] == [[9, 8, 7, 5], [1], None, [3, 1]]
     plan = out._jdf.queryExecution().analyzed().toString()
     assert plan.count("reverse(") == 1 and plan.upper().count("SQRT(") == 1
+
+
+def test_graph_and_rows_are_not_broadcast(spark):
+    points = spark.createDataFrame([(i, float(i), [float(i % 3)]) for i in range(9)], "id bigint, ts double, f array<double>")
+    edges = spark.createDataFrame([(i, i + 1, 1, 0.5) for i in range(8)], "src bigint, dst bigint, choice int, d double")
+    paths = spark.createDataFrame([(1, [0, 1, 2]), (2, [5])], "path_id bigint, nodes array<bigint>")
+    hops = with_hops(paths, edges, points)
+    assert "BroadcastHashJoin" not in hops._jdf.queryExecution().executedPlan().toString()
+    assert {r["path_id"]: [(s["node"], s["choice"]) for s in r["steps"]] for r in hops.collect()} == {1: [(0, 1), (1, 1), (2, None)], 2: [(5, None)]}
