@@ -10,11 +10,13 @@ where it can tell something, and in bounded parts:
    strings whose anchor no other document has are done with.
 2. Consecutive strings of one anchor are one piece, 82 bytes at most.  Pieces are merged per block of
    documents and dealt out by anchor.  An anchor of very many different pieces is dealt out by its strings
-   instead, so that what surrounds a common passage does not gather in one task.
+   instead, so that what surrounds a common passage does not gather in one task; fewer, but more than
+   a part, are met string by string in their task.
 3. In each part the transform of all pieces is built column-wise: every round inserts one symbol of
    each piece and updates the transform and the common prefixes.  Runs of common prefixes of
    ``LEAST`` or more are equal strings; each gets the smallest document id that has it.  A piece
-   whose anchor no other piece has is alone with its strings and needs no sorting.
+   whose anchor no other piece has, or none of whose strings has a hash that another piece has, is
+   alone with its strings and needs no sorting.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ GRAM = 18  # bytes of an anchor
 SPREAD = LEAST - GRAM + 1  # grams of a string
 CHUNK = 60_000  # string starts of a chunk of a document: their places take 16 bits
 BLOCK = 8_000_000  # bytes of a block
-HOT = 1_000  # different pieces from which on an anchor's strings are dealt out by themselves
+HOT = 64_000  # pieces (5 MB at most) from which on an anchor's strings are dealt out by themselves
 PART = 4_000  # pieces whose transform is built together
 SALTS = 32  # tasks that share the copies of a text, where they are joined
 #: A table of ids of up to this many rows is sent to all executors; a larger one is joined.
@@ -83,9 +85,11 @@ def collection_bwt(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
     """
     m = len(pieces)
     lens = np.array([len(p) for p in pieces], dtype=np.int64)
-    data = np.frombuffer(b"".join(pieces), dtype=np.uint8).astype(np.uint16) + 1
+    data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+    symbol = np.uint8 if data.max(initial=0) < 255 else np.uint16  # of UTF-8, one byte: it is sorted in one pass
+    data = data.astype(symbol) + symbol(1)
     ends = np.cumsum(lens)
-    bwt = np.where(lens > 0, data[np.maximum(ends - 1, 0)], 0).astype(np.uint16) if len(data) else np.zeros(m, dtype=np.uint16)
+    bwt = np.where(lens > 0, data[np.maximum(ends - 1, 0)], 0).astype(symbol) if len(data) else np.zeros(m, dtype=symbol)
     lcp, piece, size, place = np.zeros(m, dtype=np.uint8), np.arange(m, dtype=np.int32), np.zeros(m, dtype=np.uint8), np.arange(m)
     for j in range(1, int(lens.max(initial=0)) + 1):
         n = len(bwt)
@@ -247,7 +251,7 @@ def _shared(hot: int):
 
     A passage that is the same in all documents is one piece in each block and merges; what makes an
     anchor hot is different pieces in a block (more than ``hot`` besides the first of each), or that
-    very many blocks have it (64 ``hot``).
+    more than ``hot`` blocks have it.
     """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -257,7 +261,7 @@ def _shared(hot: int):
         counts = np.concatenate([np.frombuffer(c, dtype=np.uint8).reshape(3, -1) for c in frame["counts"]], axis=1).astype(np.float64)
         summed = lambda values: np.bincount(inverse, weights=values)[inverse]
         total, others, blocks = summed(counts[0]), summed(counts[1] + 256 * counts[2] - 1), summed(np.ones(len(whole)))
-        marked = (whole << np.uint64(1)) | ((others > hot) | (blocks > 64 * hot)).astype(np.uint64)
+        marked = (whole << np.uint64(1)) | ((others > hot) | (blocks > hot)).astype(np.uint64)
         ends = np.cumsum([len(e) for e in entries])[:-1]
         found = [v[t > 1].tobytes() for v, t in zip(np.split(marked, ends), np.split(total, ends))]
         return pd.DataFrame({"block": frame["block"], "data": found})
@@ -265,135 +269,216 @@ def _shared(hot: int):
     return run
 
 
-_CUT = "kind string, shard int, block bigint, uid bigint, chunk int, data binary, meta binary"
+#: Pieces of a block that one shard gets, and where they occur; numbers and bodies are packed.
+_CUT = "shard int, block bigint, keys binary, meta binary, data binary, occurs binary"
 _CUT_COLUMNS = [f.split()[0] for f in _CUT.split(", ")]
-#: Of a piece: hash of the anchor (or string), number in its block, smallest document of the block, length.
-_META = np.dtype([("hash", "<u8"), ("number", "<i4"), ("doc", "<i8"), ("size", "<u1")])
-#: Of an occurrence: number of the piece, number of the chunk in its block, first string start.
-_OCCURS = np.dtype([("number", "<i4"), ("part", "<i4"), ("start", "<i4")])
+_WHOLE = {1: "<u1", 4: "<i4", 8: "<i8"}
+
+
+def _planes(*columns: tuple[np.ndarray, int]) -> bytes:
+    """Whole numbers of 1, 4 or 8 bytes, packed byte by byte: of each column first all lowest bytes, last all highest."""
+    flat = [np.ascontiguousarray(v.astype(_WHOLE[width])).view(np.uint8).reshape(-1, width).T.tobytes() for v, width in columns]
+    return _packed(b"".join(flat))
+
+
+def _from_planes(packed: bytes, *widths: int) -> list[np.ndarray]:
+    data, at, out = np.frombuffer(_unpacked(packed), dtype=np.uint8), 0, []
+    n = len(data) // sum(widths)
+    for width in widths:
+        out.append(np.ascontiguousarray(data[at : at + n * width].reshape(width, n).T).view(_WHOLE[width]).ravel())
+        at += n * width
+    return out
+
+
+def _steps(values: np.ndarray) -> np.ndarray:
+    """Differences of neighbours, small where values ascend; their running sum is the values."""
+    return np.diff(values, prepend=0)
+
+
+def _dealt(shard: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in order of their shard, and where each shard begins."""
+    order = np.argsort(shard, kind="stable")
+    return order, np.searchsorted(shard[order], np.arange(shards + 1))
 
 
 def _pieces(shards: int):
-    """Distinct pieces of each block by shard, where they occur, and the chunks of long texts."""
+    """Distinct pieces of each block by shard, and where they occur: number of the piece in the row, of the chunk in its block, first string start."""
 
     def run(batches):
         for batch in batches:
-            for block, blob, uids, ids, chunks, many, lens, known in zip(*(batch[c] for c in ("block", "blob", "uids", "ids", "chunks", "chunk_counts", "lens", "known"))):
+            for block, blob, ids, lens, known in zip(*(batch[c] for c in ("block", "blob", "ids", "lens", "known"))):
                 marked = np.concatenate([np.frombuffer(k, dtype=np.uint64) for k in known] + [np.empty(0, np.uint64)])
                 marked.sort()
                 shared, hot = marked >> np.uint64(1), (marked & np.uint64(1)).astype(bool)
                 seen: dict[bytes, int] = {}
-                metas, occurs, bodies, rows = [], [], [], []
+                keys, docs, numbers, places, starts, rows = [], [], [], [], [], []
                 for k, part in enumerate(_parts(blob, lens)):
                     h, first, last, _ = anchors(part)
                     at = np.searchsorted(shared, h) if len(shared) else np.zeros(len(h), dtype=np.int64)
                     hit = (at < len(shared)) & (shared[np.minimum(at, len(shared) - 1)] == h) if len(shared) else np.zeros(len(h), dtype=bool)
-                    doc = int(ids[k])
-                    for i in np.flatnonzero(hit).tolist():
-                        a, b = int(first[i]), int(last[i])
-                        cut = [(s, s + LEAST) for s in range(a, b + 1)] if hot[at[i]] else [(a, b + LEAST)]
-                        for s, e in cut:
+                    doc, hit = int(ids[k]), np.flatnonzero(hit)
+                    for a, b, key, strings in zip(first[hit].tolist(), last[hit].tolist(), h[hit].tolist(), hot[at[hit]].tolist()):
+                        for s, e in [(s, s + LEAST) for s in range(a, b + 1)] if strings else [(a, b + LEAST)]:
                             body = part[s:e]
                             number = seen.get(body)
                             if number is None:
-                                number = seen[body] = len(metas)
-                                key = int(h[i]) if len(cut) == 1 and not hot[at[i]] else int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "little")
-                                metas.append([key, number, doc, e - s])
-                                bodies.append(body)
-                            elif doc < metas[number][2]:
-                                metas[number][2] = doc
-                            occurs.append((number, k, s))
-                    if many[k] > 1:  # all chunks of a long text will be needed if one loses anything
-                        own = part if chunks[k] == many[k] - 1 else part[: 1 - LEAST]
-                        rows.append(("text", None, None, int(uids[k]), int(chunks[k]), _packed(own), None))
-                if metas:
-                    meta = np.array([tuple(m) for m in metas], dtype=_META)
-                    for s, own in _sharded(np.arange(len(meta)), meta["hash"], shards):
-                        rows.append(("pieces", s, block, None, None, b"".join(bodies[i] for i in own.tolist()), meta[own].tobytes()))
-                    table = [np.asarray(v, dtype=np.int64) for v in (uids, ids, chunks, many, lens)]
-                    rows.append(("occurs", None, block, None, None, np.array(occurs, dtype=_OCCURS).tobytes(), np.stack(table).tobytes()))
-                yield typed(rows, _CUT_COLUMNS, {"shard", "block", "uid", "chunk"})
+                                number = seen[body] = len(docs)
+                                keys.append(int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "little") if strings else key)
+                                docs.append(doc)
+                            elif doc < docs[number]:
+                                docs[number] = doc
+                            numbers.append(number)
+                            places.append(k)
+                            starts.append(s)
+                if docs:
+                    bodies, keys, docs = list(seen), np.array(keys, dtype=np.uint64), np.array(docs, dtype=np.int64)
+                    numbers, places, starts = (np.array(v, dtype=np.int64) for v in (numbers, places, starts))
+                    shard = (((keys * _A) >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
+                    order, begins = _dealt(shard, shards)
+                    within = np.empty(len(order), dtype=np.int64)
+                    within[order] = np.arange(len(order)) - begins[shard[order]]
+                    found, founds = _dealt(shard[numbers], shards)
+                    for s in np.flatnonzero(np.diff(begins)).tolist():
+                        own, at = order[begins[s] : begins[s + 1]], found[founds[s] : founds[s + 1]]
+                        cut = [bodies[i] for i in own.tolist()]
+                        sizes = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
+                        rows.append((s, block, keys[own].astype(np.uint32).tobytes(), _planes((_steps(docs[own]), 8), (sizes, 1)), _packed(b"".join(cut)),
+                                     _planes((_steps(within[numbers[at]]), 4), (_steps(places[at]), 4), (starts[at], 4))))
+                yield pd.DataFrame(rows, columns=_CUT_COLUMNS)
 
     return run
 
 
-#: Of strings of a piece: number of the piece in its block, first and last string, smallest document.
-_RUNS = np.dtype([("number", "<i4"), ("first", "<u1"), ("last", "<u1"), ("doc", "<i8")])
+def _meeting(bodies: list[bytes]) -> np.ndarray:
+    """Whether a piece has a string that another piece of the list has, by 64-bit hashes: all such pieces, and hardly any other."""
+    lens = np.array([len(b) for b in bodies], dtype=np.int64)
+    counts, data = lens - LEAST + 1, b"".join(bodies)
+    piece = np.repeat(np.arange(len(bodies)), counts)
+    starts = np.arange(len(piece)) + np.repeat(np.cumsum(lens) - lens - np.cumsum(counts) + counts, counts)
+    words = np.empty(len(data) - 7, dtype=np.uint64)
+    for k in range(8):
+        words[k::8] = np.frombuffer(data, dtype="<u8", count=(len(data) - k) // 8, offset=k)
+    h = np.zeros(len(starts), dtype=np.uint64)
+    for k in (*range(0, LEAST - 8, 8), LEAST - 8):
+        h = (h ^ words[starts + k]) * _A
+        h ^= h >> np.uint64(32)
+    order = np.argsort(h, kind="stable")
+    h, piece, out = h[order], piece[order], np.zeros(len(bodies), dtype=bool)
+    met = (h[1:] == h[:-1]) & (piece[1:] != piece[:-1])  # pieces ascend among equal hashes
+    out[piece[1:][met]] = out[piece[:-1][met]] = True
+    return out
+
+
+def _by_strings(pieces: list[bytes], docs: np.ndarray, least: int = LEAST) -> list[np.ndarray]:
+    """What ``earliest`` gives, string by string: its time grows with the strings only, however many pieces share an anchor."""
+    seen: dict[bytes, int] = {}
+    own = [[seen.setdefault(p[s : s + least], len(seen)) for s in range(len(p) - least + 1)] for p in pieces]
+    counts = [len(o) for o in own]
+    every = np.array([k for o in own for k in o], dtype=np.int64)
+    smallest = np.full(len(seen), np.iinfo(np.int64).max)
+    np.minimum.at(smallest, every, np.repeat(docs, counts))
+    return np.split(smallest[every], np.cumsum(counts)[:-1])
 
 
 def _sorted_strings(part: int):
-    """A shard's pieces, equal ones merged, in parts of whole anchors; back come runs of strings with their earliest document."""
+    """A shard's pieces, equal ones merged, in parts of whole anchors; back come runs of strings with their earliest document, and the places.
+
+    Only pieces that can share a string with another piece are sorted: strings of the others have one document.
+    Where more than ``part`` such pieces have one anchor, their strings are met one by one.
+    """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         seen: dict[bytes, int] = {}
-        docs, keys, of, numbers = [], [], [], []
-        for data, raw in zip(frame["data"], frame["meta"]):
-            meta, at, own = np.frombuffer(raw, dtype=_META), 0, []
-            for key, doc, size in zip(meta["hash"].tolist(), meta["doc"].tolist(), meta["size"].tolist()):
-                body = data[at : at + size]
-                at += size
-                k = seen.setdefault(body, len(docs))
-                if k == len(docs):
-                    docs.append(doc)
-                    keys.append(key)
-                elif doc < docs[k]:
-                    docs[k] = doc
-                own.append(k)
-            of.append(own)
-            numbers.append(meta["number"])
-        bodies, docs = list(seen), np.array(docs, dtype=np.int64)
-        found: list = [None] * len(bodies)
-        keys = np.array(keys, dtype=np.uint64)
+        of, metas = [], []
+        for data, meta in zip(frame["data"], frame["meta"]):
+            steps, sizes = _from_planes(meta, 8, 1)
+            body, ends = _unpacked(data), np.cumsum(sizes, dtype=np.int64)
+            of.append(np.array([seen.setdefault(body[a:b], len(seen)) for a, b in zip((ends - sizes).tolist(), ends.tolist())], dtype=np.int64))
+            metas.append(np.cumsum(steps))
+        bodies, every = list(seen), np.concatenate(of)
+        docs = np.full(len(bodies), np.iinfo(np.int64).max)
+        np.minimum.at(docs, every, np.concatenate(metas))
+        keys = np.empty(len(bodies), dtype=np.uint32)
+        keys[every] = np.concatenate([np.frombuffer(k, dtype=np.uint32) for k in frame["keys"]])
         order = np.argsort(keys, kind="stable")
         lone = np.ones(len(order), dtype=bool)
         lone[1:] &= keys[order[1:]] != keys[order[:-1]]
         lone[:-1] &= keys[order[1:]] != keys[order[:-1]]
-        for k in order[lone].tolist():  # no other piece has its anchor, so none has a string of it
-            found[k] = [(0, len(bodies[k]) - LEAST, int(docs[k]))]
-        order, keys, start = order[~lone].tolist(), keys.tolist(), 0
+        order = order[~lone]  # no other piece has the anchor of the others, so none has a string of them
+        if len(order):
+            order = order[_meeting([bodies[k] for k in order.tolist()])]
+        # one run a piece, but for those that are sorted
+        plain = np.ones(len(bodies), dtype=bool)
+        plain[order] = False
+        plain = np.flatnonzero(plain)
+        lens = np.array([len(b) for b in bodies], dtype=np.int64)
+        found = [(plain, np.zeros(len(plain), dtype=np.int64), lens[plain] - LEAST, docs[plain])]
+        own_keys, start = keys[order], 0
         while start < len(order):
             end = min(start + part, len(order))
-            while end < len(order) and keys[order[end]] == keys[order[end - 1]]:
+            while end < len(order) and own_keys[end] == own_keys[end - 1]:
                 end += 1
             own = order[start:end]
-            for k, values in zip(own, earliest([bodies[k] for k in own], docs[own])):
-                cut = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-                found[k] = list(zip(cut.tolist(), (np.append(cut[1:], len(values)) - 1).tolist(), values[cut].tolist()))
+            cut = [bodies[k] for k in own.tolist()]
+            values = earliest(cut, docs[own]) if len(own) <= part else _by_strings(cut, docs[own])
+            counts = lens[own] - LEAST + 1
+            piece, at, values = np.repeat(own, counts), np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts), np.concatenate(values)
+            first = np.flatnonzero((at == 0) | np.concatenate([[True], values[1:] != values[:-1]]))
+            found.append((piece[first], at[first], at[np.append(first[1:], len(at)) - 1], values[first]))
             start = end
-        runs = [np.array([(n, a, b, d) for n, k in zip(ns.tolist(), ks) for a, b, d in found[k]], dtype=_RUNS).tobytes() for ns, ks in zip(numbers, of)]
-        return pd.DataFrame({"block": frame["block"], "runs": runs})
+        piece, first, last, doc = (np.concatenate(v) for v in zip(*found))
+        by = np.argsort(piece, kind="stable")
+        first, last, doc = first[by], last[by], doc[by]
+        begins = np.searchsorted(piece[by], np.arange(len(bodies) + 1))
+        answers = []
+        for own, places in zip(of, frame["occurs"]):
+            number, at = _spread(begins[own], begins[own + 1])
+            runs = _planes((_steps(number), 4), (first[at], 1), (last[at], 1), (_steps(doc[at]), 8))
+            answers.append(len(runs).to_bytes(4, "little") + runs + places)
+        return pd.DataFrame({"block": frame["block"], "answer": answers})
 
     return run
 
 
+def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All whole numbers of each range from low to high, and which range each is of."""
+    count = high - low
+    return np.repeat(np.arange(len(low)), count), np.arange(count.sum()) + np.repeat(low - np.cumsum(count) + count, count)
+
+
 def _removed(chunk: int):
-    """Byte ranges that an earlier document has, from the answers to a block: documents of one chunk are finished, others give (uid, spans)."""
+    """Byte ranges that an earlier document has, from the answers to a block: documents of one chunk are finished, others give each chunk's
+    text (all will be needed if one loses anything) and spans."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for data, raw, blob, answers in zip(batch["data"], batch["meta"], batch["blob"], batch["runs"]):
-                occurs, table = np.frombuffer(data, dtype=_OCCURS), np.frombuffer(raw, dtype=np.int64).reshape(5, -1)
-                runs = np.concatenate([np.frombuffer(a, dtype=_RUNS) for a in answers])
-                runs = runs[np.argsort(runs["number"], kind="stable")]
-                low, high = np.searchsorted(runs["number"], occurs["number"]), np.searchsorted(runs["number"], occurs["number"], side="right")
-                count = high - low
-                which = np.repeat(np.arange(len(occurs)), count)
-                run = runs[np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())]
-                part = occurs["part"][which]
-                gone = run["doc"] < table[1][part]
-                part, run, start = part[gone], run[gone], occurs["start"][which][gone].astype(np.int64)
-                start += table[2][part] * chunk
-                spans = np.stack([start + run["first"], start + run["last"] + LEAST], axis=1)
+            for blob, uids, ids, chunks, many, lens, answers in zip(*(batch[c] for c in ("blob", "uids", "ids", "chunks", "chunk_counts", "lens", "answers"))):
+                ids, chunks, lens = (np.asarray(v, dtype=np.int64) for v in (ids, chunks, lens))
+                parts, ranges = [np.empty(0, dtype=np.int64)], [np.empty((0, 2), dtype=np.int64)]
+                for answer in answers if answers is not None else ():
+                    at = 4 + int.from_bytes(answer[:4], "little")
+                    number, first, last, doc = _from_planes(answer[4:at], 4, 1, 1, 8)
+                    of, place, start = _from_planes(answer[at:], 4, 4, 4)
+                    number, doc, of, place = (np.cumsum(v, dtype=np.int64) for v in (number, doc, of, place))
+                    which, run = _spread(np.searchsorted(number, of), np.searchsorted(number, of, side="right"))
+                    part = place[which]
+                    gone = doc[run] < ids[part]
+                    part, run, start = part[gone], run[gone], start[which][gone].astype(np.int64)
+                    start += chunks[part] * chunk
+                    parts.append(part)
+                    ranges.append(np.stack([start + first[run], start + last[run] + LEAST], axis=1))
+                part, spans = np.concatenate(parts), np.concatenate(ranges)
                 order = np.argsort(part, kind="stable")
                 part, spans = part[order], spans[order]
-                at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.empty(0, dtype=np.int64)
-                body, ends, rows = _unpacked(blob), np.cumsum(table[4]), []
-                for k, own in zip(part[at].tolist(), np.split(spans, at[1:]) if len(at) else []):
-                    if table[3][k] > 1:
-                        rows.append((int(table[0][k]), own.tobytes(), None, None, None, None))
-                    else:
-                        rows.append((int(table[0][k]), None, *_cut_out(body[ends[k] - table[4][k] : ends[k]], own)))
-                yield typed(rows, ["uid", "spans", "n_removed", "n_spans", "sha", "removed"], {"n_removed", "n_spans"})
+                begins = np.searchsorted(part, np.arange(len(ids) + 1))
+                body, ends, rows = _unpacked(blob), np.cumsum(lens), []
+                for k, (a, b) in enumerate(zip(begins[:-1].tolist(), begins[1:].tolist())):
+                    if many[k] > 1:
+                        end = ends[k] if chunks[k] == many[k] - 1 else ends[k] - LEAST + 1
+                        rows.append((int(uids[k]), int(chunks[k]), spans[a:b].tobytes() if b > a else None, _packed(body[ends[k] - lens[k] : end]), None, None, None, None))
+                    elif b > a:
+                        rows.append((int(uids[k]), None, None, None, *_cut_out(body[ends[k] - lens[k] : ends[k]], spans[a:b])))
+                yield typed(rows, ["uid", "chunk", "spans", "text", "n_removed", "n_spans", "sha", "removed"], {"chunk", "n_removed", "n_spans"})
 
     return run
 
@@ -460,19 +545,18 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     counted = blocks.select("block", "blob", "lens").mapInPandas(_counted(shards), "shard int, block bigint, data binary, counts binary")
     answers = counted.groupBy("shard").applyInPandas(_shared(hot), "block bigint, data binary").groupBy("block").agg(F.collect_list("data").alias("known"))
     answers = answers.withColumnRenamed("block", "_block")
-    cut = stored(blocks.hint("merge").join(answers, F.col("block") == F.col("_block")).mapInPandas(_pieces(shards), _CUT), "pieces")
-    runs = cut.filter("kind = 'pieces'").select("shard", "block", "data", "meta").groupBy("shard").applyInPandas(_sorted_strings(part), "block bigint, runs binary")
-    runs = runs.groupBy("block").agg(F.collect_list("runs").alias("runs")).withColumnRenamed("block", "_block")
+    cut = blocks.hint("merge").join(answers, F.col("block") == F.col("_block")).select("block", "blob", "ids", "lens", "known").mapInPandas(_pieces(shards), _CUT)
+    runs = cut.groupBy("shard").applyInPandas(_sorted_strings(part), "block bigint, answer binary")
+    runs = runs.groupBy("block").agg(F.collect_list("answer").alias("answers")).withColumnRenamed("block", "_block")
     result = "uid bigint, n_removed bigint, n_spans bigint, sha string, removed array<bigint>"
-    places = cut.filter("kind = 'occurs'").select(F.col("block").alias("_of"), "data", "meta")
-    found = blocks.select("block", "blob").hint("merge").join(runs, F.col("block") == F.col("_block")).join(places, F.col("block") == F.col("_of")).mapInPandas(
-        _removed(chunk), result.replace("uid bigint,", "uid bigint, spans binary,"))
+    # blocks without an answer as well: a chunk that loses nothing may be of a text that does
+    found = blocks.hint("merge").join(runs, F.col("block") == F.col("_block"), "left").drop("block", "_block").mapInPandas(
+        _removed(chunk), result.replace("uid bigint,", "uid bigint, chunk int, spans binary, text binary,"))
     found = stored(found, "spans")
-    spans = found.filter("spans IS NOT NULL").groupBy("uid").agg(F.collect_list("spans").alias("spans"))
-    texts = cut.filter("kind = 'text'").groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("chunk", "data"))).alias("t"))
-    texts = texts.select(F.col("uid").alias("_uid"), F.col("t.data").alias("texts"))
-    long = spans.join(texts, F.col("uid") == F.col("_uid")).select("uid", "texts", "spans").mapInPandas(_kept, result)
-    changed = found.filter("spans IS NULL").drop("spans").unionByName(long).select(
+    texts = found.filter("text IS NOT NULL").groupBy("uid").agg(
+        F.sort_array(F.collect_list(F.struct("chunk", "text"))).alias("t"), F.collect_list("spans").alias("spans"))
+    long = texts.filter(F.size("spans") > 0).select("uid", F.col("t.text").alias("texts"), "spans").mapInPandas(_kept, result)
+    changed = found.filter("text IS NULL").drop("chunk", "spans", "text").unionByName(long).select(
         F.col("uid").alias("_uid"), "n_removed", "n_spans", F.col("sha").alias("_sha"), "removed")
     gone = F.col("copy") & (F.col("n_bytes") >= LEAST)
     return known.join(changed, F.col("uid") == F.col("_uid"), "left").select(

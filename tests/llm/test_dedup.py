@@ -229,6 +229,53 @@ def test_transform_and_common_prefixes():
         assert lcp.tolist() == [0, *common]
 
 
+def test_only_pieces_that_share_a_string_are_sorted(monkeypatch):
+    """Pieces that share an anchor by chance, and copies of one piece, are not built into a transform."""
+    anchor, rng = b"an anchor of eighteen b", random.Random(9)
+    noise = lambda n: bytes(rng.choice(b"abcdefgh") for _ in range(n))
+    tail = noise(40)
+    bodies = [noise(20) + anchor + noise(20) for _ in range(30)] + [noise(10) + anchor + tail, noise(12) + anchor + tail]
+    assert suffixes._meeting(bodies).tolist() == [False] * 30 + [True] * 2
+    sorted_ones = []
+    earliest = suffixes.earliest
+    monkeypatch.setattr(suffixes, "earliest", lambda pieces, docs: sorted_ones.append(pieces) or earliest(pieces, docs))
+    docs = np.arange(100, 100 + len(bodies))[::-1]
+    row = {"shard": 0, "keys": np.full(len(bodies), 7, dtype=np.uint32).tobytes(), "data": suffixes._packed(b"".join(bodies)),
+           "meta": suffixes._planes((suffixes._steps(docs), 8), (np.array([len(b) for b in bodies]), 1)), "occurs": b"places"}
+    frame = pd.DataFrame([{**row, "block": b} for b in range(2)])
+    for part in (4, 1):  # more than ``part`` pieces of an anchor are met string by string
+        found = suffixes._sorted_strings(part)(frame)
+        assert sorted_ones == [bodies[30:]]
+        assert found["block"].tolist() == [0, 1] and found["answer"][0] == found["answer"][1]
+        answer = found["answer"][0]
+        at = 4 + int.from_bytes(answer[:4], "little")
+        number, first, last, doc = suffixes._from_planes(answer[4:at], 4, 1, 1, 8)
+        got = {}
+        for n, a, b, d in zip(np.cumsum(number).tolist(), first.tolist(), last.tolist(), np.cumsum(doc).tolist()):
+            got.update({(n, s): d for s in range(a, b + 1)})
+        want = {(n, s): min(int(e) for o, e in zip(bodies, docs) if body[s : s + 50] in o) for n, body in enumerate(bodies) for s in range(len(body) - 49)}
+        assert got == want and answer[at:] == b"places"
+
+
+def test_pieces_are_not_written(ready, monkeypatch):
+    """Pieces go from the blocks to the shards; the folder that all share gets no copy of them."""
+    names, stored = [], suffixes.stored
+    monkeypatch.setattr(suffixes, "stored", lambda df, name: names.append(name) or stored(df, name))
+    text = "a passage of more than fifty bytes that comes in two documents, whole"
+    df = ready.createDataFrame([(1, "x" + text), (2, "y" + text), (3, "z")], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in suffixes.repeated_passages(df).collect()} == {1: 0, 2: len(text), 3: 0}
+    assert sorted(names) == ["copies", "digests", "later", "spans"]
+
+
+def test_few_thousand_pieces_are_not_dealt_out_by_strings():
+    """What an anchor's strings are dealt out for is room in a task: 3,000 pieces of it have that."""
+    text = b"".join(b"the same words stand at the head of every line %06d\n" % n for n in range(3_000))
+    blocks = [(b, suffixes._packed(part), [len(part)]) for b, part in enumerate((text, text[: len(text) // 2]))]
+    counted = pd.concat(list(suffixes._counted(1)(iter([pd.DataFrame(blocks, columns=["block", "blob", "lens"])]))))
+    marked = np.concatenate([np.frombuffer(d, dtype=np.uint64) for d in suffixes._shared(suffixes.HOT)(counted)["data"]])
+    assert len(marked) and not (marked & np.uint64(1)).any()
+
+
 def test_different_pieces_make_an_anchor_hot():
     """One template line very often in few documents is hot; a passage that is one piece in every block is not."""
     line = lambda n: b"the same words stand at the head of every line %04d and something after them\n" % n
