@@ -224,6 +224,19 @@ def test_realised_graph_is_the_exact_graph_of_the_drawn_lengths(spark):
     assert abs(z.mean()) < 0.02 and abs(z.std() - 1) < 0.02
 
 
+def test_draws_of_a_realisation_stay_in_the_cache(monkeypatch):
+    """Pairs are drawn in squares of bounded size, with the values of one draw over all pairs."""
+    base, model = Dissimilarity("cityblock"), G.GaussianModel(0.2, -0.01, 0.1, 2.0, 0.05, 0.001, 0.1)
+    rows = np.c_[RNG.permutation(2500), RNG.random((2500, 4))]
+    x, y, draw, drawn = rows[:70], rows, G.Realization(base, model, 9), G.pair_normal
+    i, j = np.broadcast_arrays(x[:, :1], y[None, :, 0])
+    want = np.minimum(*draw.kinds(base.between(x[:, 2:], y[:, 2:]), x[:, 1:2] - y[None, :, 1], i, j))
+    sizes = []
+    monkeypatch.setattr(G, "pair_normal", lambda i, j, seed: sizes.append(np.broadcast(i, j).size) or drawn(i, j, seed))
+    np.testing.assert_array_equal(draw.between(x, y), want)
+    assert sum(sizes) == want.size and max(sizes) <= 32 * 1024
+
+
 def test_drawn_paths_join_source_and_target(spark):
     n = 80
     ts = np.arange(n) * 1.0
