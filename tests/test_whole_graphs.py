@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kartograf.operators import geodesics, graph
 
@@ -56,3 +57,39 @@ def test_contraction_deals_a_tree_out_once(spark):
     out = graph.contract_trees(trees, 1)
     assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
     assert {r["pred"] for r in out.filter("node > 0").collect()} == {0}
+
+
+def test_ways_of_many_hops_take_few_rounds(monkeypatch):
+    """Blocks of heads in order of their arcs, each pulled slice by slice: hubs settle first."""
+    rng = np.random.default_rng(3)
+    n, edges = 400, {}
+    for v in range(1, n):
+        for u in {int(v * rng.random() ** 2) for _ in range(4)}:
+            edges[u, v] = edges[v, u] = float(rng.integers(1, 9))
+    arcs = np.array([(u, v, w) for (u, v), w in sorted(edges.items(), key=lambda e: (e[0][1], e[0][0]))], geodesics._ARC)
+    want = np.full((n, n), np.inf)
+    want[arcs["u"], arcs["v"]] = arcs["w"]
+    np.fill_diagonal(want, 0)
+    for k in range(n):
+        want = np.minimum(want, want[:, k, None] + want[None, k])
+    whole, rounds = geodesics._Whole(np.arange(n), arcs), []
+    real = whole._pulled
+    monkeypatch.setattr(whole, "_pulled", lambda d: (rounds.append(1), real(d))[1])
+    d = whole.lengths(np.arange(n))
+    count = len(rounds)
+    assert (d == want).all() and count < whole.ways(d, np.arange(n))[0].max()
+    d = whole.lengths(np.arange(3))
+    hops, pred = whole.ways(d, np.arange(3))
+    for s in range(3):
+        for v in range(n):
+            before = [u for u in range(n) if (u, v) in edges and d[u, s] + edges[u, v] == d[v, s]]
+            assert v == s or pred[v, s] == min(u for u in before if hops[u, s] == min(hops[x, s] for x in before))
+
+
+def test_square_reads_its_table_once(spark):
+    from kartograf.operators import sampling
+
+    far = spark.createDataFrame([(0, 1, 2.0), (0, 2, None)], "i bigint, j bigint, d double").mapInPandas(lambda rows: rows, "i bigint, j bigint, d double")
+    both = sampling.square(far)
+    assert both._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 1
+    assert {tuple(r) for r in both.collect()} == {(0, 1, 2.0), (1, 0, 2.0), (0, 2, None), (2, 0, None)}
