@@ -93,3 +93,18 @@ def test_square_reads_its_table_once(spark):
     both = sampling.square(far)
     assert both._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 1
     assert {tuple(r) for r in both.collect()} == {(0, 1, 2.0), (1, 0, 2.0), (0, 2, None), (2, 0, None)}
+
+
+@pytest.mark.parametrize("nodes", [1 << 17, 7])
+def test_trees_that_stand_together_are_contracted_without_a_shuffle(spark, monkeypatch, nodes):
+    monkeypatch.setattr(geodesics, "NODES", nodes)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")  # a tree comes in several batches
+    try:
+        edges = spark.createDataFrame(grid(4), "src bigint, dst bigint, w double")
+        kinds = graph.shortest_path_trees(edges, spark.range(9), together=True).withColumn("choice", (F.col("node") % 3 == 0).cast("int")).persist()
+        out = graph.contract_trees(kinds, 1, together=True)
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+        want = {tuple(r) for r in graph.contract_trees(kinds, 1).collect()}
+        assert len(want) == 9 * 16 and {tuple(r) for r in out.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
