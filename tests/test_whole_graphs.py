@@ -108,3 +108,16 @@ def test_trees_that_stand_together_are_contracted_without_a_shuffle(spark, monke
         assert len(want) == 9 * 16 and {tuple(r) for r in out.collect()} == want
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+
+
+def test_longest_path_takes_every_row_as_a_target(spark, monkeypatch, tmp_path):
+    from catalog import neighbors
+
+    asked = []
+    real = graph.shortest_path_trees
+    monkeypatch.setattr(neighbors.graph, "shortest_path_trees", lambda e, t, *a: (asked.append(sorted(r["id"] for r in t.collect())), real(e, t, *a))[1])
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=64).tolist(), 0) for i in range(40)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert neighbors.longest_path(spark, str(tmp_path)).first()["nodes"] >= 2
+    assert asked == [list(range(40))]
