@@ -302,3 +302,21 @@ def test_tsne_and_umap_keep_neighbourhoods(spark, sheet):
 def test_curve_parameters():
     a, b = R.curve_parameters(0.1)
     assert a == pytest.approx(1.577, abs=0.01) and b == pytest.approx(0.895, abs=0.01)
+
+
+def test_umap_in_one_task_is_the_layout_of_the_joins(spark, sheet, monkeypatch):
+    monkeypatch.setattr(R, "spectral_start", lambda w, ids, seed: ids.selectExpr("id", "id % 7 * 1.5d x", "id % 5 * 1.5d y"))
+    whole = R.umap(sheet[1], 8, 0.1, Dissimilarity("cityblock"), n_epochs=3).toPandas().set_index("id").sort_index()
+    monkeypatch.setattr(R, "EDGES_IN_A_TASK", 0)
+    joined = R.umap(sheet[1], 8, 0.1, Dissimilarity("cityblock"), n_epochs=3).toPandas().set_index("id").sort_index()
+    np.testing.assert_allclose(whole, joined, atol=1e-9)
+
+
+def test_chart_umap_takes_all_its_epochs(spark, monkeypatch):
+    from catalog import charts
+
+    asked = []
+    monkeypatch.setattr(charts, "points", lambda *a: spark.range(1))
+    monkeypatch.setattr(charts.reduction, "umap", lambda *a, **k: (asked.append((len(a), k)), spark.range(1).selectExpr("id", "0d x", "0d y"))[1])
+    charts.chart_umap(spark, "")
+    assert asked == [(3, {})]
