@@ -320,3 +320,13 @@ def test_chart_umap_takes_all_its_epochs(spark, monkeypatch):
     monkeypatch.setattr(charts.reduction, "umap", lambda *a, **k: (asked.append((len(a), k)), spark.range(1).selectExpr("id", "0d x", "0d y"))[1])
     charts.chart_umap(spark, "")
     assert asked == [(3, {})]
+
+
+def test_isomap_of_many_rows_writes_no_matrix(spark, sheet, monkeypatch):
+    kept = R.isomap(sheet[1], 8, Dissimilarity("cityblock"), rounds=1).toPandas().set_index("id").sort_index()
+    written, real = [], R.cut
+    monkeypatch.setattr(R, "KEPT_BYTES", 0, raising=False)
+    monkeypatch.setattr(R, "cut", lambda df, *a: (written.append(df.columns), real(df, *a))[1])
+    anew = R.isomap(sheet[1], 8, Dissimilarity("cityblock"), rounds=1).toPandas().set_index("id").sort_index()
+    np.testing.assert_allclose(anew, kept, atol=1e-9)
+    assert not any("s" in columns for columns in written)
